@@ -123,5 +123,5 @@ checked AS (
     CASE WHEN other THEN 'INVALID_BUYER_TOTAL_AMOUNT_TYPE' END,
     CASE WHEN x = 14 AND is_a THEN 'INVALID_WEIGHT_KG' END,
     CASE WHEN c_created IS NULL THEN 'INVALID_CREATE_TIMESTAMP' END,
-    CASE WHEN c_paid < c_created THEN 'PAY_TIME_BEFORE_CREATE_TIME' END], e -> e IS NOT NULL) AS errors
+    CASE WHEN c_paid < c_created THEN 'PAY_TIME_BEFORE_CREATE_TIME' END], lambda e: e IS NOT NULL) AS errors
   FROM typed)"""

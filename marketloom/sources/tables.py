@@ -103,10 +103,10 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     hours = lambda c, n: c + F.make_dt_interval(hours=n if isinstance(n, Column) else F.lit(n))
 
     def spoil(default: Column, **cases) -> Column:
-        out = default
+        out = default.cast("string")
         for number, text in cases.items():
-            out = F.when(F.col("_case") == int(number[1:]), F.lit(text) if not isinstance(text, Column) else text).otherwise(out)
-        return out.cast("string")
+            out = F.when(F.col("_case") == int(number[1:]), F.lit(text).cast("string")).otherwise(out)
+        return out
 
     is_a = F.col("platform") == "shopee"
     status = spoil(F.when(F.col("_case") % 3 == 0, F.concat(F.lit(" "), F.lower("order_status"))).otherwise(F.col("order_status")), c12="WEIRD")
