@@ -102,8 +102,9 @@ def dense_daily(daily: DataFrame, first: Column | None, last: Column, key: str =
     upto = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     price = F.last("avg_unit_price", ignorenulls=True).over(upto)
     if price_fill == "both":
-        ahead = Window.partitionBy(key).orderBy("date").rowsBetween(0, Window.unboundedFollowing)
-        price = F.coalesce(price, F.first("avg_unit_price", ignorenulls=True).over(ahead))
+        # Only days before the first price are still open, so they take the SKU's first price.
+        whole = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        price = F.coalesce(price, F.first("avg_unit_price", ignorenulls=True).over(whole))
     return out.withColumn("avg_unit_price", F.coalesce(price, F.lit(0.0)))
 
 

@@ -46,7 +46,7 @@ def segments(source: str, z: str = "1.645", floor: bool = True, prefix: str = ""
     return f"""
 {p}bounds AS (SELECT data_origin, min(order_date) AS lo, max(order_date) AS hi FROM {source} GROUP BY 1),
 {p}totals AS (SELECT data_origin, sku, max(product_name) AS product_name, max(category) AS category, sum(r) AS revenue, sum(q) AS total_units FROM {source} GROUP BY 1, 2),
-{p}weights AS (SELECT *, CAST(CASE WHEN sum(revenue) OVER (PARTITION BY data_origin) > 0 THEN revenue ELSE total_units END AS DECIMAL(30,2)) AS abc_weight FROM {p}totals),
+{p}weights AS (SELECT *, CASE WHEN sum(revenue) OVER (PARTITION BY data_origin) > 0 THEN CAST(revenue AS DECIMAL(30,2)) ELSE CAST(total_units AS DECIMAL(30,2)) END AS abc_weight FROM {p}totals),
 {p}cum AS (SELECT *, sum(abc_weight) OVER (PARTITION BY data_origin) AS total_weight,
   sum(abc_weight) OVER (PARTITION BY data_origin ORDER BY abc_weight DESC, sku ROWS UNBOUNDED PRECEDING) AS cum_weight FROM {p}weights),
 {p}perday AS (SELECT data_origin, sku, order_date, CAST(sum(q) AS DOUBLE) AS q FROM {source} GROUP BY 1, 2, 3),
