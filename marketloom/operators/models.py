@@ -39,6 +39,10 @@ def _assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
 
 
+def _ema_step(a: float):
+    return lambda level, x: F.coalesce(level * (1 - a) + x * a, x)
+
+
 def state_features(history: Column, day: Column, price: Column, orders: Column, discount: Column, revenue: Column,
                    lags=V.DEFAULT_LAGS, windows=V.ROLLING_WINDOWS, spans=V.EMA_SPANS) -> dict[str, Column]:
     """The feature row of ``day`` from a demand array ending that day; equals the batch features."""
@@ -59,8 +63,7 @@ def state_features(history: Column, day: Column, price: Column, orders: Column,
         out[f"rolling_min_{n}"] = F.array_min(part)
     before = F.slice(history, F.lit(1), F.greatest(F.size(history) - 1, F.lit(0)))
     for s in spans:
-        a = 2.0 / (s + 1)
-        out[f"ema_{s}"] = F.aggregate(before, F.lit(None).cast("double"), lambda e, x, a=a: F.coalesce(e * (1 - a) + x * a, x))
+        out[f"ema_{s}"] = F.aggregate(before, F.lit(None).cast("double"), _ema_step(2.0 / (s + 1)))
     if 1 in lags and 7 in lags:
         out["growth_wow"] = (present(1) - present(7)) / (present(7) + 1.0)
     t = F.date_add(day, 1)

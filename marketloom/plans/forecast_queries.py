@@ -289,7 +289,7 @@ def issued_forecasts(spark, d) -> DataFrame:
     target = F.date_add("order_date", 7)
     origin = F.when(kind == 0, "unverified_warehouse").when(kind == 1, "warehouse_live").when(kind == 2, V.HISTORY_ORIGIN).otherwise("other")
     return rows.select(
-        (number * 1000000 + F.col("product_key") * 2 + F.col("v")).alias("forecast_id"), "product_key", target.alias("target_date"), (F.col("q") + F.col("v")).alias("predicted_quantity"),
+        (number.cast("long") * 1000000 + F.col("product_key") * 2 + F.col("v")).alias("forecast_id"), "product_key", target.alias("target_date"), (F.col("q") + F.col("v")).alias("predicted_quantity"),
         F.lit("seasonal_naive").alias("model_name"), F.lit("1").alias("model_version"), F.when(number % 9 == 0, "heuristic_history").otherwise("local_joblib").alias("model_source"),
         F.lit("warehouse").alias("history_source"), F.col("order_date").alias("history_end_date"),
         # Issue time is an instant: 02:00 UTC is 09:00 of the same business day.
