@@ -14,7 +14,7 @@ from marketloom.operators import reconcile as R
 from marketloom.operators import rules, star, unify
 from marketloom.plans.registry import query
 from marketloom.plans.sql_parts import LINES, RAW, SNAPSHOTS, USER_SKU
-from marketloom.session import materialise
+from marketloom.session import materialise, once_per_session
 from marketloom.sources import tables as T
 
 
@@ -22,9 +22,12 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
     return unify.normalise(unify.unify(T.raw_events(spark, d)))
 
 
+@once_per_session
 def checked(spark: SparkSession, d: str) -> DataFrame:
+    """Staging table of checked rows. It is written once, because accepted and rejected rows are both
+    read from it and a filter on a computed column would evaluate all rules again."""
     rows = typed(spark, d)
-    return rules.with_errors(rows, rules.order_line_rules(rows))
+    return materialise(rules.with_errors(rows, rules.order_line_rules(rows)), "checked")
 
 
 @query("unified_lines", f"""WITH {RAW} SELECT t_platform AS platform, t_order_id AS order_id, t_sku AS sku, source_line_id, t_quantity AS quantity, t_price AS original_price,
@@ -139,7 +142,7 @@ def rejects_in_quarantine(spark, d):
     """Which rejected positions an incomplete quarantine holds (here one reason was not stored)."""
     rows = checked(spark, d)
     _, rejected = rules.split(rows)
-    _, stored = rules.split(rows.filter(~F.array_contains("errors", "INVALID_PLATFORM")))
+    _, stored = rules.split(rows.filter(~F.array_contains(rules.error_list(), "INVALID_PLATFORM")))
     return R.rejects_found(rejected, stored)
 
 
@@ -155,7 +158,7 @@ def snapshot_rules(spark, d):
         F.when(n % 7 == 0, "-1").when(n % 7 == 1, "1.5").when(n % 7 == 2, F.lit(None)).otherwise(F.floor("value").cast("int").cast("string")).alias("stock_on_hand"),
         F.when(n % 13 == 3, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("loaded_at"),
         F.when(n % 17 == 5, "x").alias("safety_stock"))
-    return rules.with_errors(rows, rules.snapshot_rules(rows)).select("event_id", F.array_join("errors", "; ").alias("reasons"))
+    return rules.with_errors(rows, rules.snapshot_rules(rows)).select("event_id", F.col("errors").alias("reasons"))
 
 
 @query("request_rules", """WITH r AS (SELECT o_orderkey AS request_id, CAST(o_orderdate AS DATE) AS from_date, CAST(o_orderdate AS DATE) + CAST(o_custkey % 120 AS INTEGER) - 10 AS to_date, CAST(o_orderkey % 40 AS BIGINT) AS lead_time,
@@ -172,7 +175,7 @@ def request_rules(spark, d):
         (F.col("o_orderkey") % 40).alias("lead_time_days"), ((F.col("o_orderkey") % 60 + 45) / 100).cast("decimal(5,2)").alias("service_level"),
         (F.col("o_custkey") % 50 - 5).alias("current_stock"))
     found = rules.with_errors(rows, rules.forecast_request_rules(F.lit("2000-12-31").cast("date")) + rules.policy_request_rules())
-    return found.select("request_id", F.array_join("errors", "; ").alias("reasons"))
+    return found.select("request_id", F.col("errors").alias("reasons"))
 
 
 # ---- one record per key -----------------------------------------------------------------
@@ -449,7 +452,7 @@ SELECT count(*) AS sent_events, count(*) AS lake_events, count(*) FILTER (v) AS
 def stage_counts(spark, d):
     """How many sent events reached each stage, and the loss between first and last."""
     rows = checked(spark, d).select(F.col("source_row"), "errors")
-    stages = {"lake": rows, "valid": rows.filter(F.size("errors") == 0), "rejected": rows.filter(F.size("errors") > 0)}
+    stages = {"lake": rows, "valid": rows.filter("errors = ''"), "rejected": rows.filter("errors <> ''")}
     sent = T.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_row"))
     out = R.stage_counts(sent, stages, "source_row")
     return out.withColumn("loss_pct", F.round(monitor.loss_percent(F.col("sent_events"), F.col("valid_events")), 4))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from marketloom.plans.registry import query
 from marketloom.plans.sales_queries import SUMMARY_SQL, cents_ratio, summary_of
 from marketloom.plans.sql_parts import DAILY, LINES, LIVE_DEMAND, RAW, SNAPSHOTS, USER_SKU, segments
 from marketloom.plans.demand_queries import SEG_OUT
-from marketloom.session import materialise, new_folder
+from marketloom.session import new_folder, once_per_session
 from marketloom.sources import history as H
 from marketloom.sources import lake
 from marketloom.sources import tables as T
@@ -27,20 +26,6 @@ from marketloom.sources import warehouse as W
 from marketloom.streaming import jobs
 
 
-def once_per_session(build):
-    """Files that several reports read are written once per session and table folder."""
-    made: dict[tuple[str, str], object] = {}
-
-    @wraps(build)
-    def get(spark, d):
-        key = (spark.sparkContext.applicationId, d)
-        if key not in made:
-            made[key] = build(spark, d)
-        return made[key]
-
-    return get
-
-
 @once_per_session
 def order_lake(spark, d) -> str:
     """Raw events written to the lake."""

@@ -13,6 +13,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
+    """Use all cores for heavy per-row work when the input has fewer file splits than cores.
+
+    Large inputs have far more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = like._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *keys) if splits < cores else df
+
+
 def platform_of(order_key: Column) -> Column:
     return F.when(order_key % 20 < 11, "shopee").otherwise("tiktok")
 
@@ -95,12 +105,13 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
 
     ``_case`` says how a row is spoilt; it is derived from the keys of the row.
     """
-    lines = order_lines(spark, folder, product=True, place=True)
+    lines = spread(order_lines(spark, folder, product=True, place=True), table(spark, folder, "lineitem"), ["order_key", "line_number", "part_key"])
     case = (F.col("order_key") * 7 + F.col("line_number") * 13 + F.col("part_key")) % 101
     lines = lines.withColumn("_case", case)
-    created = F.col("create_time") + F.make_dt_interval(hours=(F.col("order_key") % 24).cast("int"))
+    hour = F.expr("interval 1 hour")
+    created = F.col("create_time") + (F.col("order_key") % 24).cast("int") * hour
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    hours = lambda c, n: c + F.make_dt_interval(hours=n if isinstance(n, Column) else F.lit(n))
+    hours = lambda c, n: c + (n if isinstance(n, Column) else F.lit(n)) * hour
 
     def spoil(default: Column, **cases) -> Column:
         out = default.cast("string")
