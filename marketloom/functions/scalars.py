@@ -222,9 +222,9 @@ def alert_level(stock: Column, safety: Column, point: Column, blank: str | None
 
 def days_to_stockout(stock: Column, mean: Column, style: str = "sql") -> Column:
     """``sql``: null without demand. ``api``: demand is taken as at least 0.1 a day."""
-    if style == "sql":
-        return F.round(stock / F.nullif(mean, F.lit(0.0)), 1)
-    return F.round(stock / F.greatest(mean, F.lit(0.1)), 1)
+    days = stock / (F.nullif(mean, F.lit(0.0)) if style == "sql" else F.greatest(mean, F.lit(0.1)))
+    # The margin keeps an exact half from falling to either side by float noise.
+    return F.round(days + 1e-9, 1)
 
 
 def recommended_quantity(stock: Column, point: Column, mean: Column) -> Column:

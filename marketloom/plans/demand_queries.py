@@ -133,7 +133,7 @@ def inventory_latest_ranked(spark, d):
 HEALTH_SQL = f"""{LIVE_DEMAND}, {segments('demand')}, {SNAPSHOTS},
 health AS (SELECT i.sku, s.product_name, s.category, s.matrix_segment, i.current_stock, s.mean_demand, s.safety_stock, s.reorder_point,
   CASE WHEN i.current_stock <= s.safety_stock THEN 'CRITICAL' WHEN i.current_stock <= s.reorder_point THEN 'WARNING' ELSE 'NORMAL' END AS alert_level,
-  i.current_stock <= s.reorder_point AS needs_reorder, round(i.current_stock / nullif(s.mean_demand, 0), 1) AS days_until_stockout,
+  i.current_stock <= s.reorder_point AS needs_reorder, round(i.current_stock / nullif(s.mean_demand, 0) + 1e-9, 1) AS days_until_stockout,
   CASE WHEN i.current_stock <= s.reorder_point THEN greatest(0, s.reorder_point + ceil(round(s.mean_demand * 7, 9)) - i.current_stock) ELSE 0 END AS qty, i.last_audited_date
   FROM stock i JOIN segments s USING (sku))"""
 
@@ -166,7 +166,7 @@ j AS (SELECT r.sku, coalesce(f.fm, r.hist_mean) AS m, r.hist_std AS sg, CASE WHE
   FROM recent r LEFT JOIN f USING (sku) LEFT JOIN stock s USING (sku) LEFT JOIN asked a USING (sku)),
 p AS (SELECT *, greatest(1, ceil(round(1.645 * sg * sqrt(3), 9))) AS ss FROM j), q AS (SELECT *, greatest(ss + 1, ceil(round(m * 3 + ss, 9))) AS rop FROM p)
 SELECT sku, CAST(stock AS BIGINT) AS current_stock, round(m, 1) AS avg_daily_demand, CAST(ss AS BIGINT) AS safety_stock, CAST(rop AS BIGINT) AS reorder_point, stock <= rop AS needs_reorder,
-  CASE WHEN stock IS NULL THEN 'NO_DATA' WHEN stock <= ss THEN 'CRITICAL' WHEN stock <= rop THEN 'WARNING' ELSE 'NORMAL' END AS alert_level, round(stock / greatest(m, 0.1), 1) AS days_until_stockout,
+  CASE WHEN stock IS NULL THEN 'NO_DATA' WHEN stock <= ss THEN 'CRITICAL' WHEN stock <= rop THEN 'WARNING' ELSE 'NORMAL' END AS alert_level, round(stock / greatest(m, 0.1) + 1e-9, 1) AS days_until_stockout,
   CAST(CASE WHEN stock <= rop THEN greatest(0, rop + ceil(round(m * 7, 9)) - stock) ELSE 0 END AS BIGINT) AS recommended_reorder_qty, stock_source, demand_source FROM q""")
 def reorder_alerts(spark, d):
     """Reorder evaluation of every SKU: moving-average forecast mean where there is one, 28-day deviation, requested stock first."""

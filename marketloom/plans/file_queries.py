@@ -249,7 +249,7 @@ def bronze_folder(spark, d) -> tuple[str, T_.StructType]:
     raw = T.raw_events(spark, d)
     inbox, path = new_folder(spark, "inbox"), new_folder(spark, "bronze")
     raw.select(F.to_json(F.struct("*")).alias("value")).write.text(inbox)
-    run(jobs.bronze(jobs.read_messages(spark, inbox, 3), raw.schema, path, new_folder(spark, "cp"), once=True))
+    run(jobs.bronze(jobs.read_messages(spark, inbox), raw.schema, path, new_folder(spark, "cp"), once=True))
     return path, raw.schema
 
 

@@ -65,7 +65,8 @@ def _start(writer, once: bool, interval: str = FLUSH_INTERVAL) -> StreamingQuery
 def bronze(messages: DataFrame, schema: T.StructType, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Decoded messages to the lake by platform and event date; unreadable text is kept as a row."""
     rows = lake.with_partitions(lake.decode(messages, schema), F.current_timestamp())
-    writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(*lake.PARTITIONS)
+    # One task per event day, not one file per task and day.
+    writer = rows.hint("rebalance", *lake.PARTITIONS).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(*lake.PARTITIONS)
     return _start(writer, once)
 
 
