@@ -283,7 +283,8 @@ def interval_bounds(quantity: Column, sigma: Column, widen: Column | float = 1.0
     """Plus or minus 1.96 sigma; ``widen`` is the square root of the sale factor on heuristic days."""
     widen = widen if isinstance(widen, Column) else F.lit(float(widen))
     margin = F.lit(1.96) * sigma * widen
-    return F.greatest(F.lit(0.0), F.round(quantity - margin, 1)), F.round(quantity + margin, 1)
+    # Exact halves are common here; the margin rounds them up whatever the float noise.
+    return F.greatest(F.lit(0.0), F.round(quantity - margin + 1e-9, 1)), F.round(quantity + margin + 1e-9, 1)
 
 
 def demand_multiplier(d: Column, trend: float = 0.1, sale_lift: float = 1.5, weekend_lift: float = 0.12) -> Column:

@@ -311,7 +311,7 @@ def batch_forecast(requests: DataFrame, daily: DataFrame, last_known: Column, mo
         items = usable.select("*", F.posexplode(path).alias("_p", "raw")).withColumns({
             "date": F.date_add("history_end", F.col("_p") + 1), "_widen": F.lit(1.0), "model_source": F.lit("local_joblib"),
         }).filter(F.col("date") >= F.col("from_date")).drop("_p")
-    quantity = F.round("raw", 1)
+    quantity = F.round(F.col("raw") + 1e-9, 1)
     lower, upper = S.interval_bounds(F.col("predicted_quantity"), F.col("sigma"), F.col("_widen"))
     return items.withColumn("predicted_quantity", quantity).withColumns({
         "lower_bound": lower, "upper_bound": upper, "history_source": F.lit("warehouse")}).select(
