@@ -55,9 +55,7 @@ CODES = [
     ({"item_weight": "heavy"}, "INVALID_WEIGHT_KG"), ({"item_name": "n" * 501}, "TOO_LONG_PRODUCT_NAME"),
     ({"original_price": "inf"}, "OUTLIER_ORIGINAL_PRICE"), ({"original_price": "oops"}, "INVALID_ORIGINAL_PRICE_TYPE"),
     ({"pay_time": "2026-10-13T16:00:00Z"}, "PAY_TIME_BEFORE_CREATE_TIME"), ({"_platform": "lazada"}, "INVALID_PLATFORM"),
-])
-def test_one_code_per_bad_field(spark, change, code):
-    assert code in check(spark, [change]
+]
 
 
 def test_one_code_per_bad_field(spark):
