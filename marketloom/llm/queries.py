@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe_codec, bpe_count, simhash_dedup
+from marketloom.llm import bpe_codec, bpe_count, license_scan, simhash_dedup, toxicity
+from marketloom.llm.shipping import ship
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_table(spark, folder, "documents")).drop("places")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, folder, "documents"))
 
@@ -26,6 +36,6 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_token_counts, op9_byte_bpe, op10_simhash_dedup)
+    f.__name__: f for f in (op1_toxicity, op3_license_scan, op7_token_counts, op9_byte_bpe, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
