@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe_codec, bpe_count, license_scan, simhash_dedup, toxicity
+from marketloom.llm import bpe_codec, bpe_count, cap_dedup, license_scan, simhash_dedup, toxicity
 from marketloom.llm.shipping import ship
 
 
@@ -23,6 +23,10 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents")).drop("places")
 
 
+def op4_cap_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, folder, "documents"))
 
@@ -36,6 +40,6 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_license_scan, op7_token_counts, op9_byte_bpe, op10_simhash_dedup)
+    f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_cap_dedup, op7_token_counts, op9_byte_bpe, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
