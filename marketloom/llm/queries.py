@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe_codec, bpe_count, cap_dedup, license_scan, simhash_dedup, toxicity
+from marketloom.llm import bpe_codec, bpe_count, cap_dedup, fingerprints, license_scan, mixing, simhash_dedup, toxicity
 from marketloom.llm.shipping import ship
 
 
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sizes(_table(spark, folder, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents")).drop("places")
 
@@ -27,6 +31,10 @@ def op4_cap_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cap_dedup.near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, folder, "documents"))
 
@@ -40,6 +48,6 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_cap_dedup, op7_token_counts, op9_byte_bpe, op10_simhash_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_license_scan, op4_cap_dedup, op5_fingerprints, op7_token_counts, op9_byte_bpe, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
