@@ -21,7 +21,8 @@ def term_hashes(text: Column) -> Column:
     A term that stands k times is hashed k times and so votes with weight k.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    # The outer function names the array, so that it is made once for a text and not again for each word.
+    return F.element_at(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))), 1)
 
 
 def simhash(terms: DataFrame, keys: list[str], term: str = "term") -> DataFrame:
