@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe_codec, bpe_count, cap_dedup, fingerprints, license_scan, mixing, simhash_dedup, suffix_dedup, toxicity
+from marketloom.llm import bpe_codec, bpe_count, cap_dedup, fingerprints, license_scan, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity
 from marketloom.llm.shipping import ship
 
 
@@ -35,6 +35,10 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, folder, "documents"))
 
@@ -52,6 +56,6 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_license_scan, op4_cap_dedup, op5_fingerprints, op7_token_counts, op8_suffix_dedup, op9_byte_bpe, op10_simhash_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_license_scan, op4_cap_dedup, op5_fingerprints, op6_line_dedup, op7_token_counts, op8_suffix_dedup, op9_byte_bpe, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}

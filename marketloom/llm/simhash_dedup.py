@@ -93,6 +93,8 @@ def close_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         at, n = cuts[i]
         return F.shiftrightunsigned(F.col(c), at).bitwiseAND(F.lit((1 << n) - 1))
 
+    # A distinct table may come in few partitions; its rows grow many times here.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     table = fps.select(F.col("fp").alias("b"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("s"), segment("fp", i).alias("k")) for i in range(segments)])).alias("e")).select("b", "e.s", "e.k")
     ball = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[
@@ -105,6 +107,13 @@ def close_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.where(~earlier).select("a", "b")
 
 
+def _classes(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint; root names its component."""
+    classes = fps.select("fp").distinct()
+    nodes = components(close_pairs(classes, radius), "simhash")
+    return classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component) of every document row.
 
@@ -112,9 +121,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     a null doc_id is grouped like others but never names a component that has an id.
     """
     fps, _ = put(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = components(close_pairs(classes.select("fp"), radius), "simhash")
-    named = classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    named = _classes(fps, radius).join(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest doc_id (null last), with its columns as they came."""
+    kept = docs.drop("_fp")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", `_fp` long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1 << 22):
+            data, offsets = text_bytes(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhash(data, offsets, shingle, seed).view(np.int64))], [*batch.schema.names, "_fp"])
+
+    fps, _ = put(fingerprints(docs, shingle, seed), "fingerprints")
+    ids = _classes(fps, radius).join(fps, "fp")
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
+    keepers = first.select(F.col("first.doc_id").alias("_keeper"), F.col("first.fp").alias("_keeper_fp"))
+    met = kept.mapInArrow(run, schema).join(keepers, (F.col("_fp") == F.col("_keeper_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keeper")))
+    return met.dropDuplicates(["_fp"]).select(*[F.col(f"`{c}`") for c in kept.columns])
