@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -18,6 +19,7 @@ from marketloom.llm.textscan import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
+BATCH, ROWS = 1 << 21, 64
 #: A space between two characters that are not white space always begins a match of the pattern.
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
@@ -58,13 +60,20 @@ def decode(coder: tiktoken.Encoding, ids: list[int]) -> bytes:
     return coder.decode_bytes(ids)
 
 
-def encode_texts(docs: DataFrame, column: str = "text", out: str = "token_ids", path: str | None = None,
+def encode_texts(docs: DataFrame, column: str = "text", out: str = "token_ids", round_trip: str | None = None, path: str | None = None,
                  pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``docs`` with the token ids of every whole text as array<int>; null texts count as empty, other columns pass through.
 
-    An input column of the name ``out`` is replaced.
+    With ``round_trip``, a column of that name says whether the decoded ids are the bytes of the text again. Input columns of these names
+    are replaced.
     """
-    return _mapped(docs.drop(out), column, [(out, "array<int>", pa.list_(pa.int32()))], path, pattern, lambda coder, ids: (ids,))
+    names = [(out, "array<int>", pa.list_(pa.int32())), *([(round_trip, "boolean", pa.bool_())] if round_trip else [])]
+
+    def coded(coder, ids, text):
+        row = (np.array(ids, np.int32),)
+        return (*row, decode(coder, ids) == text.encode()) if round_trip else row
+
+    return _mapped(docs.drop(*[n for n, _, _ in names]), column, names, path, pattern, coded)
 
 
 def decode_ids(docs: DataFrame, column: str = "token_ids", out: str = "decoded", path: str | None = None,
@@ -72,21 +81,23 @@ def decode_ids(docs: DataFrame, column: str = "token_ids", out: str = "decoded",
     """``docs`` with the decoded bytes of an array of ids as binary; a null array counts as empty. Unknown ids raise."""
     path = path or public_tokenizers.path(RANKS)
     kept = docs.drop(out)
-    schema = kept.schema.simpleString()[7:-1]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"`{out}` binary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
         for batch in batches:
-            values = pa.array([decode(coder, ids or []) for ids in batch.column(column).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, out])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                values = pa.array([decode(coder, ids.as_py() or []) for ids in part.column(column)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, out])
 
-    return kept.mapInArrow(run, f"{schema},`{out}` binary" if schema else f"`{out}` binary")
+    return kept.mapInArrow(run, ", ".join(fields))
 
 
 def token_digests(docs: DataFrame, column: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 of every whole text, ids never leaving the task."""
 
-    def digest(coder, ids):
+    def digest(coder, ids, text):
         told = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         return len(ids), told, hashlib.sha256(decode(coder, ids)).hexdigest()
 
@@ -100,8 +111,8 @@ def _mapped(docs: DataFrame, column: str, added, path: str | None, pattern: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
-        for batch in small_batches(batches, column=column):
-            rows = [derive(coder, encode(coder, text or "")) for text in batch.column(column).to_pylist()]
+        for batch in small_batches(batches, BATCH, column):
+            rows = [derive(coder, encode(coder, text or ""), text or "") for text in batch.column(column).to_pylist()]
             values = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], [*batch.schema.names, *[n for n, _, _ in added]])
 
