@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.scratch import put
+from marketloom.llm.scratch import drop, put
 from marketloom.operators.prefix import number_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,6 +120,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     told = voted.groupBy(*key).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"),
                                    F.max("marks").alias("copies"))
     told, _ = put(told, "fingerprints")
+    # The shuffled texts are not read again.
+    drop(docs.sparkSession)
     following = told.select(F.col("doc_id").alias("next_id"), F.col("fp").alias("next_fp")).distinct()
     link = order.select("before_id", F.col("doc_id").alias("next_id"))
     following = link.join(following, link["next_id"].eqNullSafe(following["next_id"])).groupBy("before_id").agg(F.collect_set("next_fp").alias("next_fps"))
