@@ -127,13 +127,15 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A document that the end of an arc cuts appears with the words that are taken, the others whole; documents of which nothing is taken
     do not appear. A null doc_id with equal rows is taken as often as those rows. A numeric column n_chars follows the text.
     """
-    rows = _placed(docs, mix).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("group").alias("_group"), "passes", "begin", "end", "lo", "hi", "wrap")
+    rows = _placed(docs, mix)
     # Rows of one number, source and size are told apart by their place; their texts are numbered alike.
-    rows = rows.withColumn("_twin", F.row_number().over(Window.partitionBy("_group", "_id", "_size").orderBy("begin")))
-    named = docs.select("*", *[c.alias(a) for c, a in zip(_keys(docs), ("_k_group", "_k_id", "_k_size"))])
-    named = named.withColumn("_k_twin", F.row_number().over(Window.partitionBy("_k_group", "_k_id", "_k_size").orderBy("text")))
-    met = named.join(rows, (F.col("_k_group") == F.col("_group")) & F.col("_k_id").eqNullSafe(F.col("_id")) & (F.col("_k_size") == F.col("_size"))
-                     & (F.col("_k_twin") == F.col("_twin")))
+    key = ["group", "doc_id", "size"]
+    rows = rows.select(*key, "passes", "begin", "end", "lo", "hi", "wrap", F.row_number().over(Window.partitionBy(*key).orderBy("begin")).alias("twin"))
+    # The row travels as one column, so its names cannot clash with those made here.
+    named = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), *[c.alias(f"row_{a}") for c, a in zip(_keys(docs), key)])
+    named = named.withColumn("row_twin", F.row_number().over(Window.partitionBy(*[f"row_{k}" for k in key]).orderBy("text")))
+    met = named.join(rows, (F.col("row_group") == F.col("group")) & F.col("row_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row_size") == F.col("size"))
+                     & (F.col("row_twin") == F.col("twin")))
     cut = _overlap(F.col("lo"), F.col("hi")) + _overlap(F.lit(0), F.col("wrap"))
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
 
@@ -142,12 +144,14 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         length = _overlap(lo, hi)
         return F.when(length > 0, F.array_join(F.slice(pieces, (start + 1).cast("int"), length.cast("int")), "")).otherwise("")
 
-    part = F.when(cut >= F.col("_size"), F.col("text")).otherwise(F.concat(slice_of(F.lit(0), F.col("wrap")), slice_of(F.col("lo"), F.col("hi"))))
-    whole = F.when(F.col("_size") > 0, F.array_repeat(F.col("text"), F.col("passes").cast("int"))).otherwise(F.array())
+    part = F.when(cut >= F.col("size"), F.col("text")).otherwise(F.concat(slice_of(F.lit(0), F.col("wrap")), slice_of(F.col("lo"), F.col("hi"))))
+    whole = F.when(F.col("size") > 0, F.array_repeat(F.col("text"), F.col("passes").cast("int"))).otherwise(F.array())
     texts = F.concat(whole, F.when(cut > 0, F.array(part)).otherwise(F.array()))
-    out = met.withColumn("_text", F.explode(texts))
-    replaced = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[(replaced[c] if c in replaced else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    out = met.withColumn("taken_text", F.explode(texts))
+    replaced = {"text": F.col("taken_text")}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.char_length("taken_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(replaced[c] if c in replaced else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _keys(docs: DataFrame) -> list[Column]:

@@ -24,3 +24,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     gc.collect()
     jvm.System.gc()
+
+
+def free_name(frame: DataFrame, base: str) -> str:
+    """A column name that ``frame`` does not have."""
+    while base.lower() in (c.lower() for c in frame.columns):
+        base += "_"
+    return base

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.components import components
 from marketloom.llm.hashing import bit_counts, majority, xxh64
-from marketloom.llm.scratch import put
+from marketloom.llm.scratch import free_name, put
 from marketloom.llm.textscan import FOLD, NOT_WHITE, pieces, text_bytes, small_batches
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -89,16 +89,19 @@ def close_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     width = -(-64 // segments)
     cuts = [(i * width, min(width, 64 - i * width)) for i in range(segments)]
 
+    def signed(bits: int) -> Column:
+        return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
     def segment(c: str, i: int) -> Column:
         at, n = cuts[i]
-        return F.shiftrightunsigned(F.col(c), at).bitwiseAND(F.lit((1 << n) - 1))
+        return F.shiftrightunsigned(F.col(c), at).bitwiseAND(signed((1 << n) - 1))
 
     # A distinct table may come in few partitions; its rows grow many times here.
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     table = fps.select(F.col("fp").alias("b"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("s"), segment("fp", i).alias("k")) for i in range(segments)])).alias("e")).select("b", "e.s", "e.k")
     ball = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("s"), segment("fp", i).bitwiseXOR(F.lit(flip)).alias("k"))
+        F.struct(F.lit(i).alias("s"), segment("fp", i).bitwiseXOR(signed(flip)).alias("k"))
         for i, (_, n) in enumerate(cuts) for flip in [0, *(1 << j for j in range(n))]])).alias("e")).select("a", "e.s", "e.k")
     found = ball.join(table, ["s", "k"]).where("a < b").where(distance("a", "b") <= radius)
     earlier = F.lit(False)
@@ -129,17 +132,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest doc_id (null last), with its columns as they came."""
-    kept = docs.drop("_fp")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", `_fp` long"
+    own, keeper, keeper_fp = (free_name(docs, n) for n in ("_own_fp", "_keeper", "_keeper_fp"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{own}` long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 22):
             data, offsets = text_bytes(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhash(data, offsets, shingle, seed).view(np.int64))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhash(data, offsets, shingle, seed).view(np.int64))], [*batch.schema.names, own])
 
     fps, _ = put(fingerprints(docs, shingle, seed), "fingerprints")
     ids = _classes(fps, radius).join(fps, "fp")
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
-    keepers = first.select(F.col("first.doc_id").alias("_keeper"), F.col("first.fp").alias("_keeper_fp"))
-    met = kept.mapInArrow(run, schema).join(keepers, (F.col("_fp") == F.col("_keeper_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keeper")))
-    return met.dropDuplicates(["_fp"]).select(*[F.col(f"`{c}`") for c in kept.columns])
+    keepers = first.select(F.col("first.doc_id").alias(keeper), F.col("first.fp").alias(keeper_fp))
+    met = docs.mapInArrow(run, schema).join(keepers, (F.col(own) == F.col(keeper_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keeper)))
+    return met.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
