@@ -122,9 +122,11 @@ def plain_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("full", [1, 16])
+@pytest.mark.parametrize("full", [1, 2048])
 def test_line_dedup(documents, monkeypatch, full):
     monkeypatch.setattr(line_dedup, "FULL", full)
+    monkeypatch.setattr(line_dedup, "KEEP", min(full, 4))
+    monkeypatch.setattr(line_dedup, "STEP", 50)
     r = random.Random(2)
     words = [f"w{i}" for i in range(60)] + ["the", "of"] * 5
     base = [[r.choice(words) for _ in range(r.randint(3, 25))] for _ in range(10)]
