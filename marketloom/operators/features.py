@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,41 +53,46 @@ def window_features(df: DataFrame, y: str = "daily_demand", key: str = "sku", la
     return out
 
 
-EMA_BLOCK = 512
+LONGEST_BLOCK = 512
+
+
+def block_length(q: float) -> int:
+    """Days over which ``q ** -position`` stays far inside the range of doubles."""
+    return max(1, min(LONGEST_BLOCK, int(150 / -math.log10(q))))
+
+
+def _decayed_sum(factor: float):
+    return lambda total, value: total * F.lit(factor) + value
 
 
 def ema_features(df: DataFrame, y: str = "daily_demand", key: str = "sku", spans=V.EMA_SPANS) -> DataFrame:
-    """Exponential averages of previous days (recursive form, first value as start).
+    """Exponential averages of all previous days (recursive form, first value as start), for any span.
 
-    The recursion is unrolled into a running sum of values weighted by (1 - alpha) ** -position,
-    which only ever adds positive weights. Positions restart every EMA_BLOCK days so the weights
-    stay in range; a block adds the decayed end of the block before it. What two blocks back would
-    add is below 1e-30 of its size. All windows reuse the distribution by SKU: linear in the number
-    of days, no extra shuffle, no arrays.
+    The recursion is unrolled into a running sum of values weighted by (1 - alpha) ** -position, which only ever adds positive weights.
+    Positions restart with every block of days so the weights stay in range; the ends of all blocks before, one number for each block, are
+    folded in order, and their decayed average is added. All windows reuse the distribution by SKU: no extra shuffle.
     """
     by_day = Window.partitionBy(key).orderBy("date")
-    index = F.row_number().over(by_day) - 1
-    out = df.withColumn("_i", index).withColumns({
-        "_p": F.col("_i") % EMA_BLOCK, "_b": F.floor(F.col("_i") / EMA_BLOCK)})
-    in_block = Window.partitionBy(key, "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    own, total = {}, {}
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_i", F.row_number().over(by_day) - 1)
+    kept = []
     for s in spans:
         a = 2.0 / (s + 1)
         q = 1.0 - a
         if q <= 0:
-            own[s] = F.col(y)
-            continue
-        weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(a)) * F.pow(F.lit(q), -F.col("_p"))
-        own[s] = F.sum(F.col(y) * weight).over(in_block) * F.pow(F.lit(q), F.col("_p"))
-    out = out.withColumns({f"_own_{s}": c for s, c in own.items()})
-    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    for s in spans:
-        q = 1.0 - 2.0 / (s + 1)
-        carry = F.last(F.when(F.col("_p") == EMA_BLOCK - 1, F.col(f"_own_{s}")), ignorenulls=True).over(earlier)
-        total[s] = F.col(f"_own_{s}") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(max(q, 0.0)), F.col("_p") + 1)
-    out = out.withColumns({f"_ema_{s}": c for s, c in total.items()})
+            out = out.withColumn(f"_ema_{s}", F.col(y))
+        else:
+            n = block_length(q)
+            in_block = Window.partitionBy(key, F.floor(F.col("_i") / n)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+            p = F.col("_i") % n
+            weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(a)) * F.pow(F.lit(q), -p)
+            out = out.withColumn(f"_own_{s}", F.sum(F.col(y) * weight).over(in_block) * F.pow(F.lit(q), p))
+            ends = F.collect_list(F.when(p == n - 1, F.col(f"_own_{s}"))).over(earlier)
+            whole = F.aggregate(ends, F.lit(0.0), _decayed_sum(q ** n))
+            out = out.withColumn(f"_ema_{s}", F.col(f"_own_{s}") + whole * F.pow(F.lit(q), p + 1))
+            kept.append(f"_own_{s}")
     out = out.withColumns({f"ema_{s}": F.lag(f"_ema_{s}", 1).over(by_day) for s in spans})
-    return out.drop("_i", "_p", "_b", *[f"_own_{s}" for s in spans], *[f"_ema_{s}" for s in spans])
+    return out.drop("_i", *kept, *[f"_ema_{s}" for s in spans])
 
 
 def segment_cutoff(lines: DataFrame, holdout_days: int = 49, min_fit_days: int = 14) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
 from marketloom.functions import vocab as V
+from marketloom.operators.rules import forecast_request_rules
 
 BASELINES = ("naive", "seasonal_naive", "moving_average")
 
@@ -48,11 +49,16 @@ def fit_set(rows: DataFrame) -> DataFrame:
 
 def required_history_days(n_splits: int = 3, test_days: int = 14, validation_days: int = 7, min_train_days: int = 14,
                           max_lag_days: int = 28) -> tuple[int, int]:
-    """(target days needed, source days needed): burn-in and the t+1 target cost ``max_lag + 1`` days."""
-    if min(n_splits, test_days, validation_days, min_train_days) < 1 or max_lag_days < 0:
-        raise ValueError("history windows must be positive")
-    evaluation = n_splits * test_days + validation_days + min_train_days
-    return evaluation, evaluation + max_lag_days + 1
+    """(target days needed, source days needed) so that ``fold_dates`` yields every fold with enough days to train on.
+
+    Targets lie one day after their features, and features need the days of the largest lag before them.
+    """
+    parts = {"test": n_splits * test_days, "validation": validation_days, "train": min_train_days}
+    short = [name for name, days in parts.items() if days < 1]
+    if short or n_splits < 1 or max_lag_days < 0:
+        raise ValueError(f"no days for {', '.join(short) or 'the lags'}")
+    targets = sum(parts.values())
+    return targets, targets + 1 + max_lag_days
 
 
 # ---- baselines --------------------------------------------------------------------------
@@ -285,37 +291,47 @@ def status_transitions(history: DataFrame, key: list[str], at: str) -> DataFrame
 # ---- batch forecasts --------------------------------------------------------------------
 
 def batch_forecast(requests: DataFrame, daily: DataFrame, last_known: Column, model: str = "moving_average",
-                   history_days: int = V.HISTORY_DAYS) -> DataFrame:
-    """Forecast rows for a request table (request_id, sku, from_date, to_date), all in one job.
+                   history_days: int = V.HISTORY_DAYS, catalog_mean: float = 1.0, source: str = "spark_baseline") -> DataFrame:
+    """Forecast rows for a request table (request_id, sku, from_date, to_date), all in one job; every request has at least one row.
 
-    History ends at the day before the request or at the last known day, whichever is earlier.
-    Requests whose SKU has no demand in its window fall out with history_source ``none`` and no rows.
+    History ends at the day before the request or at the last known day, whichever is earlier. A request that breaks a rule of
+    ``forecast_request_rules`` yields one row without a date and quantity, and the rule as its reason. A SKU without demand in its window is
+    forecast by the heuristic: from the mean of its history where it has days at all (``heuristic_history``), else from ``catalog_mean``
+    (``heuristic_catalog``). ``source`` labels the rows of the model.
     """
     end = F.least(F.date_sub("from_date", 1), last_known)
-    joined = requests.join(sku_series(daily), "sku").withColumn("history_end", end)
-    window = F.transform(_window_of(F.col("series"), F.col("history_end"), history_days), lambda r: r["daily_demand"])
-    usable = joined.withColumn("history", window).drop("series").filter(
-        F.exists("history", lambda y: y > 0) & (F.datediff("to_date", "history_end") <= V.MAX_FORECAST_STEPS))
+    judged = requests.withColumn("history_end", end)
+    judged = judged.withColumn("reason", F.concat_ws("; ", *forecast_request_rules(F.col("history_end"))))
+    refused = judged.filter("reason <> ''").select(
+        "request_id", "sku", F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("double").alias(c) for c in ("predicted_quantity", "lower_bound", "upper_bound")],
+        F.lit("refused").alias("model_source"), F.lit("none").alias("history_source"), "history_end", "reason")
+    joined = judged.filter("reason = ''").join(sku_series(daily), "sku", "left")
+    window = F.transform(_window_of(F.coalesce("series", F.array().cast(f"array<struct<date:date,daily_demand:{daily.schema['daily_demand'].dataType.simpleString()}>>")), F.col("history_end"), history_days), lambda r: r["daily_demand"])
+    usable = joined.withColumn("history", window).drop("series")
     steps = F.datediff("to_date", "history_end")
     recent = F.slice(F.col("history"), F.greatest(F.size("history") - V.STATS_WINDOW_DAYS + 1, F.lit(1)), F.lit(V.STATS_WINDOW_DAYS))
     total = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x * x)
     mean, sigma = S.statistics_from_sums(F.size(recent), total, squares)
-    usable = usable.withColumns({"hist_mean": mean, "sigma": sigma})
-    if model == "heuristic":
-        items = usable.select("*", F.explode(F.sequence("from_date", "to_date")).alias("date")).withColumns({
-            "raw": S.heuristic_demand(F.col("hist_mean"), F.col("date")), "_widen": F.sqrt(S.sale_factor(F.col("date"))),
-            "model_source": F.lit("heuristic_history")})
-    else:
+    known = F.size("history") > 0
+    sold = F.exists("history", lambda y: y > 0)
+    usable = usable.withColumns({"hist_mean": F.when(known, mean).otherwise(F.lit(catalog_mean)), "sigma": F.when(known, sigma).otherwise(F.lit(0.0))})
+    kind = F.when(known, "heuristic_history").otherwise("heuristic_catalog")
+    by_rule = usable if model == "heuristic" else usable.filter(~sold)
+    items = by_rule.select("*", F.explode(F.sequence("from_date", "to_date")).alias("date")).withColumns({
+        "raw": S.heuristic_demand(F.col("hist_mean"), F.col("date")), "_widen": F.sqrt(S.sale_factor(F.col("date"))), "model_source": kind})
+    if model != "heuristic":
         path = recurse(F.col("history"), steps, baseline_step(model), history_days)
-        items = usable.select("*", F.posexplode(path).alias("_p", "raw")).withColumns({
-            "date": F.date_add("history_end", F.col("_p") + 1), "_widen": F.lit(1.0), "model_source": F.lit("local_joblib"),
+        modelled = usable.filter(sold).select("*", F.posexplode(path).alias("_p", "raw")).withColumns({
+            "date": F.date_add("history_end", F.col("_p") + 1), "_widen": F.lit(1.0), "model_source": F.lit(source),
         }).filter(F.col("date") >= F.col("from_date")).drop("_p")
+        items = items.unionByName(modelled)
     quantity = F.round(F.col("raw") + 1e-9, 1)
     lower, upper = S.interval_bounds(F.col("predicted_quantity"), F.col("sigma"), F.col("_widen"))
     return items.withColumn("predicted_quantity", quantity).withColumns({
-        "lower_bound": lower, "upper_bound": upper, "history_source": F.lit("warehouse")}).select(
-        "request_id", "sku", "date", "predicted_quantity", "lower_bound", "upper_bound", "model_source", "history_source", "history_end")
+        "lower_bound": lower, "upper_bound": upper, "history_source": F.when(known, "warehouse").otherwise("none")}).select(
+        "request_id", "sku", "date", "predicted_quantity", "lower_bound", "upper_bound", "model_source", "history_source", "history_end",
+        F.lit("").alias("reason")).unionByName(refused)
 
 
 def forecast_totals(items: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LINE_KEY = ["order_id", "platform", "source_line_id"]
 
@@ -31,7 +32,12 @@ def deduplicate_lines(
     ties = ties if ties is not None else [c for c in ("source_object", "source_row") if c in df.columns]
     order = [F.col(version).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in ties]
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return latest_by(df.filter(complete), keys, order).unionByName(df.filter(~complete))
+    # A row with an incomplete key takes part in the same window under a number of its own, so the input is read once and such rows,
+    # however many, are spread over all tasks.
+    alone = F.when(~complete, F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]))
+    window = Window.partitionBy(*keys, "_alone").orderBy(*order)
+    ranked = df.withColumn("_alone", alone).withColumn("_rank", F.row_number().over(window))
+    return ranked.filter((F.col("_rank") == 1) | ~complete).drop("_rank", "_alone")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

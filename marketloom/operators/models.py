@@ -155,7 +155,7 @@ def backtest_model(store: DataFrame, daily: DataFrame, name: str, params: dict |
     return P.scored_rows(rows, predicted, (name,))
 
 
-def grid_search(store: DataFrame, daily: DataFrame, name: str, grid: dict[str, list], n_splits: int = 1) -> DataFrame:
+def grid_search(store: DataFrame, daily: DataFrame, name: str, grid: dict[str, list], n_splits: int = 3) -> DataFrame:
     """Walk-forward WAPE of every parameter combination, best first."""
     results: DataFrame | None = None
     for values in product(*grid.values()):

@@ -22,7 +22,7 @@ def running_total(
     groups: list[str],
     order: list[Column],
     values: dict[str, str],
-    few_groups: bool = True,
+    few_groups: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
     """Add ``{out: running sum of value}`` along ``order`` inside each of the ``groups``.
@@ -60,7 +60,7 @@ def number_rows(df: DataFrame, order: list[Column], out: str, start: Column | in
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probabilities: dict[str, float],
-                    few_groups: bool = True) -> DataFrame:
+                    few_groups: bool = False) -> DataFrame:
     """Linearly interpolated quantiles per group, without holding a group's values in one task.
 
     Values are reduced to counts map-side, ranked by the sliced running total, and the two

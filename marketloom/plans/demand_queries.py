@@ -235,13 +235,13 @@ def ts_features(spark, d):
     return rounded(out)
 
 
-EMA_SQL = ", ".join(
-    f"""round(CASE WHEN len(h) = 0 THEN NULL ELSE list_sum(list_transform(h, lambda v, i: v * CASE WHEN i = 1 AND len(h) = k - 1 THEN power({1 - 2 / (s + 1)!r}, len(h) - i) ELSE {2 / (s + 1)!r} * power({1 - 2 / (s + 1)!r}, len(h) - i) END)) END + 1e-10, 6) AS ema_{s}"""
-    for s in (7, 14))
+def _ema_step(s: int) -> str:
+    return f"e.ema_{s} * {1 - 2 / (s + 1)!r} + o.y * {2 / (s + 1)!r}"
 
 
-@query("ts_ema", f"""WITH {DAILY}, h AS (SELECT sku, date, row_number() OVER (PARTITION BY sku ORDER BY date) AS k, coalesce(list(daily_demand) OVER (PARTITION BY sku ORDER BY date ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING), []) AS h FROM daily)
-SELECT sku, CAST(date AS VARCHAR) AS date, {EMA_SQL} FROM h""")
+@query("ts_ema", f"""WITH RECURSIVE {DAILY}, o AS (SELECT sku, date, CAST(daily_demand AS DOUBLE) AS y, row_number() OVER (PARTITION BY sku ORDER BY date) AS k FROM daily),
+e AS (SELECT sku, k, y AS ema_7, y AS ema_14 FROM o WHERE k = 1 UNION ALL SELECT o.sku, o.k, {_ema_step(7)}, {_ema_step(14)} FROM e JOIN o ON o.sku = e.sku AND o.k = e.k + 1)
+SELECT o.sku, CAST(o.date AS VARCHAR) AS date, round(e.ema_7 + 1e-10, 6) AS ema_7, round(e.ema_14 + 1e-10, 6) AS ema_14 FROM o LEFT JOIN e ON e.sku = o.sku AND e.k = o.k - 1""")
 def ts_ema(spark, d):
     """Exponential averages of all previous days."""
     return rounded(X.ema_features(daily(spark, d).select("sku", "date", "daily_demand"))).select("sku", "date", "ema_7", "ema_14")

@@ -18,7 +18,7 @@ from marketloom.plans.registry import query
 from marketloom.plans.sales_queries import SUMMARY_SQL, cents_ratio, summary_of
 from marketloom.plans.sql_parts import DAILY, LINES, LIVE_DEMAND, RAW, SNAPSHOTS, USER_SKU, segments
 from marketloom.plans.demand_queries import SEG_OUT
-from marketloom.session import new_folder, once_per_session
+from marketloom.session import new_folder
 from marketloom.sources import history as H
 from marketloom.sources import lake
 from marketloom.sources import tables as T
@@ -26,7 +26,11 @@ from marketloom.sources import warehouse as W
 from marketloom.streaming import jobs
 
 
-@once_per_session
+def lake_schema(spark, d) -> T_.StructType:
+    """Columns of the order lake, declared rather than read from its files."""
+    return lake.stored_schema(T.raw_events(spark, d).schema)
+
+
 def order_lake(spark, d) -> str:
     """Raw events written to the lake."""
     path = new_folder(spark, "lake")
@@ -40,20 +44,20 @@ PARTS = "CASE WHEN x = 0 THEN 'unknown' ELSE platform END AS platform, CAST(crea
 @query("lake_day_scan", f"""WITH {RAW}, p AS (SELECT {PARTS}, t_quantity FROM raw) SELECT platform, count(*) AS rows, count(t_quantity) AS with_quantity FROM p WHERE local_day = DATE '1997-03-15' GROUP BY 1""")
 def lake_day_scan(spark, d):
     """One business day over all platforms; only its directories are read."""
-    rows = lake.scan_day(spark, order_lake(spark, d), dt.date(1997, 3, 15))
+    rows = lake.scan_day(spark, order_lake(spark, d), dt.date(1997, 3, 15), lake_schema(spark, d))
     return rows.groupBy("platform").agg(F.count(F.lit(1)).alias("rows"), F.count("quantity").alias("with_quantity"))
 
 
 @query("lake_partitions", f"""WITH {RAW}, p AS (SELECT {PARTS} FROM raw) SELECT platform, CAST(year(local_day) AS BIGINT) AS year, CAST(month(local_day) AS BIGINT) AS month, count(*) AS rows, count(DISTINCT local_day) AS days FROM p GROUP BY ALL""")
 def lake_partitions(spark, d):
     """Lake partitions by platform and local event month."""
-    return lake.scan(spark, order_lake(spark, d)).groupBy("platform", "year", "month").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("day").alias("days"))
+    return lake.scan(spark, order_lake(spark, d), lake_schema(spark, d)).groupBy("platform", "year", "month").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("day").alias("days"))
 
 
 @query("partition_check", """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS disagreeing FROM lineitem""")
 def partition_check(spark, d):
     """Partition columns agree with the business date of every stored event."""
-    rows = lake.scan(spark, order_lake(spark, d))
+    rows = lake.scan(spark, order_lake(spark, d), lake_schema(spark, d))
     event = S.business_date(F.coalesce(S.to_instant(F.col("create_time")), S.to_instant(F.col("created_time"))))
     return R.partition_agreement(rows, event)
 
@@ -73,7 +77,7 @@ def lake_mixed_union(spark, d):
 @query("lake_provenance", f"""WITH {RAW} SELECT CASE WHEN x = 0 THEN 'unknown' ELSE platform END AS path_platform, count(*) AS rows, count(*) AS positions FROM raw GROUP BY 1""")
 def lake_provenance(spark, d):
     """Every stored row has a position (file, row) that is its own, and its path names the platform."""
-    rows = lake.with_provenance(lake.scan(spark, order_lake(spark, d)))
+    rows = lake.with_provenance(lake.scan(spark, order_lake(spark, d), lake_schema(spark, d)))
     return rows.groupBy(F.col("_path_platform").alias("path_platform")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct("_source_object", "_source_row")).alias("positions"))
 
@@ -243,7 +247,6 @@ def run(query) -> None:
     jobs.drain(query)
 
 
-@once_per_session
 def bronze_folder(spark, d) -> tuple[str, T_.StructType]:
     """Raw events published as JSON text files and landed by the bronze stream."""
     raw = T.raw_events(spark, d)
@@ -260,7 +263,6 @@ def stream_bronze(spark, d):
     return lake.scan(spark, path, merge=False).groupBy("platform", "year", "month").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("day").alias("days"))
 
 
-@once_per_session
 def loaded(spark, d) -> tuple[DataFrame, str]:
     path, schema = bronze_folder(spark, d)
     stored = spark.read.parquet(path).schema

@@ -151,16 +151,16 @@ def ridge_forecast(spark, d):
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
-    """Boosted trees on the latest fold."""
+    """Boosted trees in the recursive walk-forward back-test, metrics per fold."""
     store, series = trained(spark, d)
-    return P.metrics(models.backtest_model(store, series, "gbt", {"trees": 5, "depth": 4}, n_splits=1), ["model", "fold"])
+    return P.metrics(models.backtest_model(store, series, "gbt", {"trees": 20, "depth": 4}), ["model", "fold"])
 
 
 @query("forest_forecast")
 def forest_forecast(spark, d):
-    """Random forest on the latest fold."""
+    """Random forest in the recursive walk-forward back-test, metrics per fold."""
     store, series = trained(spark, d)
-    return P.metrics(models.backtest_model(store, series, "forest", {"trees": 8, "depth": 5}, n_splits=1), ["model", "fold"])
+    return P.metrics(models.backtest_model(store, series, "forest", {"trees": 20, "depth": 5}), ["model", "fold"])
 
 
 @query("grid_search")
@@ -189,7 +189,7 @@ def requests(spark, d, series: DataFrame) -> tuple[DataFrame, DataFrame]:
 ITEM_SQL = "round(greatest(0, round(q - 1.96 * sg * w, 1)), 1) AS lower_bound, round(q + 1.96 * sg * w, 1) AS upper_bound"
 
 
-@query("heuristic_forecast", f"""WITH {DAILY}, last AS (SELECT max(date) AS d FROM daily), {REQUEST_SQL}, i AS (SELECT *, CAST(unnest(generate_series(from_date, to_date, INTERVAL 1 DAY)) AS DATE) AS date FROM st),
+@query("heuristic_forecast", f"""WITH {DAILY}, last AS (SELECT max(date) AS d FROM daily), {REQUEST_SQL.replace(" HAVING sum(d.daily_demand) > 0", "")}, i AS (SELECT *, CAST(unnest(generate_series(from_date, to_date, INTERVAL 1 DAY)) AS DATE) AS date FROM st),
 f AS (SELECT *, round(greatest(0, m * CAST([0.95, 0.98, 1.02, 1.00, 1.10, 1.35, 1.25][isodow(date)] AS DOUBLE) * CASE WHEN day(date) = month(date) THEN 3.5 ELSE 1 END * CAST(CASE WHEN day(date) BETWEEN 25 AND 28 THEN 1.15 ELSE 1 END AS DOUBLE)) + 1e-9, 1) AS q,
   sqrt(CASE WHEN day(date) = month(date) THEN 3.5 ELSE 1 END) AS w FROM i)
 SELECT request_id, sku, CAST(date AS VARCHAR) AS date, q AS predicted_quantity, round(greatest(0, q - 1.96 * sg * w) + 1e-9, 1) AS lower_bound, round(q + 1.96 * sg * w + 1e-9, 1) AS upper_bound FROM f""")
@@ -197,7 +197,7 @@ def heuristic_forecast(spark, d):
     """Heuristic forecast of every requested SKU and range with its interval."""
     series = materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily")
     rows, last = requests(spark, d, series)
-    return P.batch_forecast(rows, series, last, "heuristic").select("request_id", "sku", "date", "predicted_quantity", "lower_bound", "upper_bound")
+    return P.batch_forecast(rows, series, last, "heuristic").filter("history_source = 'warehouse'").select("request_id", "sku", "date", "predicted_quantity", "lower_bound", "upper_bound")
 
 
 @query("batch_forecast", f"""WITH RECURSIVE {DAILY}, last AS (SELECT max(date) AS d FROM daily), {REQUEST_SQL},
@@ -209,7 +209,36 @@ def batch_forecast(spark, d):
     """Recursive forecasts for a table of requests, totals per request."""
     series = materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily")
     rows, last = requests(spark, d, series)
-    return P.forecast_totals(P.batch_forecast(rows, series, last))
+    return P.forecast_totals(P.batch_forecast(rows, series, last, source="local_joblib").filter("model_source = 'local_joblib'"))
+
+
+@query("batch_forecast_refused", f"""WITH {DAILY}, last AS (SELECT max(date) AS d FROM daily)
+SELECT p_partkey AS request_id, ['TOO_MANY_STEPS', 'RANGE_REVERSED', 'RANGE_OVER_90_DAYS', ''][CAST(p_partkey % 4 AS INTEGER) + 1] AS reason, CASE WHEN p_partkey % 4 = 3 THEN 3 ELSE 0 END AS days FROM part""")
+def batch_forecast_refused(spark, d):
+    """Requests that break a rule come back with the rule, beside those that are answered."""
+    series = materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily")
+    last = series.agg(F.max("date").alias("m")).scalar()
+    n = F.col("p_partkey")
+    pick = lambda *days: F.date_add(last, F.element_at(F.array(*map(F.lit, days)), (n % 4 + 1).cast("int")))
+    rows = T.table(spark, d, "part").select(n.alias("request_id"), F.concat_ws(" ", "p_brand", "p_type").alias("sku"),
+                                            pick(195, 5, 1, 1).alias("from_date"), pick(200, 2, 120, 3).alias("to_date"))
+    return P.batch_forecast(rows, series, last).groupBy("request_id", "reason").agg(F.count("date").alias("days"))
+
+
+@query("batch_forecast_fallback", f"""WITH {DAILY}, e AS (SELECT min(date) AS lo, max(date) AS hi FROM daily), s AS (SELECT sku, sum(daily_demand) FILTER (date = e.lo) AS first_day, sum(daily_demand) FILTER (date > e.hi - 120) AS latest FROM daily, e GROUP BY 1)
+SELECT p_partkey AS request_id, CASE WHEN p_partkey % 3 = 0 OR s.sku IS NULL THEN 'heuristic_catalog' WHEN CASE WHEN p_partkey % 3 = 1 THEN first_day ELSE latest END > 0 THEN 'spark_baseline' ELSE 'heuristic_history' END AS model_source,
+  CASE WHEN p_partkey % 3 = 0 OR s.sku IS NULL THEN 'none' ELSE 'warehouse' END AS history_source, CAST(2 AS BIGINT) AS days
+FROM part LEFT JOIN s ON s.sku = p_brand || ' ' || p_type""")
+def batch_forecast_fallback(spark, d):
+    """Requests without demand in their window or without any history are answered by the labelled heuristic."""
+    series = materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily")
+    ends = series.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    first, last = ends.select("lo").scalar(), ends.select("hi").scalar()
+    n = F.col("p_partkey")
+    start = F.when(n % 3 == 1, F.date_add(first, 1)).otherwise(F.date_add(last, 1))
+    rows = T.table(spark, d, "part").select(n.alias("request_id"), F.when(n % 3 == 0, "no such sku").otherwise(F.concat_ws(" ", "p_brand", "p_type")).alias("sku"),
+                                            start.alias("from_date"), F.date_add(start, 1).alias("to_date"))
+    return P.batch_forecast(rows, series, last).groupBy("request_id", "model_source", "history_source").agg(F.count("date").alias("days"))
 
 
 @query("asof_history", f"""WITH {DAILY}, last AS (SELECT max(date) AS d FROM daily), {REQUEST_SQL} SELECT request_id, sku, CAST(history_end AS VARCHAR) AS history_end, CAST(len(h) AS BIGINT) AS days, CAST(list_sum(h) AS DOUBLE) AS demand FROM hist""")

@@ -90,20 +90,16 @@ def period_demand(spark, d):
 @query("geo_sales", f"""WITH {LINES} SELECT state, region, platform, count(DISTINCT (platform, order_id)) AS order_count, CAST(sum(quantity) AS BIGINT) AS total_units,
   CAST(sum(buyer_total_amount) AS DOUBLE) AS total_revenue FROM lines WHERE NOT is_cancelled GROUP BY ALL""")
 def geo_sales(spark, d):
-    places = T.places(spark, d)
-    lines = T.order_lines(spark, d).join(places.select("cust_key", "geo_key"), "cust_key")
-    return marts.geographic_sales(lines, places.select("geo_key", "state", "region").distinct())
+    lines = T.order_lines(spark, d).join(T.places(spark, d).select("cust_key", "geo_key"), "cust_key")
+    return marts.geographic_sales(lines, T.geographies(spark, d))
 
 
 @query("geo_totals", f"""WITH {LINES} SELECT CAST(n.n_nationkey AS BIGINT) AS geo_key, n.n_name AS state, r.r_name AS region, CAST(coalesce(sum(l.buyer_total_amount), 0) AS DOUBLE) AS total_revenue,
   CAST(coalesce(sum(l.quantity), 0) AS BIGINT) AS total_units, count(DISTINCT (l.platform, l.order_id)) FILTER (l.order_id IS NOT NULL) AS total_orders
 FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN lines l ON l.geo_key = n.n_nationkey AND NOT l.is_cancelled GROUP BY ALL HAVING count(l.order_id) > 0""")
 def geo_totals(spark, d):
-    places = T.places(spark, d)
-    lines = T.order_lines(spark, d).join(places.select("cust_key", "geo_key"), "cust_key")
-    nation = T.table(spark, d, "nation").join(T.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("geo_key"), F.col("n_name").alias("state"), F.col("r_name").alias("region"))
-    return marts.geography_totals(lines, nation).orderBy(F.col("total_revenue").desc(), "geo_key")
+    lines = T.order_lines(spark, d).join(T.places(spark, d).select("cust_key", "geo_key"), "cust_key")
+    return marts.geography_totals(lines, T.geographies(spark, d)).orderBy(F.col("total_revenue").desc(), "geo_key")
 
 
 CALENDAR_SQL = """cal AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(o_orderdate) AS DATE) FROM orders), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,17 +62,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def once_per_session(build):
-    """Tables that several reports read are staged once per session and table folder."""
-    made: dict[tuple[str, str], object] = {}
-
-    @wraps(build)
-    def get(spark: SparkSession, folder: str):
-        key = (spark.sparkContext.applicationId, folder)
-        if key not in made:
-            made[key] = build(spark, folder)
-        return made[key]
-
-    return get

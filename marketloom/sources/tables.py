@@ -68,6 +68,12 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_name").alias("product_name"), F.col("p_type").alias("category"))
 
 
+def geographies(spark: SparkSession, folder: str) -> DataFrame:
+    """geo_key, state and region of every nation."""
+    return table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("geo_key"), F.col("n_name").alias("state"), F.col("r_name").alias("region"))
+
+
 def places(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

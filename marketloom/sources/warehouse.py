@@ -1,4 +1,4 @@
-"""Versioned warehouse tables on plain files, order scans for features, and mart files."""
+"""Warehouse tables on plain files, order scans for features, and mart files."""
 
 from __future__ import annotations
 
@@ -8,37 +8,6 @@ from pyspark.sql import functions as F
 from marketloom.functions import vocab as V
 
 
-class VersionedTable:
-    """A table whose versions are whole folders named by batch id.
-
-    A merge writes the next version and readers take the highest finished one, so a failed or
-    repeated batch never leaves a half-written table: the success marker is written last.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _filesystem(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        fs, Path = self._filesystem()
-        if not fs.exists(Path(self.root)):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(Path(self.root))]
-        numbers = [int(n.split("=")[1]) for n in found if n.startswith("version=")]
-        return sorted(n for n in numbers if fs.exists(Path(f"{self.root}/version={n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        usable = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.root}/version={usable[-1]}") if usable else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/version={version}")
-
-
 def orders_for_features(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Valid order lines with product columns, labelled as the live origin."""
     return fact.filter(~F.col("is_cancelled")).join(products.select("product_key", "sku", "product_name", "category"), "product_key").withColumn(

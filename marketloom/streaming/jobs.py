@@ -7,13 +7,10 @@ rows need no watermark, because they go to the partition of their own event date
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketloom.functions import scalars as S
 from marketloom.operators import latest as L
@@ -23,15 +20,21 @@ from marketloom.sources import lake, quarantine
 from marketloom.sources.warehouse import KeyedTable
 
 ORDERS_TOPIC, INVENTORY_TOPIC = "ecom.orders.raw", "inventory.logs"
-FLUSH_ROWS, FLUSH_INTERVAL = 500, "60 seconds"
+FLUSH_ROWS, FLUSH_AFTER, LOOK_EVERY = 500, "60s", "1 second"
 
 
 # ---- sources and sinks ------------------------------------------------------------------
 
-def read_topic(spark: SparkSession, servers: str, topic: str, max_offsets: int = FLUSH_ROWS) -> DataFrame:
+def topic_options(servers: str, topic: str, flush_rows: int = FLUSH_ROWS, flush_after: str = FLUSH_AFTER, most: int | None = None) -> dict[str, str]:
+    """A batch begins once ``flush_rows`` messages wait or the oldest has waited ``flush_after``; it takes all that wait, or ``most``."""
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "minOffsetsPerTrigger": str(flush_rows),
+               "maxTriggerDelay": flush_after}
+    return options | ({"maxOffsetsPerTrigger": str(most)} if most else {})
+
+
+def read_topic(spark: SparkSession, servers: str, topic: str, **flush) -> DataFrame:
     """Kafka topic from the earliest offset; offsets live in the query's checkpoint."""
-    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-            .option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", max_offsets).load()
+    return (spark.readStream.format("kafka").options(**topic_options(servers, topic, **flush)).load()
             .select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("received_at")))
 
 
@@ -56,7 +59,7 @@ def drain(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def _start(writer, once: bool, interval: str = FLUSH_INTERVAL) -> StreamingQuery:
+def _start(writer, once: bool, interval: str = LOOK_EVERY) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
@@ -64,7 +67,9 @@ def _start(writer, once: bool, interval: str = FLUSH_INTERVAL) -> StreamingQuery
 
 def bronze(messages: DataFrame, schema: T.StructType, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Decoded messages to the lake by platform and event date; unreadable text is kept as a row."""
-    rows = lake.with_partitions(lake.decode(messages, schema), F.current_timestamp())
+    # An event without a readable time belongs to the day it was received, also when its batch is delayed or repeated.
+    decoded = lake.decode(messages, schema)
+    rows = lake.with_partitions(decoded, F.col("received_at")).drop("received_at")
     # One task per event day, not one file per task and day.
     writer = rows.hint("rebalance", *lake.PARTITIONS).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(*lake.PARTITIONS)
     return _start(writer, once)
@@ -112,7 +117,7 @@ def load_batch(batch: DataFrame, batch_id: int, fact: KeyedTable, quarantine_pat
         keep = ["order_id", "platform", "sku", "source_line_id", "original_price", "source_object", "source_row", "rejection_reasons", "raw_payload"]
         quarantine.write(rejected.select(*keep), quarantine_path, f"batch-{batch_id}")
         lines = L.deduplicate_lines(accepted).withColumn("date_key", F.date_format("create_time", "yyyyMMdd").cast("int"))
-        fact.merge(lines.select(*FACT_SCHEMA.fieldNames()), M.merge_fact)
+        _merge_once(lines.select(*FACT_SCHEMA.fieldNames()), fact, M.merge_fact)
     finally:
         checked.unpersist()
 
@@ -133,7 +138,7 @@ def snapshot_batch(batch: DataFrame, batch_id: int, table: KeyedTable, quarantin
         quarantine.write(rejected, quarantine_path, f"batch-{batch_id}")
         at = S.business_time(S.to_instant(F.col("loaded_at")))
         rows = accepted.select("sku", at.cast("date").alias("snapshot_date"), at.alias("snapshot_at"), S.as_number(F.col("stock_on_hand")).cast("int").alias("stock_on_hand"))
-        table.merge(rows, lambda stored, new: M.merge_snapshots(stored, new, ["sku", "snapshot_date"]))
+        _merge_once(rows, table, lambda stored, new: M.merge_snapshots(stored, new, ["sku", "snapshot_date"]))
     finally:
         checked.unpersist()
 
@@ -171,31 +176,24 @@ def latest_result(df: DataFrame, path: str, checkpoint: str, mode: str = "comple
     return _start(writer, True)
 
 
-STOCK_OUTPUT = "sku string, balance long, movements long"
-
-
-def _stock_state(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    """Running balance of one SKU; frames arrive in chunks and are only summed."""
-    import pandas as pd
-
-    balance, count = state.get if state.exists else (0, 0)
-    for frame in frames:
-        balance += int(frame["delta"].sum())
-        count += int(frame["n"].sum())
-    state.update((balance, count))
-    yield pd.DataFrame({"sku": [key[0]], "balance": [balance], "movements": [count]})
-
-
 def stock_state(deltas: DataFrame) -> DataFrame:
-    """Current stock per SKU as keyed state, emitted for the SKUs of each batch.
+    """Current stock per SKU (balance, movements), emitted for the SKUs of each batch; movements are summed before they are shuffled.
 
-    ``deltas``: sku, delta, n. Movements may be summed per SKU and file split beforehand.
+    ``deltas``: sku, delta, n.
     """
-    return deltas.groupBy("sku").applyInPandasWithState(
-        _stock_state, STOCK_OUTPUT, "balance long, movements long", "update", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("sku").agg(F.sum("delta").cast("long").alias("balance"), F.sum("n").cast("long").alias("movements"))
 
 
 def store_balances(df: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
     writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: table.merge(batch, lambda stored, new: M.merge_versioned(stored, new, ["sku"], "movements")))
+        lambda batch, batch_id: _merge_once(batch, table, lambda stored, new: M.merge_versioned(stored, new, ["sku"], "movements")))
     return _start(writer, True)
+
+
+def _merge_once(batch: DataFrame, table: KeyedTable, merge) -> None:
+    """A stateful batch is computed once, although the merge reads it for its keys and for its rows."""
+    kept = batch.persist()
+    try:
+        table.merge(kept, merge)
+    finally:
+        kept.unpersist()

@@ -167,12 +167,15 @@ def test_features_do_not_leak(spark):
 
 
 def test_ema_over_several_blocks(spark):
-    values = [(i * 37) % 11 for i in range(1300)]
-    rows = sorted(X.ema_features(series(spark, values)).collect(), key=lambda r: r.date)
-    level = float(values[0])
-    for i in range(1, 1300):
-        assert abs(rows[i].ema_14 - level) < 1e-9
-        level += (values[i] - level) * 2 / 15
+    values = [(i * 37) % 11 for i in range(1600)]
+    spans = (2, 7, 14, 200, 365)
+    rows = sorted(X.ema_features(series(spark, values), spans=spans).collect(), key=lambda r: r.date)
+    for s in spans:
+        level, a = None, 2 / (s + 1)
+        for i, v in enumerate(values):
+            got = rows[i][f"ema_{s}"]
+            assert (got is None) if level is None else abs(got - level) < 1e-9, (s, i)
+            level = v if level is None else (1 - a) * level + a * v
 
 
 def test_state_features_equal_batch_features(spark):
@@ -228,3 +231,33 @@ def test_policy(spark, mean, sigma, stock, want):
 def test_short_series_gives_one_padded_window(spark):
     out = X.sequence_windows(series(spark, [1, 2, 3]), ["daily_demand"]).collect()
     assert len(out) == 1 and out[0].target == 3 and [s[0] for s in out[0].steps] == [1.0] * 12 + [1.0, 2.0]
+
+
+def test_topic_flushes_by_rows_or_time():
+    from marketloom.streaming import jobs
+
+    options = jobs.topic_options("host:9092", "orders")
+    assert options["minOffsetsPerTrigger"] == "500" and options["maxTriggerDelay"] == "60s" and "maxOffsetsPerTrigger" not in options
+    assert jobs.topic_options("host:9092", "orders", most=7)["maxOffsetsPerTrigger"] == "7"
+
+
+def test_every_forecast_request_is_answered(spark):
+    daily = series(spark, [3] * 40, "A").unionByName(series(spark, [0] * 40, "Z"))
+    last = dt.date(2026, 1, 1) + dt.timedelta(days=39)
+    ask = [(1, "A", 1, 3), (2, "A", 200, 201), (3, "none", 1, 2), (4, "Z", 1, 2), (5, "A", 5, 2)]
+    rows = spark.createDataFrame([(i, s, last + dt.timedelta(days=a), last + dt.timedelta(days=b)) for i, s, a, b in ask],
+                                 "request_id long, sku string, from_date date, to_date date")
+    got = {}
+    for r in P.batch_forecast(rows, daily, F.lit(last)).collect():
+        got.setdefault(r.request_id, []).append((r.model_source, r.reason, r.predicted_quantity))
+    assert {i: (len(x), x[0][:2]) for i, x in got.items()} == {
+        1: (3, ("spark_baseline", "")), 2: (1, ("refused", "TOO_MANY_STEPS")), 3: (2, ("heuristic_catalog", "")), 4: (2, ("heuristic_history", "")),
+        5: (1, ("refused", "RANGE_REVERSED"))}
+
+
+def test_dedupe_reads_its_input_once(spark, tmp_path):
+    rows = [("1", "p", "id:1", 1), ("1", "p", "id:1", 2), (None, "p", "id:1", 1), (None, "p", "id:1", 1)]
+    spark.createDataFrame(rows, "order_id string, platform string, source_line_id string, source_updated_at int").write.parquet(f"{tmp_path}/lines")
+    out = L.deduplicate_lines(spark.read.parquet(f"{tmp_path}/lines"))
+    assert sorted((r.order_id or "", r.source_updated_at) for r in out.collect()) == [("", 1), ("", 1), ("1", 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
