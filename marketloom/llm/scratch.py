@@ -22,6 +22,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    # The session holds on to its last query; a tiny one takes that place.
+    spark.range(1).collect()
     gc.collect()
     jvm.System.gc()
 
