@@ -1,5 +1,6 @@
 """Vocabularies, limits and lookup constants of the data contract."""
 
+# Business time zone, platforms, order statuses and largest accepted values.
 BUSINESS_TZ = "Asia/Ho_Chi_Minh"
 PLATFORMS = ("shopee", "tiktok")
 CANCELLED = ("CANCELLED", "IN_CANCEL", "CANCEL_REQUESTED")
@@ -16,6 +17,8 @@ LENGTH_LIMITS = {
     "shop_id": 50, "shop_name": 255, "state": 100, "city": 100, "district": 100, "country": 10,
     "payment_method": 50, "carrier_name": 100, "cancel_reason": 500,
 }
+
+# Columns that a line must have, its amounts and its lifecycle times.
 REQUIRED = ("order_id", "platform", "sku", "create_time", "order_status")
 MANDATORY_AMOUNTS = ("original_price", "subtotal", "buyer_total_amount")
 OPTIONAL_AMOUNTS = (
@@ -24,6 +27,7 @@ OPTIONAL_AMOUNTS = (
 )
 LIFECYCLE = ("create_time", "pay_time", "shipped_time", "completed_time", "cancel_time")
 
+# Names of data origins and model sources.
 LIVE_ORIGINS = ("unverified_warehouse", "warehouse_live")
 HISTORY_ORIGIN = "public_anonymized_historical_csv"
 TRAINED_SOURCES = ("mlflow_registry", "local_joblib")
@@ -85,12 +89,11 @@ PAYDAY_FACTOR = 1.15
 MARKET_MONTHS = (0.95, 0.62, 0.86, 0.97, 1.12, 1.03, 0.88, 1.16, 1.32, 1.18, 1.65, 1.5)
 FLASH_HOURS = (12, 20, 21)
 
+# Lags, windows and spans of the features, history limits, and monitored features.
 DEFAULT_LAGS = (1, 2, 3, 7, 14, 21, 28)
-BARE_LAGS = (1, 2, 3, 7, 14, 28)
 ROLLING_WINDOWS = (7, 14, 28)
 EMA_SPANS = (7, 14)
 HISTORY_DAYS = 120
-PUBLIC_HISTORY_DAYS = 240
 STATS_WINDOW_DAYS = 28
 MAX_FORECAST_STEPS = 180
 DRIFT_COLUMNS = (

@@ -12,6 +12,7 @@ from marketloom.functions import vocab as V
 from marketloom.operators import demand as D
 
 TARGET = "target_t_plus_1"
+# Columns that are not features.
 NOT_FEATURES = ("sku", "date", "target_date", "product_name", "category", "abc_class", "xyz_class", "matrix_class", TARGET)
 
 
