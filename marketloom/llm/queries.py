@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe_codec, bpe_count, cap_dedup, fingerprints, license_scan, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity
+from marketloom.llm import (
+    bpe_codec, bpe_count, cap_dedup, decontaminate, fingerprints, hard_negatives, license_scan, line_dedup, mixing, simhash_dedup, suffix_dedup, toxicity,
+    vector_codes,
+)
 from marketloom.llm.shipping import ship
 
 
@@ -55,7 +58,23 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, folder, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_license_scan, op4_cap_dedup, op5_fingerprints, op6_line_dedup, op7_token_counts, op8_suffix_dedup, op9_byte_bpe, op10_simhash_dedup)
+    f.__name__: f for f in (
+        op1_toxicity, op2_source_mix, op3_license_scan, op4_cap_dedup, op5_fingerprints, op6_line_dedup, op7_token_counts, op8_suffix_dedup, op9_byte_bpe, op10_simhash_dedup,
+        op11_decontamination, op12_hard_negatives, op13_vector_codes)
+}
+ORACLES: dict[str, str] = {
+    "op11_decontamination": decontaminate.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_vector_codes": vector_codes.ORACLE,
 }
-ORACLES: dict[str, str] = {}
