@@ -2,7 +2,7 @@
 
 Both sides carry unique keys when they meet (incoming rows are reduced first, map-side), so the
 full outer joins have no hot key. Writing the result to a new folder and switching to it is the
-caller's step; see ``sources.warehouse.KeyedTable``.
+caller's step; see ``sources.warehouse.PartedTable``.
 """
 
 from __future__ import annotations

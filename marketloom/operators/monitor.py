@@ -12,11 +12,12 @@ def window_ratio(events: DataFrame, ts: str, condition: Column, size: str = "5 m
                  threshold: float = 0.10) -> DataFrame:
     """Share of matching events per sliding window, with an alert above the threshold.
 
-    Events are first counted per slide interval, so each event is not copied into every window.
+    Events are first counted per slide interval, so each event is not copied into every window. Also for a stream with a watermark on
+    ``ts``: a window then appears once, when the watermark has passed it.
     """
     per_slide = events.groupBy(F.window(ts, slide).alias("_s")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(condition).alias("hits"))
-    out = per_slide.groupBy(F.window(F.col("_s.start"), size, slide).alias("w")).agg(
+    out = per_slide.groupBy(F.window("_s", size, slide).alias("w")).agg(
         F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     share = F.col("hits") / F.col("n")
     return out.select(F.col("w.start").alias("window_start"), "n", "hits", F.round(share, 6).alias("share"),

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from marketloom.functions import scalars as S
 from marketloom.functions import vocab as V
 from marketloom.operators import forecast as P
+from marketloom.operators import monitor
 from marketloom.operators import reconcile as R
 from marketloom.plans import marts
 from marketloom.plans.demand_queries import live_segments, product_table, segment_columns, sku_lines
 from marketloom.plans.registry import query
 from marketloom.plans.sales_queries import SUMMARY_SQL, cents_ratio, summary_of
-from marketloom.plans.sql_parts import DAILY, LINES, LIVE_DEMAND, RAW, SNAPSHOTS, USER_SKU, segments
+from marketloom.plans.sql_parts import DAILY, LINES, LIVE_DEMAND, RATIO_SQL, RAW, USER_SKU, segments
 from marketloom.plans.demand_queries import SEG_OUT
-from marketloom.session import new_folder
+from marketloom.session import materialise, new_folder
 from marketloom.sources import history as H
 from marketloom.sources import lake
 from marketloom.sources import tables as T
@@ -247,6 +249,75 @@ def run(query) -> None:
     jobs.drain(query)
 
 
+class Stopped(RuntimeError):
+    """A drill stops a stream between the write and the commit of a batch."""
+
+
+def _stop(_: int) -> None:
+    raise Stopped("drill")
+
+
+DELIVERIES = 4
+
+
+def deliver(rows: DataFrame, second: Column, folder: str, start, stop: int | None = None, last: DataFrame | None = None) -> None:
+    """Appends rows to a folder in ``DELIVERIES`` parts by the ``second`` of their arrival and runs ``start(stream, after)`` over each, on one checkpoint.
+
+    ``last`` is delivered after all others. At the delivery ``stop`` the stream is stopped after the sink was written, and started again.
+    """
+    spark = rows.sparkSession
+    span = rows.agg(F.min(second).alias("lo"), F.max(second).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    number = F.floor((second - lo) * DELIVERIES / (hi - lo + 1))
+    parts = [rows.filter(number == k) for k in range(DELIVERIES)] + ([last] if last is not None else [])
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        if k == stop:
+            try:
+                run(start(stream, _stop))
+            except StreamingQueryException as e:
+                if "Stopped" not in str(e):
+                    raise
+        run(start(stream, None))
+
+
+def late_events(spark, d) -> tuple[DataFrame, Column, DataFrame]:
+    """Events, the second at which each arrives (up to a day late), and a heartbeat long after them that lets every window close."""
+    e = T.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_timestamp("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    beat = e.agg((F.max("ts") + F.expr("interval 60 days")).alias("ts"))
+    columns = [F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema.fields]
+    return e, arrival, beat.select(*columns)
+
+
+#: Events arrive up to a day late, so with this delay none is lost.
+DELAY = "25 hours"
+
+
+def closed(spark, d, windows, table) -> DataFrame:
+    """Runs a windowed stream over late events in four deliveries and a heartbeat, stopped once, and reads the closed windows."""
+    e, arrival, beat = late_events(spark, d)
+    checkpoint = new_folder(spark, "cp")
+    deliver(e, arrival, new_folder(spark, "arrivals"), lambda s, after: jobs.store_closed(windows(s.withWatermark("ts", DELAY)), table, checkpoint, True, after), 2, beat)
+    return table.read()
+
+
+def raw_deliveries(spark, d, each) -> None:
+    """Raw events as JSON text, delivered by event day with every tenth order a delivery late; ``each(inbox, after)`` runs after each delivery."""
+    raw = T.raw_events(spark, d)
+    created = F.to_timestamp(F.coalesce("create_time", "created_time"))
+    late = F.when(F.pmod(F.xxhash64("order_sn", "order_id"), F.lit(10)) == 0, F.lit(400 * 86_400)).otherwise(F.lit(0))
+    rows = raw.select(F.to_json(F.struct("*")).alias("value"), (F.unix_timestamp(created) + late).alias("second"))
+    span = rows.agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    number = F.floor((F.col("second") - span.select("lo").scalar()) * DELIVERIES / (span.select("hi").scalar() - span.select("lo").scalar() + 1))
+    numbered = materialise(rows.select("value", F.coalesce(number, F.lit(0)).alias("number")), "raw-deliveries")
+    inbox = new_folder(spark, "inbox")
+    for k in range(DELIVERIES):
+        numbered.filter(F.col("number") == k).select("value").write.mode("append").text(inbox)
+        each(inbox, k)
+
+
 def bronze_folder(spark, d) -> tuple[str, T_.StructType]:
     """Raw events published as JSON text files and landed by the bronze stream."""
     raw = T.raw_events(spark, d)
@@ -264,19 +335,36 @@ def stream_bronze(spark, d):
 
 
 def loaded(spark, d) -> tuple[DataFrame, str]:
-    path, schema = bronze_folder(spark, d)
-    stored = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(stored).option("maxFilesPerTrigger", 2000).parquet(path).drop("platform", "year", "month", "day", "_raw_payload_json", "_ingest_error", "_source_platform")
-    rejects = new_folder(spark, "rejects")
-    fact = jobs.fact_table(spark, new_folder(spark, "fact"), 16)
-    run(jobs.incremental_load(rows, fact, rejects, new_folder(spark, "cp"), once=True))
+    """Messages in four deliveries through bronze into the fact; the load is stopped once between write and commit."""
+    raw = T.raw_events(spark, d).schema
+    path, rejects, cp, cp2 = (new_folder(spark, n) for n in ("bronze", "rejects", "cp", "cp"))
+    # Seven years of few orders: a folder a month.
+    fact = jobs.fact_table(spark, new_folder(spark, "fact"), "date_format(create_time, 'yyyy-MM')")
+
+    known: list[T_.StructType] = []
+
+    def each(inbox: str, k: int) -> None:
+        run(jobs.bronze(jobs.read_messages(spark, inbox), raw, path, cp, once=True))
+        if not known:
+            known.append(spark.read.parquet(path).schema)
+        drop = ("platform", "year", "month", "day", "_raw_payload_json", "_ingest_error", "_source_platform")
+        start = lambda after: jobs.incremental_load(spark.readStream.schema(known[0]).parquet(path).drop(*drop), fact, rejects, cp2, True, after)
+        if k == 1:
+            try:
+                run(start(_stop))
+            except StreamingQueryException as e:
+                if "Stopped" not in str(e):
+                    raise
+        run(start(None))
+
+    raw_deliveries(spark, d, each)
     return fact.read(), rejects
 
 
 @query("stream_incremental_etl", f"""WITH {RAW}, good AS (SELECT * FROM checked WHERE len(errors) = 0)
 SELECT t_order_id AS order_id, t_platform AS platform, source_line_id, CAST(max(l_version) AS VARCHAR) AS source_updated_at, any_value(n_status) AS order_status FROM good GROUP BY 1, 2, 3""")
 def stream_incremental_etl(spark, d):
-    """Bronze to warehouse in micro-batches: validated, deduplicated, merged by version."""
+    """Bronze to warehouse in micro-batches, stopped and started again: validated, deduplicated, merged by version."""
     fact, _ = loaded(spark, d)
     return fact.select("order_id", "platform", "source_line_id", "source_updated_at", "order_status")
 
@@ -288,33 +376,46 @@ def stream_quarantine(spark, d):
     return spark.read.schema("rejection_reasons string").json(f"{rejects}/run_id=*").groupBy("rejection_reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_snapshot_upsert", f"""WITH s AS (SELECT {USER_SKU} AS sku, ts + INTERVAL 7 HOUR AS t, CAST(floor(value) AS BIGINT) AS stock, event_id FROM events WHERE event_id % 10 <> 0)
-SELECT sku, CAST(CAST(t AS DATE) AS VARCHAR) AS snapshot_date, stock AS stock_on_hand FROM s QUALIFY row_number() OVER (PARTITION BY sku, CAST(t AS DATE) ORDER BY t DESC, event_id DESC) = 1""")
+SNAPSHOT_UPSERT_SQL = f"""WITH s AS (SELECT {USER_SKU} AS sku, ts + INTERVAL 7 HOUR AS t, CAST(floor(value) AS BIGINT) AS stock, event_id FROM events WHERE event_id % 10 <> 0)
+SELECT sku, CAST(CAST(t AS DATE) AS VARCHAR) AS snapshot_date, stock AS stock_on_hand FROM s QUALIFY row_number() OVER (PARTITION BY sku, CAST(t AS DATE) ORDER BY t DESC, event_id DESC) = 1"""
+
+
+def snapshot_messages(events: DataFrame) -> DataFrame:
+    """Snapshot texts of events; one in ten is malformed."""
+    return events.select(T.sku_of_user(F.col("user_id")).alias("sku"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("loaded_at"),
+                         F.when(F.col("event_id") % 10 == 0, "-1").otherwise(F.floor("value").cast("string")).alias("stock_on_hand"))
+
+
+@query("stream_snapshot_upsert", SNAPSHOT_UPSERT_SQL)
 def stream_snapshot_upsert(spark, d):
     """Snapshot stream merged per SKU and business day, malformed snapshots quarantined."""
-    e = event_stream(spark, d)
-    rows = e.select(T.sku_of_user(F.col("user_id")).alias("sku"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("loaded_at"),
-                    F.when(F.col("event_id") % 10 == 0, "-1").otherwise(F.floor("value").cast("string")).alias("stock_on_hand"))
-    table = W.KeyedTable(spark, new_folder(spark, "snapshots"), ["sku", "snapshot_date"], jobs.SNAPSHOT_SCHEMA, 8)
-    run(jobs.snapshot_upsert(rows, table, new_folder(spark, "rejects"), new_folder(spark, "cp"), once=True))
+    table = jobs.snapshot_table(spark, new_folder(spark, "snapshots"))
+    run(jobs.snapshot_upsert(snapshot_messages(event_stream(spark, d)), table, new_folder(spark, "rejects"), new_folder(spark, "cp"), once=True))
+    return table.read().select("sku", "snapshot_date", "stock_on_hand")
+
+
+@query("stream_snapshot_restart", SNAPSHOT_UPSERT_SQL)
+def stream_snapshot_restart(spark, d):
+    """The same from four deliveries out of order, the stream stopped after a write and before its commit."""
+    e, arrival, _ = late_events(spark, d)
+    table, rejects, checkpoint = jobs.snapshot_table(spark, new_folder(spark, "snapshots")), new_folder(spark, "rejects"), new_folder(spark, "cp")
+    deliver(e, arrival, new_folder(spark, "arrivals"), lambda s, after: jobs.snapshot_upsert(snapshot_messages(s), table, rejects, checkpoint, True, after), 1)
     return table.read().select("sku", "snapshot_date", "stock_on_hand")
 
 
 @query("stream_tumbling", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    """Hourly counts from the event stream."""
-    path = new_folder(spark, "windows")
-    run(jobs.latest_result(jobs.windowed_counts(event_stream(spark, d), "ts", "event_type", F.floor("value")), path, new_folder(spark, "cp")))
-    return spark.read.parquet(path)
+    """Hourly counts from late events, each window once and when it is closed."""
+    table = jobs.window_table(spark, new_folder(spark, "windows"), "event_type", "string", n="long", total="long")
+    return closed(spark, d, lambda e: jobs.windowed_counts(e, "ts", "event_type", F.floor("value")), table)
 
 
 @query("stream_sliding", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(k AS INTEGER)) AS ws, event_type, value FROM events, (SELECT unnest(range(3)) AS k))
 SELECT CAST(ws AS VARCHAR) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM w GROUP BY ALL""")
 def stream_sliding(spark, d):
     """Three-hour windows with an hourly slide."""
-    path = new_folder(spark, "windows")
-    run(jobs.latest_result(jobs.windowed_counts(event_stream(spark, d), "ts", "event_type", F.floor("value"), "3 hours", "1 hour"), path, new_folder(spark, "cp")))
-    return spark.read.parquet(path)
+    table = jobs.window_table(spark, new_folder(spark, "windows"), "event_type", "string", n="long", total="long")
+    return closed(spark, d, lambda e: jobs.windowed_counts(e, "ts", "event_type", F.floor("value"), "3 hours", "1 hour"), table)
 
 
 @query("stream_session", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -322,9 +423,16 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, d):
     """Activity sessions per user with a twelve-hour gap."""
-    path = new_folder(spark, "sessions")
-    run(jobs.latest_result(jobs.sessions(event_stream(spark, d), "ts", "user_id", "12 hours"), path, new_folder(spark, "cp")))
-    return spark.read.parquet(path)
+    kind = T.table(spark, d, "events").schema["user_id"].dataType.typeName()
+    table = jobs.window_table(spark, new_folder(spark, "sessions"), "user_id", kind, "session_start", session_end="timestamp", n="long")
+    return closed(spark, d, lambda e: jobs.sessions(e, "ts", "user_id", "12 hours"), table)
+
+
+@query("stream_window_ratio", RATIO_SQL)
+def stream_window_ratio(spark, d):
+    """Error share in sliding six-hour windows of a stream, each window once and when it is closed."""
+    table = W.PartedTable(spark, new_folder(spark, "ratios"), ["window_start"], jobs.RATIO_SCHEMA, "cast(window_start as date)")
+    return closed(spark, d, lambda e: monitor.window_ratio(e, "ts", F.coalesce(F.col("event_type") == "error", F.lit(False)), "6 hours", "1 hour"), table)
 
 
 @query("stream_dedupe", "SELECT count(DISTINCT (user_id, event_type, CAST(ts AS DATE))) AS lines FROM events")
@@ -343,6 +451,6 @@ def stream_stock_state(spark, d):
     v = F.floor("value")
     delta = F.when(F.col("event_type") == "purchase", -v).when(F.col("event_type") == "error", F.lit(0)).otherwise(v).cast("long")
     rows = event_stream(spark, d).select(T.sku_of_user(F.col("user_id")).alias("sku"), delta.alias("delta"), F.lit(1).cast("long").alias("n"))
-    table = W.KeyedTable(spark, new_folder(spark, "balances"), ["sku"], jobs.BALANCE_SCHEMA, 8)
+    table = jobs.balance_table(spark, new_folder(spark, "balances"), 8)
     run(jobs.store_balances(jobs.stock_state(rows), table, new_folder(spark, "cp")))
     return table.read()

@@ -17,7 +17,7 @@ from marketloom.operators.inventory import recent_statistics
 from marketloom.plans import marts
 from marketloom.plans.demand_queries import DAILY, LINES, RECENT_SQL, STORE_SQL, daily, feature_store, live_segments, sku_lines
 from marketloom.plans.registry import query
-from marketloom.plans.sql_parts import LIVE_DEMAND, segments
+from marketloom.plans.sql_parts import LIVE_DEMAND, RATIO_SQL, segments
 from marketloom.session import materialise
 from marketloom.sources import tables as T
 
@@ -490,9 +490,7 @@ def retrain_decision(spark, d):
 
 # ---- monitoring -------------------------------------------------------------------------
 
-@query("window_ratio", """WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS slot, count(*) AS n, count(*) FILTER (event_type = 'error') AS h FROM events GROUP BY 1),
-w AS (SELECT slot - to_hours(CAST(k AS INTEGER)) AS ws, n, h FROM s, (SELECT unnest(range(6)) AS k)), g AS (SELECT ws, sum(n) AS n, sum(h) AS h FROM w GROUP BY 1)
-SELECT CAST(ws AS VARCHAR) AS window_start, CAST(n AS BIGINT) AS n, CAST(h AS BIGINT) AS hits, round(h / n, 6) AS share, h / n > 0.10 AS alert FROM g""")
+@query("window_ratio", RATIO_SQL)
 def window_ratio(spark, d):
     """Error share in sliding six-hour windows, hourly slide."""
     e = T.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")

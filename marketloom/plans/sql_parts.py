@@ -125,3 +125,8 @@ checked AS (
     CASE WHEN c_created IS NULL THEN 'INVALID_CREATE_TIMESTAMP' END,
     CASE WHEN c_paid < c_created THEN 'PAY_TIME_BEFORE_CREATE_TIME' END], lambda e: e IS NOT NULL) AS errors
   FROM typed)"""
+
+# Share of errors in sliding windows of six hours.
+RATIO_SQL = """WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS slot, count(*) AS n, count(*) FILTER (event_type = 'error') AS h FROM events GROUP BY 1),
+w AS (SELECT slot - to_hours(CAST(k AS INTEGER)) AS ws, n, h FROM s, (SELECT unnest(range(6)) AS k)), g AS (SELECT ws, sum(n) AS n, sum(h) AS h FROM w GROUP BY 1)
+SELECT CAST(ws AS VARCHAR) AS window_start, CAST(n AS BIGINT) AS n, CAST(h AS BIGINT) AS hits, round(h / n, 6) AS share, h / n > 0.10 AS alert FROM g"""

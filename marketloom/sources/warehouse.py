@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,43 +48,102 @@ def require_sales(summary: DataFrame, history: DataFrame) -> None:
         raise RuntimeError("no valid orders: nothing to export")
 
 
-class KeyedTable:
-    """A large table stored in hash buckets of its key, merged bucket by bucket.
+PART = "_part"
+
 
-    A batch rewrites only the buckets its keys fall into, and reading prunes to the same buckets,
-    so the cost of a merge follows the batch and not the table. A merge that is repeated after a
-    failure finds either old or new buckets; version-gated merges give the same result from both.
+class PartedTable:
+    """A table with one folder for each day (or other part) of its rows, merged part by part.
+
+    A batch is merged with the stored rows of the parts it touches. The new content of those parts is written beside the table first; once it
+    is complete, each part's folder is replaced by it, and all other folders stay as they are. A stop at any point loses nothing: what is
+    complete beside the table is put in place by the next merge, what is not is thrown away, and the batch is merged again.
+    One writer at a time; a reader may meet a batch of which some parts are in place and some are not yet.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema, buckets: int = 256):
-        self.spark, self.root, self.keys, self.schema, self.buckets = spark, root.rstrip("/"), keys, schema, buckets
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], schema, part: str, moving: bool = False):
+        """``part``: SQL text of a row's part. ``moving``: versions of a key may name different parts; the stored one is then looked up
+        by the key columns of the other parts, else only the parts of the batch are read."""
+        self.spark, self.root, self.keys, self.schema, self.part, self.moving = spark, root.rstrip("/"), keys, schema, part, moving
+        self.staged, self.ledger = f"{self.root}.staged", f"{self.root}.applied"
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+    def _path(self, text: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _names(self, text: str) -> list[str]:
+        files, path = self._path(text)
+        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
 
-    def read(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self._stored().drop("_bucket")
+    def _parted(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(PART, F.coalesce(F.expr(self.part).cast("string"), F.lit("none")))
 
     def _stored(self) -> DataFrame:
         from pyspark.sql import types as T
 
-        schema = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
+        schema = T.StructType([*self.schema.fields, T.StructField(PART, T.StringType())])
+        if not any(n.startswith(f"{PART}=") for n in self._names(self.root)):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.root)
 
-    def merge(self, incoming: DataFrame, merge) -> None:
-        """``merge(stored, incoming)`` gets the stored rows of the touched buckets only."""
-        batch = self._bucketed(incoming)
-        # At most one small number per bucket reaches the driver.
-        touched = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]
-        if not touched:
+    def read(self) -> DataFrame:
+        return self._stored().drop(PART)
+
+    def merge(self, incoming: DataFrame, merge, batch: tuple[str, int] | None = None) -> None:
+        """``merge(stored, incoming)`` gets the stored rows of the touched parts only and returns their new content.
+
+        ``batch`` is a stream and a number that grows within it; a batch that was applied before is left out.
+        """
+        self._put_in_place()
+        if batch and batch[1] <= self.last_applied(batch[0]):
             return
-        stored = self._stored().filter(F.col("_bucket").isin(touched)).drop("_bucket") if self._exists() \
-            else self.spark.createDataFrame([], self.schema)
-        merged = self._bucketed(merge(stored, incoming).select(*self.schema.fieldNames()))
-        merged.repartition(F.col("_bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.root)
+        # At most one short text for each part reaches the driver.
+        parts = {r[PART] for r in self._parted(incoming).select(PART).distinct().collect()}
+        if parts:
+            stored = self._stored()
+            if self.moving:
+                parts |= self._elsewhere(stored, incoming, parts)
+            merged = merge(stored.filter(F.col(PART).isin(*parts)).drop(PART), incoming).select(*self.schema.fieldNames())
+            self._parted(merged).hint("rebalance", PART).write.mode("overwrite").partitionBy(PART).parquet(self.staged)
+            self._mark(f"{self.staged}/_complete")
+            self._put_in_place()
+        if batch:
+            self._note(*batch)
+
+    def _elsewhere(self, stored: DataFrame, incoming: DataFrame, parts: set[str]) -> set[str]:
+        wanted = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys])
+        others = stored.filter(~F.col(PART).isin(*parts)).select(*self.keys, PART)
+        return {r[PART] for r in others.join(wanted, same, "left_semi").select(PART).distinct().collect()}
+
+    def _mark(self, text: str) -> None:
+        files, path = self._path(text)
+        files.create(path, True).close()
+
+    def _put_in_place(self) -> None:
+        """Replaces the folders of the parts that are complete beside the table; leaves no rest."""
+        names = self._names(self.staged)
+        if "_complete" in names:
+            files, root = self._path(self.root)
+            files.mkdirs(root)
+            for name in sorted(n for n in names if n.startswith(f"{PART}=")):
+                self._replace(name)
+        if names:
+            files, path = self._path(self.staged)
+            files.delete(path, True)
+
+    def _replace(self, name: str) -> None:
+        files, target = self._path(f"{self.root}/{name}")
+        files.delete(target, True)
+        if not files.rename(self._path(f"{self.staged}/{name}")[1], target):
+            raise OSError(f"could not put {name} in place")
+
+    def last_applied(self, stream: str) -> int:
+        """Number of the last batch of a stream that is in the table, -1 if none."""
+        return max([int(n.rpartition("=")[2]) for n in self._names(self.ledger) if n.startswith(f"{stream}=")], default=-1)
+
+    def _note(self, stream: str, number: int) -> None:
+        self._mark(f"{self.ledger}/{stream}={number}")
+        for n in self._names(self.ledger):
+            if n.startswith(f"{stream}=") and int(n.rpartition("=")[2]) < number:
+                files, path = self._path(f"{self.ledger}/{n}")
+                files.delete(path, False)

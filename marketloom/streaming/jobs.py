@@ -1,12 +1,14 @@
 """Streaming entry points: bronze lake, incremental warehouse load, snapshots, windows, stock state.
 
-Delivery is at least once and every sink is idempotent: bronze files are committed with the
-checkpoint, and warehouse tables are merged by version, so a replayed batch changes nothing. Late
-rows need no watermark, because they go to the partition of their own event date and merge by version.
+Delivery is at least once and every sink is idempotent: bronze files are committed with the checkpoint, warehouse tables are merged by
+version and keep a ledger of the batches of each stream that they hold, so a replayed batch changes nothing. Late rows of orders and
+snapshots need no watermark, because they go to the partition of their own event date and merge by version; windows are closed by a watermark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from marketloom.operators import latest as L
 from marketloom.operators import merge as M
 from marketloom.operators import rules, unify
 from marketloom.sources import lake, quarantine
-from marketloom.sources.warehouse import KeyedTable
+from marketloom.sources.warehouse import PartedTable
 
 ORDERS_TOPIC, INVENTORY_TOPIC = "ecom.orders.raw", "inventory.logs"
 FLUSH_ROWS, FLUSH_AFTER, LOOK_EVERY = 500, "60s", "1 second"
@@ -85,7 +87,8 @@ def routes(messages: DataFrame, path: str, checkpoint: str, once: bool = False)
 # ---- incremental warehouse load ---------------------------------------------------------
 
 _KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-          "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType()}
+          "date": T.DateType(), "timestamp": T.TimestampType(),
+          "timestamp_ntz": T.TimestampNTZType()}
 
 
 def _schema(**columns: str) -> T.StructType:
@@ -97,69 +100,99 @@ FACT_SCHEMA = _schema(
     cancel_reason="string", quantity="double", original_price="double", subtotal="double", buyer_total_amount="double", create_time="timestamp_ntz",
     pay_time="timestamp_ntz", shipped_time="timestamp_ntz", completed_time="timestamp_ntz", cancel_time="timestamp_ntz", source_updated_at="timestamp_ntz")
 SNAPSHOT_SCHEMA = _schema(sku="string", snapshot_date="date", snapshot_at="timestamp_ntz", stock_on_hand="int")
+RATIO_SCHEMA = _schema(window_start="timestamp", n="long", hits="long", share="double", alert="boolean")
 BALANCE_SCHEMA = _schema(sku="string", balance="long", movements="long")
 
 
-def fact_table(spark: SparkSession, root: str, buckets: int = 256) -> KeyedTable:
-    return KeyedTable(spark, root, M.FACT_KEY, FACT_SCHEMA, buckets)
+def fact_table(spark: SparkSession, root: str, part: str = "cast(create_time as date)") -> PartedTable:
+    """Order lines by the business day of their order (or a longer ``part``). A line keeps its first creation time, whatever day a later version names."""
+    return PartedTable(spark, root, M.FACT_KEY, FACT_SCHEMA, part, moving=True)
+
+
+def snapshot_table(spark: SparkSession, root: str) -> PartedTable:
+    return PartedTable(spark, root, ["sku", "snapshot_date"], SNAPSHOT_SCHEMA, "snapshot_date")
+
+
+def balance_table(spark: SparkSession, root: str, parts: int = 64) -> PartedTable:
+    """One row for each SKU, which belongs to no day."""
+    return PartedTable(spark, root, ["sku"], BALANCE_SCHEMA, f"pmod(xxhash64(sku), {parts})")
+
+
+def window_table(spark: SparkSession, root: str, key: str, kind: str, start: str = "window_start", **values: str) -> PartedTable:
+    """Closed windows of a key by the day on which they begin."""
+    return PartedTable(spark, root, [start, key], _schema(**{start: "timestamp", key: kind}, **values), f"cast({start} as date)")
+
 
+Apply = Callable[[DataFrame, "tuple[str, int]"], None]
 
-def load_batch(batch: DataFrame, batch_id: int, fact: KeyedTable, quarantine_path: str) -> None:
+
+def each_batch(frame: DataFrame, apply: Apply, checkpoint: str, mode: str = "append", once: bool = False, after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Runs ``apply(batch, (stream, number))`` for every micro-batch. The stream is the identity that its checkpoint holds, so numbers of another
+    checkpoint are never taken for its own. ``after`` is called between the write and the commit of a batch (a drill may stop there)."""
+    known: list[str] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        if not known:
+            known.append(batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"])
+        apply(batch, (known[0], number))
+        if after is not None:
+            after(number)
+
+    return _start(frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(step), once)
+
+
+def load_batch(batch: DataFrame, number: tuple[str, int], fact: PartedTable, quarantine_path: str) -> None:
     """Unify, validate, store the rejects, then deduplicate and merge the accepted lines.
 
     Rejects are written before the merge, so a reject can never be lost by a failing merge; the
-    folder is named by the batch and a repeated batch replaces it.
+    folder is named by the stream and the batch, and a repeated batch replaces it.
     """
     rows = unify.normalise(unify.unify(batch))
     checked = rules.with_errors(rows, rules.order_line_rules(rows)).persist()
     try:
         accepted, rejected = rules.split(checked)
         keep = ["order_id", "platform", "sku", "source_line_id", "original_price", "source_object", "source_row", "rejection_reasons", "raw_payload"]
-        quarantine.write(rejected.select(*keep), quarantine_path, f"batch-{batch_id}")
+        quarantine.write(rejected.select(*keep), quarantine_path, f"{number[0]}-{number[1]}")
         lines = L.deduplicate_lines(accepted).withColumn("date_key", F.date_format("create_time", "yyyyMMdd").cast("int"))
-        _merge_once(lines.select(*FACT_SCHEMA.fieldNames()), fact, M.merge_fact)
+        _merge_once(lines.select(*FACT_SCHEMA.fieldNames()), fact, M.merge_fact, number)
     finally:
         checked.unpersist()
 
 
-def incremental_load(bronze_rows: DataFrame, fact: KeyedTable, quarantine_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    writer = bronze_rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: load_batch(batch, batch_id, fact, quarantine_path))
-    return _start(writer, once)
+def incremental_load(bronze_rows: DataFrame, fact: PartedTable, quarantine_path: str, checkpoint: str, once: bool = False, after=None) -> StreamingQuery:
+    return each_batch(bronze_rows, lambda batch, number: load_batch(batch, number, fact, quarantine_path), checkpoint, once=once, after=after)
 
 
 # ---- inventory snapshots ----------------------------------------------------------------
 
-def snapshot_batch(batch: DataFrame, batch_id: int, table: KeyedTable, quarantine_path: str) -> None:
+def snapshot_batch(batch: DataFrame, number: tuple[str, int], table: PartedTable, quarantine_path: str) -> None:
     """Reject malformed snapshots one by one, keep the newest per SKU and business day."""
     checked = rules.with_errors(batch, rules.snapshot_rules(batch)).persist()
     try:
         accepted, rejected = rules.split(checked)
-        quarantine.write(rejected, quarantine_path, f"batch-{batch_id}")
+        quarantine.write(rejected, quarantine_path, f"{number[0]}-{number[1]}")
         at = S.business_time(S.to_instant(F.col("loaded_at")))
         rows = accepted.select("sku", at.cast("date").alias("snapshot_date"), at.alias("snapshot_at"), S.as_number(F.col("stock_on_hand")).cast("int").alias("stock_on_hand"))
-        _merge_once(rows, table, lambda stored, new: M.merge_snapshots(stored, new, ["sku", "snapshot_date"]))
+        _merge_once(rows, table, lambda stored, new: M.merge_snapshots(stored, new, table.keys), number)
     finally:
         checked.unpersist()
 
 
-def snapshot_upsert(snapshots: DataFrame, table: KeyedTable, quarantine_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    writer = snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: snapshot_batch(batch, batch_id, table, quarantine_path))
-    return _start(writer, once)
+def snapshot_upsert(snapshots: DataFrame, table: PartedTable, quarantine_path: str, checkpoint: str, once: bool = False, after=None) -> StreamingQuery:
+    return each_batch(snapshots, lambda batch, number: snapshot_batch(batch, number, table, quarantine_path), checkpoint, once=once, after=after)
 
 
 # ---- windows and state ------------------------------------------------------------------
 
 def windowed_counts(events: DataFrame, ts: str, group: str, value: Column, size: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Counts and sums per event-time window; append mode needs a watermark on the input."""
+    """Counts and sums per event-time window; a stream needs a watermark on its input."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     return events.groupBy(window.alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(
         F.col("w.start").alias("window_start"), group, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> DataFrame:
-    """Sessions of activity per key, closed after a gap."""
+    """Sessions of activity per key, closed after a gap; a stream needs a watermark on its input."""
     return events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
 
@@ -169,11 +202,10 @@ def unique_lines(events: DataFrame, ts: str, keys: list[str], delay: str = "1 da
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_result(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Each batch replaces the result table with the current state of the aggregation."""
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: batch.write.mode("overwrite").parquet(path))
-    return _start(writer, True)
+def store_closed(windows: DataFrame, table: PartedTable, checkpoint: str, once: bool = False, after=None) -> StreamingQuery:
+    """Windows go to the table once the watermark has passed their end, and their state goes; a window that is there already stays."""
+    return each_batch(windows, lambda batch, number: _merge_once(batch, table, lambda stored, new: M.insert_missing(stored, new, table.keys), number),
+                      checkpoint, once=once, after=after)
 
 
 def stock_state(deltas: DataFrame) -> DataFrame:
@@ -184,16 +216,19 @@ def stock_state(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("sku").agg(F.sum("delta").cast("long").alias("balance"), F.sum("n").cast("long").alias("movements"))
 
 
-def store_balances(df: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
-    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: _merge_once(batch, table, lambda stored, new: M.merge_versioned(stored, new, ["sku"], "movements")))
-    return _start(writer, True)
+def store_balances(df: DataFrame, table: PartedTable, checkpoint: str, once: bool = True, after=None) -> StreamingQuery:
+    return each_batch(df, lambda batch, number: _merge_once(batch, table, lambda stored, new: M.merge_versioned(stored, new, ["sku"], "movements"), number),
+                      checkpoint, "update", once, after)
 
 
-def _merge_once(batch: DataFrame, table: KeyedTable, merge) -> None:
-    """A stateful batch is computed once, although the merge reads it for its keys and for its rows."""
+def _merge_once(batch: DataFrame, table: PartedTable, merge, number: tuple[str, int]) -> None:
+    """A stateful batch is computed once, although the merge reads it for its days and for its rows."""
+    if number[1] <= table.last_applied(number[0]):
+        # The table has it, but the state that the stream keeps has to be brought to the same point.
+        batch.write.format("noop").mode("overwrite").save()
+        return
     kept = batch.persist()
     try:
-        table.merge(kept, merge)
+        table.merge(kept, merge, number)
     finally:
         kept.unpersist()
