@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,30 +18,56 @@ BASELINES = ("naive", "seasonal_naive", "moving_average")
 
 # ---- walk-forward folds -----------------------------------------------------------------
 
-def fold_dates(df: DataFrame, date_col: str = "target_date", n_splits: int = 3, test_days: int = 14,
-               val_days: int = 7) -> DataFrame:
-    """(date, fold, role) counted back from the last distinct date; fold 1 is the latest.
+@dataclass(frozen=True)
+class Folds:
+    """Test windows counted back from the last target day, newest first; in front of each lie its validation days, and all days before train."""
+
+    number: int = 3
+    test_days: int = 14
+    validation_days: int = 7
+
+    def __post_init__(self):
+        if min(self.number, self.test_days, self.validation_days) < 1:
+            raise ValueError(f"folds need days: {self}")
+
+    def edges(self, fold: int | Column) -> tuple[int | Column, int | Column, int | Column]:
+        """How many days back the test, validation and training days of a fold (from 1) begin."""
+        test = (fold - 1) * self.test_days
+        return test, test + self.test_days, test + self.test_days + self.validation_days
+
+    def role(self, back: Column, fold: Column) -> Column:
+        test, validation, train = self.edges(fold)
+        return F.when(back >= train, "train").when(back >= validation, "validation").when(back >= test, "test")
+
+    def history(self, train_days: int = 14, max_lag_days: int = 28) -> tuple[int, int]:
+        """(target days, source days) with which even the oldest fold has ``train_days``.
+
+        The first source days only feed the largest lag, and the last one has no next day to predict.
+        """
+        if train_days < 1 or max_lag_days < 0:
+            raise ValueError("no days to train on")
+        targets = self.edges(self.number)[2] + train_days
+        return targets, max_lag_days + targets + 1
+
+
+FOLDS = Folds()
+
+
+def fold_dates(df: DataFrame, date_col: str = "target_date", folds: Folds = FOLDS) -> DataFrame:
+    """(date, fold, role) counted back from the last distinct date; fold 1 is the latest. A fold without training days is left out.
 
     The ordering runs over distinct calendar days only, so it is bounded by the calendar.
     """
     dates = df.select(F.col(date_col).alias("_d")).distinct()
     back = Window.orderBy(F.col("_d").desc())
     ranked = dates.withColumns({"_back": F.row_number().over(back) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    folds = ranked.select("_d", "_back", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("_i"))
-    test_from, test_to = F.col("_i") * test_days, (F.col("_i") + 1) * test_days
-    role = (
-        F.when(F.col("_back") < test_from, F.lit(None))
-        .when(F.col("_back") < test_to, "test")
-        .when(F.col("_back") < test_to + val_days, "validation")
-        .otherwise("train")
-    )
-    possible = F.col("_n") > test_to + val_days
-    return folds.filter(possible).select(F.col("_d").alias(date_col), (F.col("_i") + 1).alias("fold"), role.alias("role")).filter("role is not null")
+    each = ranked.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds.number)))).filter(F.col("_n") > folds.edges(F.col("fold"))[2])
+    return each.select(F.col("_d").alias(date_col), "fold", folds.role(F.col("_back"), F.col("fold")).alias("role")).filter("role is not null")
 
 
-def walk_forward(df: DataFrame, date_col: str = "target_date", **window: int) -> DataFrame:
+def walk_forward(df: DataFrame, date_col: str = "target_date", folds: Folds = FOLDS) -> DataFrame:
     """Rows repeated per fold with their role. The joined table has at most folds x calendar days rows."""
-    return df.join(F.broadcast(fold_dates(df, date_col, **window)), date_col)
+    return df.join(F.broadcast(fold_dates(df, date_col, folds)), date_col)
 
 
 def fit_set(rows: DataFrame) -> DataFrame:
@@ -47,20 +75,6 @@ def fit_set(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("role").isin("train", "validation"))
 
 
-def required_history_days(n_splits: int = 3, test_days: int = 14, validation_days: int = 7, min_train_days: int = 14,
-                          max_lag_days: int = 28) -> tuple[int, int]:
-    """(target days needed, source days needed) so that ``fold_dates`` yields every fold with enough days to train on.
-
-    Targets lie one day after their features, and features need the days of the largest lag before them.
-    """
-    parts = {"test": n_splits * test_days, "validation": validation_days, "train": min_train_days}
-    short = [name for name, days in parts.items() if days < 1]
-    if short or n_splits < 1 or max_lag_days < 0:
-        raise ValueError(f"no days for {', '.join(short) or 'the lags'}")
-    targets = sum(parts.values())
-    return targets, targets + 1 + max_lag_days
-
-
 # ---- baselines --------------------------------------------------------------------------
 
 def baseline_columns(df: DataFrame) -> DataFrame:
@@ -153,28 +167,56 @@ def sku_series(daily: DataFrame, columns: tuple[str, ...] = ("daily_demand",)) -
         F.sort_array(F.collect_list(F.struct("date", *columns))).alias("series"))
 
 
-def _window_of(series: Column, end: Column, days: int) -> Column:
-    return F.filter(series, lambda r: (r["date"] <= end) & (r["date"] > F.date_sub(end, days)))
+def history_as_of(requests: DataFrame, daily: DataFrame, end: str = "history_end", days: int = V.HISTORY_DAYS, columns: tuple[str, ...] = ("daily_demand",)) -> DataFrame:
+    """Requests with ``history``: the last ``days`` days of their SKU up to ``end``, ordered by date; empty where there are none.
+
+    Days are packed into arrays by SKU and stretch of ``days`` days. The days of a request lie in at most two adjoining stretches, which two
+    joins on (SKU, stretch) bring, so however long the series is, a request meets at most twice ``days`` of it.
+    """
+    stretch = lambda c: F.floor(F.unix_date(c) / days)
+    row = F.struct("date", *columns)
+    packed = daily.filter(F.col("date").isNotNull()).groupBy("sku", stretch(F.col("date")).alias("_stretch")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    asked = requests.withColumn("_last", stretch(F.col(end)))
+    for name, back in (("_own", 0), ("_before", 1)):
+        part = packed.select(F.col("sku").alias("_sku"), (F.col("_stretch") + back).alias("_of"), F.col("_rows").alias(name))
+        asked = asked.join(part, (F.col("sku") == F.col("_sku")) & (F.col("_last") == F.col("_of")), "left").drop("_sku", "_of")
+    none = F.array().cast(packed.schema["_rows"].dataType)
+    both = F.concat(F.coalesce("_before", none), F.coalesce("_own", none))
+    inside = F.filter(both, lambda r: (r["date"] <= F.col(end)) & (r["date"] > F.date_sub(F.col(end), days)))
+    return asked.withColumn("history", F.coalesce(inside, none)).drop("_last", "_own", "_before")
 
 
 # ---- recursive back-test ----------------------------------------------------------------
 
+def fold_origins(rows: DataFrame, folds: Folds = FOLDS) -> DataFrame:
+    """fold, origin (last known day) and last (target) of every fold of ``rows`` (target_date)."""
+    tests = fold_dates(rows, folds=folds).filter("role = 'test'")
+    return tests.groupBy("fold").agg(F.date_sub(F.min("target_date"), 1).alias("origin"), F.max("target_date").alias("last"))
+
+
+def histories(daily: DataFrame, origins: DataFrame, number: int, days: int = V.HISTORY_DAYS) -> DataFrame:
+    """sku, fold, origin, last and history (the last ``days`` demands up to the origin) of the SKUs that could be served there: they have the
+    day of the origin, and demand in the window. Only days of a window are shuffled, each once."""
+    # An array of one element per fold, so the origins reach every task without a join.
+    listed = origins.agg(F.array_sort(F.collect_list(F.struct("fold", "origin", "last"))).alias("o")).scalar()
+    at = [F.try_element_at(listed, F.lit(k + 1)) for k in range(number)]
+    inside = [(F.col("date") <= o["origin"]) & (F.col("date") > F.date_sub(o["origin"], days)) for o in at]
+    needed = reduce(lambda a, b: a | b, [F.coalesce(i, F.lit(False)) for i in inside])
+    packed = daily.filter(needed).groupBy("sku").agg(*[F.sort_array(F.collect_list(F.when(i, F.struct("date", "daily_demand")))).alias(f"_{k}") for k, i in enumerate(inside)])
+    each = F.array(*[F.struct(o["fold"].alias("fold"), o["origin"].alias("origin"), o["last"].alias("last"), F.col(f"_{k}").alias("days")) for k, o in enumerate(at)])
+    state = packed.select("sku", F.inline(each)).filter((F.size("days") > 0) & (F.try_element_at("days", F.lit(-1))["date"] == F.col("origin")))
+    return state.select("sku", "fold", "origin", "last", F.transform("days", lambda r: r["daily_demand"]).alias("history")).filter(F.exists("history", lambda y: y > 0))
+
+
 def recursive_backtest(store: DataFrame, daily: DataFrame, models: tuple[str, ...] = BASELINES,
-                       history_days: int = V.HISTORY_DAYS, **window: int) -> DataFrame:
+                       history_days: int = V.HISTORY_DAYS, folds: Folds = FOLDS) -> DataFrame:
     """Multi-step forecasts of every test window, all SKUs and folds in one job.
 
     SKUs without history at the origin, or without any demand in the history window, are left out,
     as they could not be served either.
     """
     rows = store.withColumn("target_date", F.date_add("date", 1))
-    folds = fold_dates(rows, **window).filter("role = 'test'").groupBy("fold").agg(
-        F.date_sub(F.min("target_date"), 1).alias("origin"), F.max("target_date").alias("last"))
-    # An array of one element per fold, so the origins reach every task without a join.
-    origins = folds.agg(F.array_sort(F.collect_list(F.struct("fold", "origin", "last"))).alias("o")).scalar()
-    state = sku_series(daily).select("sku", "series", F.explode(origins).alias("o")).select(
-        "sku", "o.*", F.transform(_window_of(F.col("series"), F.col("o.origin"), history_days), lambda r: r["daily_demand"]).alias("history"),
-        F.exists("series", lambda r: r["date"] == F.col("o.origin")).alias("_current"))
-    usable = state.filter(F.col("_current") & F.exists("history", lambda y: y > 0))
+    usable = histories(daily, fold_origins(rows, folds), folds.number, history_days)
     steps = F.datediff("last", "origin")
     paths = usable.select(
         "sku", "fold", "origin",
@@ -255,7 +297,7 @@ def _readiness(row: DataFrame, available: Column, evaluation: Column, need: tupl
     })
 
 
-def order_readiness(lines: DataFrame, max_lag_days: int = 28, **window: int) -> DataFrame:
+def order_readiness(lines: DataFrame, max_lag_days: int = 28, folds: Folds = FOLDS) -> DataFrame:
     """One-row report from order lines; days without any order do not count as history."""
     day = F.col("create_time").cast("date")
     row = lines.filter(~F.col("is_cancelled")).agg(
@@ -263,17 +305,17 @@ def order_readiness(lines: DataFrame, max_lag_days: int = 28, **window: int) ->
         F.count_distinct(day).alias("active_source_days"), F.min(day).alias("history_start"), F.max(day).alias("history_end"),
         F.coalesce(F.datediff(F.max(day), F.min(day)) + 1, F.lit(0)).alias("calendar_span_days"))
     evaluation = F.greatest(F.lit(0).cast("long"), F.col("active_source_days") - max_lag_days - 1)
-    return _readiness(row, F.col("active_source_days"), evaluation, required_history_days(max_lag_days=max_lag_days, **window))
+    return _readiness(row, F.col("active_source_days"), evaluation, folds.history(max_lag_days=max_lag_days))
 
 
-def feature_readiness(store: DataFrame, max_lag_days: int = 28, **window: int) -> DataFrame:
+def feature_readiness(store: DataFrame, max_lag_days: int = 28, folds: Folds = FOLDS) -> DataFrame:
     """One-row report from a feature store."""
     day = F.date_add("date", 1)
     row = store.agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct("sku").alias("sku_count"),
         F.count_distinct(day).alias("active_source_days"), F.min(day).alias("history_start"), F.max(day).alias("history_end"))
     available = F.col("active_source_days") + max_lag_days + 1
-    return _readiness(row, available, F.col("active_source_days"), required_history_days(max_lag_days=max_lag_days, **window))
+    return _readiness(row, available, F.col("active_source_days"), folds.history(max_lag_days=max_lag_days))
 
 
 def status_transitions(history: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -305,9 +347,7 @@ def batch_forecast(requests: DataFrame, daily: DataFrame, last_known: Column, mo
     refused = judged.filter("reason <> ''").select(
         "request_id", "sku", F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("double").alias(c) for c in ("predicted_quantity", "lower_bound", "upper_bound")],
         F.lit("refused").alias("model_source"), F.lit("none").alias("history_source"), "history_end", "reason")
-    joined = judged.filter("reason = ''").join(sku_series(daily), "sku", "left")
-    window = F.transform(_window_of(F.coalesce("series", F.array().cast(f"array<struct<date:date,daily_demand:{daily.schema['daily_demand'].dataType.simpleString()}>>")), F.col("history_end"), history_days), lambda r: r["daily_demand"])
-    usable = joined.withColumn("history", window).drop("series")
+    usable = history_as_of(judged.filter("reason = ''"), daily, "history_end", history_days).withColumn("history", F.transform("history", lambda r: r["daily_demand"]))
     steps = F.datediff("to_date", "history_end")
     recent = F.slice(F.col("history"), F.greatest(F.size("history") - V.STATS_WINDOW_DAYS + 1, F.lit(1)), F.lit(V.STATS_WINDOW_DAYS))
     total = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x)

@@ -27,17 +27,21 @@ def deduplicate_lines(
     version: str = "source_updated_at",
     ties: list[str] | None = None,
 ) -> DataFrame:
-    """Latest version per order line. Rows with an incomplete key are kept for validation."""
+    """Latest version per order line. Rows with an incomplete key are kept for validation, all of them.
+
+    One aggregate over one read: each map task sends one row for each key it saw, so a line that was replayed a million times is no hot key.
+    A row with an incomplete key is a key of its own by two hashes of its columns; equal ones come back as often as they were read.
+    """
     keys = keys or [k for k in LINE_KEY if k in df.columns]
     ties = ties if ties is not None else [c for c in ("source_object", "source_row") if c in df.columns]
-    order = [F.col(version).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in ties]
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    # A row with an incomplete key takes part in the same window under a number of its own, so the input is read once and such rows,
-    # however many, are spread over all tasks.
-    alone = F.when(~complete, F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]))
-    window = Window.partitionBy(*keys, "_alone").orderBy(*order)
-    ranked = df.withColumn("_alone", alone).withColumn("_rank", F.row_number().over(window))
-    return ranked.filter((F.col("_rank") == 1) | ~complete).drop("_rank", "_alone")
+    hashed = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    own = F.when(~complete, F.struct(F.xxhash64(*hashed), F.hash(*hashed)))
+    # Nulls are the least in structs, so the greatest one has the latest version, null versions last.
+    newest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(version, *ties)).alias("_row")
+    kept = df.withColumn("_own", own).groupBy(*keys, "_own").agg(newest, F.count(F.lit(1)).alias("_copies"))
+    copies = F.when(F.col("_own").isNull(), F.array("_row")).otherwise(F.array_repeat("_row", F.col("_copies").cast("int")))
+    return kept.select(F.inline(copies))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

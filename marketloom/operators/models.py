@@ -135,7 +135,7 @@ def backtest_model(store: DataFrame, daily: DataFrame, name: str, params: dict |
     ``store`` and ``daily`` should be written tables: every fold reads them again.
     """
     rows = store.withColumn("target_date", F.date_add("date", 1))
-    folds = P.fold_dates(rows, "target_date", n_splits, test_days, val_days).filter("role = 'test'").groupBy("fold").agg(
+    folds = P.fold_dates(rows, "target_date", P.Folds(n_splits, test_days, val_days)).filter("role = 'test'").groupBy("fold").agg(
         F.min("target_date").alias("start"), F.max("target_date").alias("end")).orderBy("fold").collect()
     columns = model_columns(store)
     parts: list[DataFrame] = []

@@ -246,10 +246,8 @@ def asof_history(spark, d):
     """History window that each request may use."""
     series = materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily")
     rows, last = requests(spark, d, series)
-    end = F.least(F.date_sub("from_date", 1), last)
-    bounded = rows.withColumn("history_end", end).join(P.sku_series(series), "sku")
-    window = P._window_of(F.col("series"), F.col("history_end"), V.HISTORY_DAYS)
-    out = bounded.withColumn("w", F.transform(window, lambda r: r["daily_demand"])).filter(F.exists("w", lambda y: y > 0))
+    asked = rows.withColumn("history_end", F.least(F.date_sub("from_date", 1), last))
+    out = P.history_as_of(asked, series).withColumn("w", F.transform("history", lambda r: r["daily_demand"])).filter(F.exists("w", lambda y: y > 0))
     return out.select("request_id", "sku", "history_end", F.size("w").alias("days"), F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("demand"))
 
 

@@ -196,7 +196,7 @@ def test_dense_series_fills_days_and_prices(spark):
 
 
 def test_folds_and_requirements(spark):
-    assert P.required_history_days() == (63, 92) and P.required_history_days(2) == (49, 78)
+    assert P.Folds().history() == (63, 92) and P.Folds(2).history() == (49, 78)
     dates = series(spark, range(70)).select(F.col("date").alias("target_date"))
     rows = {(r.fold, r.role): r.n for r in P.walk_forward(dates).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert rows[(1, "test")] == 14 and rows[(1, "validation")] == 7 and rows[(1, "train")] == 49 and rows[(3, "train")] == 21
