@@ -108,6 +108,46 @@ def dense_daily(daily: DataFrame, first: Column | None, last: Column, key: str =
     return out.withColumn("avg_unit_price", F.coalesce(price, F.lit(0.0)))
 
 
+def recent_dense(lines: DataFrame, days: int, order_key: list[str] | None = ("platform", "order_id"), key: str = "sku") -> DataFrame:
+    """The last ``days`` days of ``dense_daily(daily_metrics(lines))``, without the days before them.
+
+    Older lines are only asked which SKUs there are and what their last price was; a scan of lines that are stored by day reads three of
+    their columns.
+    """
+    first, last = date_bounds(lines)
+    start = F.greatest(first, F.date_sub(last, days - 1))
+    day = F.col("create_time").cast("date")
+    recent = daily_metrics(lines.filter(day >= start), order_key, key)
+    older = lines.filter(~F.col("is_cancelled") & (day < start)).groupBy(key, day.alias("date")).agg(
+        (F.sum("original_price").cast("double") / F.count("original_price")).alias("p"))
+    seed = older.groupBy(key).agg(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("date"))).alias("avg_unit_price")).select(
+        key, F.date_sub(start, 1).alias("date"), "avg_unit_price", *[F.lit(0.0).alias(c) for c in ("daily_demand", "daily_revenue", "total_discount", "order_count")])
+    # The day before the first one only carries the price over.
+    return dense_daily(recent.unionByName(seed), F.date_sub(start, 1), last, key).filter(F.col("date") >= start)
+
+
+def recent_totals(lines: DataFrame, spans: dict[str, tuple[int, int]], order_key: list[str] | None = None, key: str = "sku") -> DataFrame:
+    """Per SKU and span (days back from the last active day, both ends included): ``<name>_days``, ``_sum``, ``_squares`` and, with an
+    ``order_key``, ``_orders``.
+
+    Unsold days add nothing to the sums, so the series is never built: lines within the longest span are reduced to SKU-days, older ones to
+    one row for each SKU, which so has a row without recent sales too.
+    """
+    first, last = date_bounds(lines)
+    day = F.col("create_time").cast("date")
+    back = F.datediff(last, day)
+    near = F.when(back <= max(b for _, b in spans.values()), back)
+    orders = F.count_distinct(F.when(F.col("_back").isNotNull(), F.struct(*order_key))) if order_key else F.lit(0)
+    sold = lines.filter(~F.col("is_cancelled")).withColumn("_back", near).groupBy(key, "_back").agg(
+        F.sum("quantity").cast("double").alias("q"), orders.cast("double").alias("o"))
+    inside = {n: (F.col("_back") >= a) & (F.col("_back") <= b) for n, (a, b) in spans.items()}
+    total = lambda value, i: F.coalesce(F.sum(F.when(i, value)), F.lit(0.0))
+    sums = sold.groupBy(key).agg(*[x for n, i in inside.items() for x in (
+        total(F.col("q"), i).alias(f"{n}_sum"), total(F.col("q") * F.col("q"), i).alias(f"{n}_squares"), total(F.col("o"), i).alias(f"{n}_orders"))])
+    length = F.datediff(last, first) + 1
+    return sums.withColumns({f"{n}_days": F.greatest(F.lit(0), F.least(F.lit(b + 1), length) - a) for n, (a, b) in spans.items()})
+
+
 def abc_xyz(rows: DataFrame, policy: SegmentPolicy = WAREHOUSE) -> DataFrame:
     """ABC/XYZ by origin from ``demand_rows``.
 

@@ -10,7 +10,11 @@ from marketloom.operators.prefix import running_total
 from marketloom.session import materialise
 
 
-def windows(store: DataFrame, current_days: int = 7, reference_days: int = 28) -> DataFrame:
+CURRENT_DAYS, REFERENCE_DAYS = 7, 28
+DAYS = CURRENT_DAYS + REFERENCE_DAYS
+
+
+def windows(store: DataFrame, current_days: int = CURRENT_DAYS, reference_days: int = REFERENCE_DAYS) -> DataFrame:
     """Rows of the two adjacent windows that end at the last date, labelled ``current`` or ``reference``."""
     last = store.agg(F.max("date").alias("m")).scalar()
     start = F.date_sub(last, current_days - 1)

@@ -136,6 +136,17 @@ def daily_history(lines: DataFrame, order_key=("platform", "order_id")) -> DataF
     return D.dense_daily(D.daily_metrics(lines, order_key), first, last)
 
 
+def recent_features(lines: DataFrame, days: int, lags=V.DEFAULT_LAGS, windows=V.ROLLING_WINDOWS) -> DataFrame:
+    """Lags, rolling statistics, growth and target of the last ``days`` feature days.
+
+    The last day is known before any window runs, so only these days, the longest lag or window before them and the next day of the last one
+    are read and filled. Exponential averages, which look back to the first day, are not among them.
+    """
+    reach = max([*lags, *windows])
+    features = window_features(D.recent_dense(lines, days + reach + 1), lags=lags, windows=windows)
+    return features.dropna(subset=[f"lag_{max(lags)}", TARGET])
+
+
 def build_feature_store(lines: DataFrame, daily: DataFrame | None = None, lags=V.DEFAULT_LAGS,
                         holdout_days: int = 49) -> DataFrame:
     """Feature rows (SKU, day t) for target t+1, burn-in rows removed.

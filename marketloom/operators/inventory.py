@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.operators.demand import recent_totals
 from marketloom.operators.latest import latest_by
 from marketloom.operators.prefix import running_total
 
@@ -60,13 +61,12 @@ def demand_source(history: DataFrame, forecasts: DataFrame | None = None) -> Dat
         F.when(F.col("forecast_mean").isNotNull(), "model_forecast").otherwise("warehouse_history").alias("demand_source"))
 
 
-def recent_statistics(daily: DataFrame, last: Column, days: int = 28) -> DataFrame:
-    """Mean and sample deviation of the latest days of a dense series, per SKU."""
-    recent = daily.filter((F.col("date") <= last) & (F.col("date") > F.date_sub(last, days)))
-    y = F.col("daily_demand")
-    sums = recent.groupBy("sku").agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    mean, std = S.statistics_from_sums(F.col("n"), F.col("s"), F.col("q"))
-    return sums.select("sku", mean.alias("hist_mean"), std.alias("hist_std"))
+def recent_demand(lines: DataFrame, days: int = 28, forecast_days: int = 7) -> DataFrame:
+    """Per SKU from order lines: hist_mean and hist_std (sample deviation) of the latest ``days`` days, unsold ones included, and
+    forecast_mean, the mean of the ``forecast_days`` days before the last one, null without any demand in them."""
+    sums = recent_totals(lines, {"h": (0, days - 1), "f": (1, forecast_days)})
+    mean, std = S.statistics_from_sums(F.col("h_days"), F.col("h_sum"), F.col("h_squares"))
+    return sums.select("sku", mean.alias("hist_mean"), std.alias("hist_std"), F.when(F.col("f_sum") > 0, F.col("f_sum") / F.col("f_days")).alias("forecast_mean"))
 
 
 def stock_source(skus: DataFrame, snapshots: DataFrame, requested: DataFrame | None = None) -> DataFrame:

@@ -170,25 +170,21 @@ SELECT sku, CAST(stock AS BIGINT) AS current_stock, round(m, 1) AS avg_daily_dem
   CAST(CASE WHEN stock <= rop THEN greatest(0, rop + ceil(round(m * 7, 9)) - stock) ELSE 0 END AS BIGINT) AS recommended_reorder_qty, stock_source, demand_source FROM q""")
 def reorder_alerts(spark, d):
     """Reorder evaluation of every SKU: moving-average forecast mean where there is one, 28-day deviation, requested stock first."""
-    series = materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily")
-    demand, skus = policy_demand(series)
+    demand, skus = policy_demand(spark, d)
     stock = I.latest_stock(I.daily_snapshots(T.snapshots(spark, d), ["event_id"]))
     asked = skus.filter(F.col("sku").startswith("Brand#7 ")).select("sku", F.lit(40).alias("current_stock"))
     return I.reorder_evaluation(demand, I.stock_source(skus, stock, asked)).orderBy(*I.alert_order())
 
 
-def policy_demand(series: DataFrame) -> tuple[DataFrame, DataFrame]:
-    last = series.agg(F.max("date").alias("m")).scalar()
-    history = I.recent_statistics(series, last)
-    week = series.filter((F.col("date") > F.date_sub(last, 8)) & (F.col("date") <= F.date_sub(last, 1)))
-    forecast = week.groupBy("sku").agg(F.avg("daily_demand").alias("forecast_mean"), F.sum("daily_demand").alias("s")).filter("s > 0").drop("s")
-    return I.demand_source(history, forecast), history.select("sku")
+def policy_demand(spark, d) -> tuple[DataFrame, DataFrame]:
+    recent = materialise(I.recent_demand(sku_lines(spark, d)), "recent")
+    return I.demand_source(recent.drop("forecast_mean"), recent.select("sku", "forecast_mean")), recent.select("sku")
 
 
 @query("policy_demand_source", f"""WITH {DAILY}, {RECENT_SQL}, f AS (SELECT sku, avg(daily_demand) AS fm FROM daily, last WHERE date > last.d - 8 AND date <= last.d - 1 GROUP BY 1 HAVING sum(daily_demand) > 0)
 SELECT r.sku, round(coalesce(f.fm, r.hist_mean), 6) AS avg_demand, round(r.hist_std, 6) AS sigma, CASE WHEN f.fm IS NOT NULL THEN 'model_forecast' ELSE 'warehouse_history' END AS demand_source FROM recent r LEFT JOIN f USING (sku)""")
 def policy_demand_source(spark, d):
-    demand, _ = policy_demand(materialise(daily(spark, d).select("sku", "date", "daily_demand"), "daily"))
+    demand, _ = policy_demand(spark, d)
     return demand.select("sku", F.round("avg_demand", 6).alias("avg_demand"), F.round("sigma", 6).alias("sigma"), "demand_source")
 
 

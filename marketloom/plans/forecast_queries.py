@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
 from marketloom.functions import vocab as V
+from marketloom.operators import demand as D
 from marketloom.operators import drift as DR
 from marketloom.operators import features as X
 from marketloom.operators import forecast as P
 from marketloom.operators import merge as M
 from marketloom.operators import models
 from marketloom.operators import monitor
-from marketloom.operators.inventory import recent_statistics
+from marketloom.operators.inventory import recent_demand
 from marketloom.plans import marts
-from marketloom.plans.demand_queries import DAILY, LINES, RECENT_SQL, STORE_SQL, daily, feature_store, live_segments, sku_lines
+from marketloom.plans.demand_queries import DAILY, LINES, RECENT_SQL, STORE_SQL, daily, live_segments, sku_lines
 from marketloom.plans.registry import query
 from marketloom.plans.sql_parts import LIVE_DEMAND, RATIO_SQL, segments
 from marketloom.session import materialise
@@ -274,18 +275,15 @@ def complete_history(spark, d):
 @query("units_per_order", f"""WITH {DAILY}, last AS (SELECT max(date) AS d FROM daily) SELECT sku, round(CASE WHEN sum(order_count) > 0 THEN sum(daily_demand) / sum(order_count) ELSE 1 END, 6) AS units_per_order, CAST(sum(order_count) AS DOUBLE) AS orders FROM daily, last WHERE date > last.d - 28 GROUP BY 1""")
 def units_per_order(spark, d):
     """Units per order over the last 28 days."""
-    series = daily(spark, d).select("sku", "date", "daily_demand", "order_count")
-    last = series.agg(F.max("date").alias("m")).scalar()
-    recent = series.filter(F.col("date") > F.date_sub(last, 28))
-    q, o = F.sum("daily_demand"), F.sum("order_count")
-    return recent.groupBy("sku").agg(F.round(F.when(o > 0, q / o).otherwise(1.0), 6).alias("units_per_order"), o.alias("orders"))
+    sums = D.recent_totals(sku_lines(spark, d), {"h": (0, 27)}, ["platform", "order_id"])
+    q, o = F.col("h_sum"), F.col("h_orders")
+    return sums.select("sku", F.round(F.when(o > 0, q / o).otherwise(1.0), 6).alias("units_per_order"), o.alias("orders"))
 
 
 @query("recent_statistics", f"WITH {DAILY}, {RECENT_SQL} SELECT sku, round(hist_mean, 6) AS hist_mean, round(hist_std, 6) AS hist_std FROM recent")
 def recent_stats(spark, d):
     """Mean and deviation of the last 28 days per SKU."""
-    series = daily(spark, d).select("sku", "date", "daily_demand")
-    out = recent_statistics(series, series.agg(F.max("date").alias("m")).scalar())
+    out = recent_demand(sku_lines(spark, d))
     return out.select("sku", F.round("hist_mean", 6).alias("hist_mean"), F.round("hist_std", 6).alias("hist_std"))
 
 
@@ -308,9 +306,19 @@ live_q AS (SELECT sku, order_date, sum(quantity) AS q FROM lines WHERE NOT is_ca
 actuals AS (SELECT f.*, CASE WHEN actual_complete THEN coalesce(CAST(CASE WHEN o IN (0, 1) THEN lq.q ELSE hq.q END AS DOUBLE), 0) END AS actual_demand FROM flag f LEFT JOIN live_q lq ON lq.sku = f.sku AND lq.order_date = f.target_date LEFT JOIN hist_q hq ON hq.sku = f.sku AND hq.order_date = f.target_date)"""
 
 
-def issued_forecasts(spark, d) -> DataFrame:
+def sold_days(spark, d) -> DataFrame:
+    """Sold quantity and revenue per SKU, day and dataset, written once: everything that is compared reads this and no line."""
+    n = F.col("line_number") % 3
+    dataset = F.when(n == 0, "ds-a").when(n == 1, "ds-b").otherwise("ds-c")
+    sold = sku_lines(spark, d).filter("not is_cancelled").groupBy("sku", "order_date", dataset.alias("source_dataset")).agg(
+        F.sum("quantity").alias("quantity"), F.sum("buyer_total_amount").alias("revenue"), F.max("product_name").alias("product_name"), F.max("category").alias("category"))
+    return materialise(sold, "sold-days")
+
+
+def issued_forecasts(spark, d, sold: DataFrame | None = None) -> DataFrame:
     """Seasonal-naive forecasts of every sold SKU-day, issued twice, over four kinds of provenance."""
-    by_sku = sku_lines(spark, d).filter("not is_cancelled").groupBy("sku", "order_date").agg(F.sum("quantity").cast("double").alias("q"))
+    sold = sku_lines(spark, d).filter("not is_cancelled") if sold is None else sold
+    by_sku = sold.groupBy("sku", "order_date").agg(F.sum("quantity").cast("double").alias("q"))
     rows = by_sku.join(product_keys(spark, d), "sku").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     kind, number = F.col("product_key") % 4, F.datediff("order_date", F.lit("1995-01-01"))
     target = F.date_add("order_date", 7)
@@ -338,15 +346,13 @@ def coverage_rows(spark) -> DataFrame:
 
 
 
-
 def compared(spark, d) -> DataFrame:
-    lines = sku_lines(spark, d).filter("not is_cancelled")
-    keys = product_keys(spark, d)
-    live = lines.join(keys.select("sku", "product_key"), "sku").select("product_key", "order_date", "quantity")
-    n = F.col("line_number") % 3
-    history = lines.select("sku", "order_date", "quantity", F.lit(V.HISTORY_ORIGIN).alias("data_origin"), F.when(n == 0, "ds-a").when(n == 1, "ds-b").otherwise("ds-c").alias("source_dataset"))
-    forecasts = marts.eligible_forecasts(issued_forecasts(spark, d))
-    return marts.forecast_vs_actual(forecasts, keys, coverage_rows(spark), live, history, live_segments(spark, d), F.lit("2001-06-01").cast("date"))
+    sold = sold_days(spark, d)
+    history = sold.withColumn("data_origin", F.lit(V.HISTORY_ORIGIN))
+    demand = sold.select(F.lit("unverified_warehouse").alias("data_origin"), "sku", "product_name", "category", "order_date",
+                         F.col("quantity").cast("decimal(18,0)").alias("quantity"), F.col("revenue").cast("decimal(18,2)").alias("revenue"))
+    forecasts = marts.eligible_forecasts(issued_forecasts(spark, d, sold))
+    return marts.forecast_vs_actual(forecasts, product_keys(spark, d), coverage_rows(spark), sold, history, D.abc_xyz(demand), F.lit("2001-06-01").cast("date"))
 
 
 @query("forecast_vs_actual", f"""WITH {LIVE_DEMAND}, {segments('demand')}, {ISSUED_SQL}
@@ -442,7 +448,7 @@ drift AS (SELECT feature, ks_statistic, p_value, psi, round(mr, 2) AS ref_mean,
 
 
 def histogram(spark, d) -> DataFrame:
-    store = materialise(feature_store(spark, d).select("date", *DR.MONITORED), "drift-store")
+    store = materialise(X.recent_features(sku_lines(spark, d), DR.DAYS).select("date", *DR.MONITORED), "drift-store")
     return DR.histogram(DR.windows(store), DR.MONITORED)
 
 

@@ -91,37 +91,45 @@ def latest_forecasts(forecasts: DataFrame) -> DataFrame:
                      [F.col("forecast_generated_at").desc(), F.col("forecast_id").desc()])
 
 
+def coverage_sets(coverage: DataFrame) -> DataFrame:
+    """The datasets confirmed for each origin and day, as one set a day: at most one row for each origin and calendar day."""
+    return coverage.groupBy("data_origin", "full_date").agg(F.collect_set("source_dataset").alias("_confirmed"))
+
+
+def needed_datasets() -> Column:
+    """What must be confirmed for a forecast: the live confirmation, or every dataset of imported history; null for other origins."""
+    return F.when(F.col("data_origin").isin(*V.LIVE_ORIGINS), F.array(F.lit(""))).when(F.col("data_origin") == V.HISTORY_ORIGIN, F.array_distinct("source_datasets"))
+
+
 def coverage_complete(forecasts: DataFrame, coverage: DataFrame, today: Column) -> DataFrame:
     """Flag per forecast: the target day is past and fully confirmed for its provenance.
 
-    Live origins need one confirmation; imported history needs one per dataset, checked by
-    counting matched datasets, so both cases are one equi-join.
+    Confirmed days are sets of datasets, so "every needed dataset" is a test within the row that one join brings.
     """
-    key = ["data_origin", "source_dataset", "full_date"]
-    confirmed = coverage.select(*key).distinct().withColumn("_ok", F.lit(1))
-    needed = F.when(F.col("data_origin").isin(*V.LIVE_ORIGINS), F.array(F.lit(""))).when(
-        F.col("data_origin") == V.HISTORY_ORIGIN, F.array_distinct("source_datasets"))
-    parts = forecasts.select("forecast_id", "data_origin", F.col("target_date").alias("full_date"), F.explode(needed).alias("source_dataset"))
-    checked = parts.join(confirmed, key, "left").groupBy("forecast_id").agg(F.min(F.coalesce("_ok", F.lit(0))).alias("_all"))
-    return forecasts.join(checked, "forecast_id", "left").withColumn(
-        "actual_complete", (F.coalesce("_all", F.lit(0)) == 1) & (F.col("target_date") < today)).drop("_all")
+    sets = coverage_sets(coverage).withColumnRenamed("full_date", "target_date")
+    needed = needed_datasets()
+    every = (F.size(needed) > 0) & (F.size(F.array_except(needed, F.coalesce("_confirmed", F.array().cast("array<string>")))) == 0)
+    return forecasts.join(sets, ["data_origin", "target_date"], "left").withColumn(
+        "actual_complete", F.coalesce(every, F.lit(False)) & (F.col("target_date") < today)).drop("_confirmed")
 
 
-def observed_demand(forecasts: DataFrame, live: DataFrame, history: DataFrame) -> DataFrame:
-    """Sold quantity for the product and day of each forecast, from the source that matches its origin.
+def observed_by_day(live: DataFrame, history: DataFrame) -> DataFrame:
+    """Sold quantity per SKU and day: live, and imported by dataset. ``live``: sku, order_date, quantity; ``history`` also data_origin and
+    source_dataset. Lines are summed by dataset before a day's few datasets are packed into a map."""
+    one = live.select("sku", F.col("order_date").alias("target_date"), F.lit(None).cast("string").alias("_set"), "quantity")
+    two = history.filter((F.col("data_origin") == V.HISTORY_ORIGIN) & F.col("source_dataset").isNotNull()).select("sku", F.col("order_date").alias("target_date"), F.col("source_dataset").alias("_set"), "quantity")
+    summed = one.unionByName(two).groupBy("sku", "target_date", "_set").agg(F.sum("quantity").alias("_q"))
+    pair = F.when(F.col("_set").isNotNull(), F.struct("_set", "_q"))
+    return summed.groupBy("sku", "target_date").agg(F.max(F.when(F.col("_set").isNull(), F.col("_q"))).alias("_live"), F.map_from_entries(F.collect_list(pair)).alias("_sets"))
 
-    ``live``: product_key, order_date, quantity. ``history``: sku, order_date, data_origin,
-    source_dataset, quantity. Both are summed before they are joined.
-    """
-    live_q = live.groupBy("product_key", "order_date").agg(F.sum("quantity").alias("_live"))
-    hist_q = history.groupBy("sku", "order_date", "data_origin", "source_dataset").agg(F.sum("quantity").alias("_q"))
-    with_live = forecasts.join(live_q.withColumnRenamed("order_date", "target_date"), ["product_key", "target_date"], "left")
-    wanted = forecasts.filter(F.col("data_origin") == V.HISTORY_ORIGIN).select(
-        "forecast_id", "sku", "data_origin", F.col("target_date").alias("order_date"), F.explode(F.array_distinct("source_datasets")).alias("source_dataset"))
-    from_history = wanted.join(hist_q, ["sku", "order_date", "data_origin", "source_dataset"]).groupBy("forecast_id").agg(F.sum("_q").alias("_hist"))
-    return with_live.join(from_history, "forecast_id", "left").withColumn(
-        "observed_demand", F.when(F.col("data_origin").isin(*V.LIVE_ORIGINS), F.col("_live")).when(
-            F.col("data_origin") == V.HISTORY_ORIGIN, F.col("_hist"))).drop("_live", "_hist")
+
+def observed_demand(forecasts: DataFrame, live: DataFrame, history: DataFrame) -> DataFrame:
+    """Sold quantity for the SKU and day of each forecast, from the source that matches its origin; null where nothing was sold."""
+    rows = forecasts.join(observed_by_day(live, history), ["sku", "target_date"], "left")
+    found = F.filter(F.transform(F.array_distinct("source_datasets"), lambda s: F.try_element_at("_sets", s)), lambda q: q.isNotNull())
+    total = F.when(F.size(found) > 0, F.aggregate(found, F.lit(0).cast("decimal(38,4)"), lambda a, q: (a + q.cast("decimal(38,4)")).cast("decimal(38,4)")))
+    return rows.withColumn("observed_demand", F.when(F.col("data_origin").isin(*V.LIVE_ORIGINS), F.col("_live").cast("double")).when(
+        F.col("data_origin") == V.HISTORY_ORIGIN, total.cast("double"))).drop("_live", "_sets")
 
 
 def forecast_vs_actual(forecasts: DataFrame, products: DataFrame, coverage: DataFrame, live: DataFrame, history: DataFrame,
