@@ -22,6 +22,14 @@ def windows(store: DataFrame, current_days: int = CURRENT_DAYS, reference_days:
     return kept.withColumn("window", F.when(F.col("date") >= start, "current").otherwise("reference"))
 
 
+def require_windows(labelled: DataFrame) -> DataFrame:
+    """Refuses windows of which one has no row: there is nothing to compare."""
+    found = {r["window"] for r in labelled.select("window").distinct().collect()}
+    if len(found) < 2:
+        raise ValueError(f"rows in {' and '.join(sorted(found)) or 'neither'} window only, both are needed")
+    return labelled
+
+
 def histogram(labelled: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, value, n_ref, n_cur): both samples reduced to counts per value, map-side."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in columns])

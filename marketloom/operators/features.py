@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from marketloom.functions import scalars as S
 from marketloom.functions import vocab as V
 from marketloom.operators import demand as D
+from marketloom.operators.latest import first_by
+from marketloom.operators.prefix import number_rows
 
 TARGET = "target_t_plus_1"
 # Columns that are not features.
@@ -113,24 +116,35 @@ def attach_segments(features: DataFrame, segments: DataFrame) -> DataFrame:
         {"abc_class": "C", "xyz_class": "Z", "matrix_class": "CZ", "cv": 0.0, "safety_stock": 0.0})
 
 
+# Vocabularies of the segment columns; a code is a position in them.
+SEGMENT_WORDS = {"abc_class": list("ABC"), "xyz_class": list("XYZ"), "matrix_class": [a + x for a in "ABC" for x in "XYZ"]}
+
+
 def encode_segments(df: DataFrame) -> DataFrame:
     """Integer codes from the fixed vocabularies."""
-    words = {"abc_class": list("ABC"), "xyz_class": list("XYZ"), "matrix_class": [a + x for a in "ABC" for x in "XYZ"]}
-    return df.withColumns({f"{c}_code": S.vocab_code(F.col(c), v) for c, v in words.items() if c in df.columns})
+    return df.withColumns({f"{c}_code": S.vocab_code(F.col(c), v) for c, v in SEGMENT_WORDS.items() if c in df.columns})
 
 
-def encode_category(df: DataFrame, column: str = "category") -> DataFrame:
-    """Position in the sorted distinct categories, -1 when absent.
+def category_codes(rows: DataFrame, column: str = "category") -> DataFrame:
+    """(word, code): positions of the sorted distinct words, from 0.
 
     The vocabulary is numbered by the distributed counter, so it may be of any size.
     """
-    from marketloom.operators.prefix import number_rows
+    words = rows.select(F.col(column).alias("word")).filter("word is not null").distinct()
+    return number_rows(words, [F.col("word")], "code", -1)
+
 
-    words = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    codes = number_rows(words, [F.col(column)], f"{column}_code", -1)
+def encode_category(df: DataFrame, column: str = "category") -> DataFrame:
+    """Position in the sorted distinct categories, -1 when absent."""
+    codes = category_codes(df, column).select(F.col("word").alias(column), F.col("code").alias(f"{column}_code"))
     return df.join(codes, column, "left").withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1)).cast("int"))
 
 
+def sku_names(lines: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Name, category and category code of the first line of each SKU."""
+    return encode_category(first_by(lines, ["sku"], list(order), ["product_name", "category"]))
+
+
 def daily_history(lines: DataFrame, order_key=("platform", "order_id")) -> DataFrame:
     first, last = D.date_bounds(lines)
     return D.dense_daily(D.daily_metrics(lines, order_key), first, last)
@@ -147,18 +161,23 @@ def recent_features(lines: DataFrame, days: int, lags=V.DEFAULT_LAGS, windows=V.
     return features.dropna(subset=[f"lag_{max(lags)}", TARGET])
 
 
+FIRST_LINE = ("create_time", "order_id", "source_line_id")
+
+
 def build_feature_store(lines: DataFrame, daily: DataFrame | None = None, lags=V.DEFAULT_LAGS,
-                        holdout_days: int = 49) -> DataFrame:
-    """Feature rows (SKU, day t) for target t+1, burn-in rows removed.
+                        holdout_days: int = 49, order: tuple[str, ...] = FIRST_LINE) -> DataFrame:
+    """Feature rows (SKU, day t) for target t+1 with segments, name and category, burn-in rows removed.
 
-    An input too short for the largest lag plus the target yields no rows; callers check with
-    ``require_rows`` before training.
+    Name and category are those of a SKU's first line in ``order``. An input too short for the largest lag plus the target yields no
+    rows; callers check with ``require_rows`` before training.
     """
     daily = daily if daily is not None else daily_history(lines)
     features = ema_features(window_features(daily, lags=lags))
     cutoff = segment_cutoff(lines, holdout_days)
     fitted = D.abc_xyz(D.demand_rows(lines.filter(F.col("create_time").cast("date") < cutoff)), D.CLASSIFIER)
     full = encode_segments(attach_segments(calendar_features(features), fitted))
+    if {"product_name", "category"} <= set(lines.columns):
+        full = full.join(sku_names(lines, order), "sku", "left").withColumn("category_code", F.coalesce("category_code", F.lit(-1)))
     return full.dropna(subset=[f"lag_{max(lags)}", TARGET])
 
 
@@ -180,15 +199,34 @@ def sku_profiles(store: DataFrame) -> DataFrame:
     return latest_by(store, ["sku"], [F.col("date").desc()]).select(*keep)
 
 
-def feature_contract(store: DataFrame, lags=V.DEFAULT_LAGS) -> DataFrame:
-    """Contract rows: one header row, then one JSON profile per SKU (kept distributed)."""
+@dataclass(frozen=True)
+class Source:
+    """Where the orders behind a feature store come from."""
+
+    data_source: str = "unknown"
+    data_origin: str = "unknown"
+    datasets: tuple[str, ...] = ()
+
+
+def feature_contract(store: DataFrame, cutoff: Column, source: Source = Source(), lags=V.DEFAULT_LAGS, generated_at: Column | None = None) -> DataFrame:
+    """What serving must know to build the same features: ``kind``, ``entry`` and a JSON ``body``.
+
+    One ``contract`` row (target, columns in order, parameters, fixed codes, segment cutoff, source, time), one ``category`` row for each
+    word with its code, and one ``sku`` row for each profile. Categories and profiles stay distributed, as they grow with the catalogue.
+    """
     spark = store.sparkSession
-    header = spark.createDataFrame(
-        [("contract", TARGET, feature_columns(store), list(lags), list(V.ROLLING_WINDOWS), list(V.EMA_SPANS))],
-        "entry string, target_column string, feature_columns array<string>, lags array<int>, rolling_windows array<int>, ema_spans array<int>",
-    ).select("entry", F.to_json(F.struct("target_column", "feature_columns", "lags", "rolling_windows", "ema_spans")).alias("body"))
-    profiles = sku_profiles(store).select(F.col("sku").alias("entry"), F.to_json(F.struct("*")).alias("body"))
-    return header.unionByName(profiles)
+    at = generated_at if generated_at is not None else F.current_timestamp()
+    lists = {"feature_columns": feature_columns(store), "lags": [*lags], "rolling_windows": [*V.ROLLING_WINDOWS], "ema_spans": [*V.EMA_SPANS], "source_datasets": sorted(set(source.datasets))}
+    fixed = F.struct(*[F.create_map(*[x for i, w in enumerate(words) for x in (F.lit(w), F.lit(i))]).alias(c) for c, words in SEGMENT_WORDS.items()])
+    listed = [(F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")).alias(name) for name, values in lists.items()]
+    header = spark.range(1).select(F.lit("contract").alias("kind"), F.lit("contract").alias("entry"), F.to_json(F.struct(
+        F.lit(TARGET).alias("target_column"), *listed, fixed.alias("category_mappings"), cutoff.cast("string").alias("segment_cutoff_date"),
+        F.lit(source.data_source).alias("data_source"), F.lit(source.data_origin).alias("data_origin"), at.alias("generated_at"))).alias("body"))
+    profiles = sku_profiles(store).select(F.lit("sku").alias("kind"), F.col("sku").alias("entry"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+    if "category_code" not in store.columns:
+        return header.unionByName(profiles)
+    words = store.filter("category is not null").groupBy("category").agg(F.min("category_code").alias("code"))
+    return header.unionByName(words.select(F.lit("category").alias("kind"), F.col("category").alias("entry"), F.to_json(F.struct("code")).alias("body"))).unionByName(profiles)
 
 
 def sequence_windows(daily: DataFrame, columns: list[str], length: int = 14, y: str = "daily_demand") -> DataFrame:

@@ -15,7 +15,7 @@ from marketloom.functions import vocab as V
 from marketloom.operators import forecast as P
 from marketloom.session import checkpoint_root
 
-STATIC = ("abc_class_code", "xyz_class_code", "matrix_class_code", "cv", "safety_stock")
+STATIC = ("abc_class_code", "xyz_class_code", "matrix_class_code", "category_code", "cv", "safety_stock")
 CALENDAR = ("day_of_week", "is_weekend", "day_of_month", "month", "quarter", "is_mega_sale", "target_day_of_week",
             "target_is_weekend", "target_day_of_month", "target_is_mega_sale")
 

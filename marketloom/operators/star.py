@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
+from marketloom.operators.latest import first_by
+from marketloom.operators.merge import insert_missing, merge_scd1
 
 
 def calendar(spark: SparkSession, first: Column, last: Column) -> DataFrame:
@@ -38,12 +40,9 @@ def extend_calendar(stored: DataFrame, dates: DataFrame) -> DataFrame:
     return stored.unionByName(rows.select(*stored.columns))
 
 
-def product_rows(lines: DataFrame) -> DataFrame:
+def product_rows(lines: DataFrame, order: tuple[str, ...] = ("order_id", "source_line_id")) -> DataFrame:
     """One row per SKU with the documented defaults, first line wins."""
-    from marketloom.operators.latest import first_by
-
-    first = first_by(lines.filter("sku is not null"), ["sku"], ["order_id", "source_line_id"],
-                     ["product_name", "category", "original_price", "weight_kg"])
+    first = first_by(lines.filter("sku is not null"), ["sku"], list(order), ["product_name", "category", "original_price", "weight_kg"])
     return first.select(
         "sku", S.clean_default(F.col("product_name"), None).alias("_name"),
         S.clean_default(F.col("category"), "Chung").alias("category"),
@@ -52,6 +51,13 @@ def product_rows(lines: DataFrame) -> DataFrame:
     ).withColumn("product_name", F.coalesce("_name", "sku")).drop("_name")
 
 
+def shop_rows(lines: DataFrame, order: tuple[str, ...] = ("order_id", "source_line_id")) -> DataFrame:
+    """One row per shop and platform; an absent shop is stored as empty text, an absent name as ``Shop``. Lines without a platform name none."""
+    known = lines.filter("platform is not null").withColumn("shop_id", F.coalesce(S.clean_default(F.col("shop_id").cast("string"), None), F.lit("")))
+    first = first_by(known, ["shop_id", "platform"], list(order), ["shop_name"])
+    return first.select("shop_id", "platform", S.clean_default(F.col("shop_name"), "Shop").alias("shop_name"))
+
+
 def geography_rows(lines: DataFrame) -> DataFrame:
     """Distinct places; an absent city or district is stored as empty text on both sides."""
     return lines.filter("state is not null").select(
@@ -60,6 +66,26 @@ def geography_rows(lines: DataFrame) -> DataFrame:
     ).dropDuplicates(["state", "city", "district"])
 
 
+def load_products(stored: DataFrame, lines: DataFrame, order: tuple[str, ...] = ("order_id", "source_line_id")) -> DataFrame:
+    """Products with those of a batch: new SKUs get the next keys, known ones the batch's name, cost and weight."""
+    return merge_scd1(stored, product_rows(lines, order), ["sku"], ["product_name", "unit_cost", "weight_kg"], "product_key")
+
+
+def load_shops(stored: DataFrame, lines: DataFrame, order: tuple[str, ...] = ("order_id", "source_line_id")) -> DataFrame:
+    """Shops with those of a batch, by shop and platform; a known shop takes the batch's name."""
+    return merge_scd1(stored, shop_rows(lines, order), ["shop_id", "platform"], ["shop_name"], "shop_key")
+
+
+def load_geography(stored: DataFrame, lines: DataFrame) -> DataFrame:
+    """Places with the new ones of a batch; a known place stays as it is."""
+    return insert_missing(stored, geography_rows(lines), ["state", "city", "district"], "geo_key")
+
+
+def load_carriers(stored: DataFrame, lines: DataFrame) -> DataFrame:
+    names = lines.select(S.blank_to_null(F.trim("carrier_name")).alias("carrier_name")).filter("carrier_name is not null").distinct()
+    return insert_missing(stored, names, ["carrier_name"], "carrier_key")
+
+
 def resolve_fact_keys(lines: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Surrogate keys of the six dimensions, left joins so that nothing disappears.
 

@@ -28,11 +28,6 @@ def checked(spark: SparkSession, d: str) -> DataFrame:
     return rules.with_errors(rows, rules.order_line_rules(rows))
 
 
-def stored(spark: SparkSession, d: str) -> DataFrame:
-    """Checked rows as a table, for queries that filter on the errors: a filter on a computed column would evaluate all rules twice."""
-    return materialise(checked(spark, d), "checked")
-
-
 @query("unified_lines", f"""WITH {RAW} SELECT t_platform AS platform, t_order_id AS order_id, t_sku AS sku, source_line_id, t_quantity AS quantity, t_price AS original_price,
   CASE WHEN other THEN NULL WHEN is_a THEN category END AS category, CASE WHEN NOT other THEN CAST(supp_key AS VARCHAR) END AS shop_id,
   CASE WHEN NOT other AND is_a THEN CASE WHEN x = 14 THEN '-1' ELSE '0.5' END END AS weight_kg, CASE WHEN NOT other THEN 'VN' END AS country,
@@ -92,7 +87,7 @@ def cleaning_report(spark, d):
 @query("rule_errors", f"""WITH {RAW} SELECT source_object, source_row, part_key, array_to_string(errors, '; ') AS rejection_reasons FROM checked WHERE len(errors) > 0""")
 def rule_errors(spark, d):
     """Rejected rows with all their reasons in report order."""
-    _, rejected = rules.split(stored(spark, d))
+    _, rejected = rules.split(rules.evaluated(checked(spark, d)))
     return rejected.select("source_object", "source_row", F.get_json_object("raw_payload", "$._part").cast("long").alias("part_key"), "rejection_reasons")
 
 
@@ -129,7 +124,7 @@ def quarantine(spark, d):
     from marketloom.session import new_folder
     from marketloom.sources import quarantine as Q
 
-    _, rejected = rules.split(stored(spark, d))
+    _, rejected = rules.split(rules.evaluated(checked(spark, d)))
     kept = rejected.select("source_object", "source_row", "original_price", "rejection_reasons", "raw_payload")
     target = Q.write(kept, new_folder(spark, "quarantine"), "run-1")
     back = Q.read(spark, target, "status string, source_object string, source_row long, original_price string, rejection_reasons string, raw_payload string")
@@ -144,7 +139,7 @@ q AS (SELECT DISTINCT source_object, source_row FROM checked WHERE len(errors) >
 SELECT count(*) AS rejected_positions, count(q.source_row) AS found, count(*) - count(q.source_row) AS not_found FROM r LEFT JOIN q ON r.source_object = q.source_object AND r.source_row = q.source_row""")
 def rejects_in_quarantine(spark, d):
     """Which rejected positions an incomplete quarantine holds (here one reason was not stored)."""
-    rows = stored(spark, d)
+    rows = rules.evaluated(checked(spark, d))
     _, rejected = rules.split(rows)
     _, held = rules.split(rows.filter(~F.array_contains(rules.error_list(), "INVALID_PLATFORM")))
     return R.rejects_found(rejected, held)
@@ -316,6 +311,61 @@ def merge_snapshots(spark, d):
     return M.merge_snapshots(stored, incoming, ["sku", "snapshot_date"]).select("sku", "snapshot_date", "stock_on_hand")
 
 
+# ---- loaders ----------------------------------------------------------------------------
+
+def two_loads(spark, load, lines: DataFrame, schema: str) -> DataFrame:
+    """An empty dimension loaded with two thirds of the orders, then with the other third."""
+    stored = materialise(load(spark.createDataFrame([], schema), lines.filter("order_key % 3 <> 0")), "dimension")
+    return load(stored, lines.filter("order_key % 3 = 0"))
+
+
+@query("load_shops", f"""WITH {LINES}, b AS (SELECT DISTINCT CASE WHEN supp_key % 10 = 0 THEN '' ELSE CAST(supp_key AS VARCHAR) END AS shop_id, platform, order_key % 3 <> 0 AS first FROM lines),
+k AS (SELECT shop_id, platform, bool_or(first) AS old, bool_or(NOT first) AS renamed FROM b GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY NOT old, shop_id, platform) AS shop_key, shop_id, platform, CASE WHEN shop_id = '' THEN 'Shop' ELSE 'Shop ' || shop_id || CASE WHEN renamed THEN ' (2)' ELSE '' END END AS shop_name FROM k""")
+def load_shops(spark, d):
+    """Shops by shop and platform from two batches; the second renames those it knows, and lines without a shop share one."""
+    shop = F.when(F.col("supp_key") % 10 != 0, F.col("supp_key").cast("string"))
+    name = F.concat(F.lit("Shop "), shop, F.when(F.col("order_key") % 3 == 0, " (2)").otherwise(""))
+    lines = T.order_lines(spark, d).withColumns({"shop_id": shop, "shop_name": name})
+    return two_loads(spark, star.load_shops, lines, "shop_key long, shop_id string, platform string, shop_name string")
+
+
+@query("load_geography", f"""WITH {LINES}, b AS (SELECT state, CASE WHEN line_number % 2 = 0 THEN carrier_name ELSE '' END AS city, CASE WHEN line_number % 4 = 0 THEN CAST(line_number AS VARCHAR) ELSE '' END AS district, bool_or(order_key % 3 <> 0) AS old FROM lines GROUP BY 1, 2, 3)
+SELECT row_number() OVER (ORDER BY NOT old, state, city, district) AS geo_key, state, city, district, 'VN' AS country, 'Bắc' AS region FROM b""")
+def load_geography(spark, d):
+    """Places from two batches; absent parts are empty text on both sides, and no place comes twice."""
+    lines = T.order_lines(spark, d, place=True).drop("geo_key", "region").withColumns({
+        "city": F.when(F.col("line_number") % 2 == 0, F.col("carrier_name")), "district": F.when(F.col("line_number") % 4 == 0, F.col("line_number").cast("string")), "country": F.lit(None).cast("string")})
+    return two_loads(spark, star.load_geography, lines, "geo_key long, state string, city string, district string, country string, region string")
+
+
+@query("load_products", f"""WITH {LINES}, b AS (SELECT sku, order_key % 3 <> 0 AS first, CASE WHEN part_key % 5 = 0 THEN sku WHEN part_key % 5 = 1 THEN sku ELSE product_name END AS product_name, CASE WHEN part_key % 7 = 0 THEN 'Chung' ELSE category END AS category,
+  CASE WHEN part_key % 11 = 0 THEN 0 ELSE CAST(original_price AS DOUBLE) END AS unit_cost, CASE WHEN part_key % 3 = 0 THEN 0.1 ELSE 0.25 END AS weight_kg FROM lines
+  QUALIFY row_number() OVER (PARTITION BY sku, order_key % 3 <> 0 ORDER BY order_id, source_line_id, part_key, subtotal) = 1),
+j AS (SELECT coalesce(o.sku, n.sku) AS sku, o.sku IS NOT NULL AS old, coalesce(n.product_name, o.product_name) AS product_name, coalesce(o.category, n.category) AS category, coalesce(n.unit_cost, o.unit_cost) AS unit_cost,
+  CAST(coalesce(n.weight_kg, o.weight_kg) AS DOUBLE) AS weight_kg FROM (SELECT * FROM b WHERE first) o FULL JOIN (SELECT * FROM b WHERE NOT first) n ON o.sku = n.sku)
+SELECT row_number() OVER (ORDER BY NOT old, sku) AS product_key, sku, product_name, category, unit_cost, weight_kg FROM j""")
+def load_products(spark, d):
+    """Products from two batches with absent and 'nan' values: names fall back to the SKU, the rest to documented defaults."""
+    n = F.col("part_key")
+    lines = T.order_lines(spark, d, product=True).withColumns({
+        "product_name": F.when(n % 5 == 0, F.lit(None)).when(n % 5 == 1, "NaN").otherwise(F.col("product_name")), "category": F.when(n % 7 != 0, F.col("category")),
+        "original_price": F.when(n % 11 == 0, F.lit("nan").cast("double")).otherwise(F.col("original_price").cast("double")), "weight_kg": F.when(n % 3 != 0, 0.25)})
+    order = ("order_id", "source_line_id", "part_key", "subtotal")
+    return two_loads(spark, lambda stored, rows: star.load_products(stored, rows, order), lines,
+                     "product_key long, sku string, product_name string, category string, unit_cost double, weight_kg double")
+
+
+@query("platform_inference", f"""WITH {LINES} SELECT platform, count(*) AS rows, count(DISTINCT order_id) AS orders FROM lines GROUP BY 1 UNION ALL SELECT 'unknown', count(*), CAST(0 AS BIGINT) FROM lines WHERE line_number = 1""")
+def platform_inference(spark, d):
+    """Batches that do not say where they come from: the layout tells, or the platform stays unknown."""
+    lines = T.order_lines(spark, d).select("platform", "order_id", F.col("quantity").cast("string").alias("quantity"), "line_number")
+    batches = [lines.filter("platform = 'shopee'").select(F.col("order_id").alias("order_sn"), "quantity"), lines.filter("platform = 'tiktok'").select("order_id", "quantity"),
+               lines.filter("line_number = 1").select("quantity")]
+    unified = [unify.unify(unify.with_platform(b)).select("platform", "order_id") for b in batches]
+    return unified[0].unionByName(unified[1]).unionByName(unified[2]).groupBy("platform").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("order_id").alias("orders"))
+
+
 # ---- star lookup ------------------------------------------------------------------------
 
 def star_dimensions(spark, d) -> dict[str, DataFrame]:

@@ -280,32 +280,68 @@ def encode_segments(spark, d):
     return X.encode_category(coded).drop("cv", "safety_stock")
 
 
+LINE_ORDER = ("order_key", "line_number", "part_key")
+
+
 def feature_store(spark, d) -> DataFrame:
-    return X.build_feature_store(sku_lines(spark, d))
+    return X.build_feature_store(sku_lines(spark, d), order=LINE_ORDER)
 
 
 STORE_SQL = f"""{FEATURES_SQL}, {CUT_SQL}, store AS (SELECT f.*, date + 1 AS target_date, coalesce(abc_class, 'C') AS abc_class, coalesce(xyz_class, 'Z') AS xyz_class, coalesce(matrix_segment, 'CZ') AS matrix_class, coalesce(cv, 0) AS cv,
   CAST(coalesce(safety_stock, 0) AS DOUBLE) AS safety_stock FROM features f LEFT JOIN (SELECT sku, abc_class, xyz_class, matrix_segment, cv, safety_stock FROM fit_segments) USING (sku) WHERE lag_28 IS NOT NULL AND target_t_plus_1 IS NOT NULL)"""
 
 
-@query("feature_store", f"""WITH {STORE_SQL} SELECT sku, CAST(date AS VARCHAR) AS date, daily_demand, order_count, lag_1, lag_7, lag_28, rolling_mean_7, rolling_std_7, rolling_max_14, rolling_min_28, rolling_mean_28, abc_class, xyz_class, matrix_class,
-  round(cv, 6) AS cv, safety_stock, target_t_plus_1 FROM store""")
+# Everything the store holds: recursion for the exponential averages, plain windows for the rest.
+WHOLE_STORE_SQL = f"""{STORE_SQL}, ord AS (SELECT sku, date, CAST(daily_demand AS DOUBLE) AS y, row_number() OVER (PARTITION BY sku ORDER BY date) AS k FROM daily),
+e AS (SELECT sku, k, y AS ema_7, y AS ema_14 FROM ord WHERE k = 1 UNION ALL SELECT o.sku, o.k, {_ema_step(7)}, {_ema_step(14)} FROM e JOIN ord o ON o.sku = e.sku AND o.k = e.k + 1),
+names AS (SELECT sku, product_name, category FROM lines QUALIFY row_number() OVER (PARTITION BY sku ORDER BY order_key, line_number, part_key) = 1),
+coded AS (SELECT *, dense_rank() OVER (ORDER BY category) - 1 AS category_code FROM names),
+whole AS (SELECT s.* EXCLUDE (target_date, date, avg_unit_price, cv), s.date, round(s.avg_unit_price, 6) AS avg_unit_price, round(s.cv, 6) AS cv, round((lag_1 - lag_7) / (lag_7 + 1.0), 6) AS growth_wow, round(e.ema_7 + 1e-10, 6) AS ema_7, round(e.ema_14 + 1e-10, 6) AS ema_14,
+  isodow(s.date) - 1 AS day_of_week, CAST(isodow(s.date) >= 6 AS BIGINT) AS is_weekend, day(s.date) AS day_of_month, month(s.date) AS month, quarter(s.date) AS quarter, CAST(day(s.date) = month(s.date) AS BIGINT) AS is_mega_sale,
+  isodow(s.target_date) - 1 AS target_day_of_week, CAST(isodow(s.target_date) >= 6 AS BIGINT) AS target_is_weekend, day(s.target_date) AS target_day_of_month, CAST(day(s.target_date) = month(s.target_date) AS BIGINT) AS target_is_mega_sale,
+  CAST(list_position(['A', 'B', 'C'], s.abc_class) - 1 AS BIGINT) AS abc_class_code, CAST(list_position(['X', 'Y', 'Z'], s.xyz_class) - 1 AS BIGINT) AS xyz_class_code,
+  CAST(list_position(['AX', 'AY', 'AZ', 'BX', 'BY', 'BZ', 'CX', 'CY', 'CZ'], s.matrix_class) - 1 AS BIGINT) AS matrix_class_code, c.product_name, c.category, c.category_code
+  FROM store s JOIN ord o ON o.sku = s.sku AND o.date = s.date JOIN e ON e.sku = s.sku AND e.k = o.k - 1 JOIN coded c ON c.sku = s.sku)"""
+
+
+@query("feature_store", f"""WITH RECURSIVE {WHOLE_STORE_SQL} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM whole""")
 def feature_store_query(spark, d):
-    """Feature rows with segments, burn-in removed (all features are built; a selection is shown)."""
-    return rounded(feature_store(spark, d)).select(
-        "sku", "date", "daily_demand", "order_count", "lag_1", "lag_7", "lag_28", "rolling_mean_7", "rolling_std_7", "rolling_max_14", "rolling_min_28", "rolling_mean_28",
-        "abc_class", "xyz_class", "matrix_class", "cv", "safety_stock", "target_t_plus_1")
+    """All columns of the feature store, burn-in removed."""
+    return rounded(feature_store(spark, d))
 
 
 @query("sku_profile", f"""WITH {STORE_SQL} SELECT sku, abc_class, xyz_class, matrix_class, round(cv, 6) AS cv, safety_stock FROM store QUALIFY row_number() OVER (PARTITION BY sku ORDER BY date DESC) = 1""")
 def sku_profile(spark, d):
-    return rounded(X.sku_profiles(feature_store(spark, d)))
+    return rounded(X.sku_profiles(feature_store(spark, d))).drop("product_name", "category")
+
+
+FEATURE_COLUMNS = ",".join([
+    "daily_demand", "daily_revenue", "avg_unit_price", "total_discount", "order_count", *[f"lag_{k}" for k in (1, 2, 3, 7, 14, 21, 28)],
+    *[f"rolling_{s}_{n}" for n in (7, 14, 28) for s in ("mean", "std", "max", "min")], "growth_wow", "ema_7", "ema_14", "day_of_week", "is_weekend", "day_of_month", "month", "quarter", "is_mega_sale",
+    "target_day_of_week", "target_is_weekend", "target_day_of_month", "target_is_mega_sale", "cv", "safety_stock", "abc_class_code", "xyz_class_code", "matrix_class_code", "category_code"])
 
 
-@query("feature_contract")
+@query("feature_contract", f"""WITH {STORE_SQL}, names AS (SELECT sku, product_name, category FROM lines QUALIFY row_number() OVER (PARTITION BY sku ORDER BY order_key, line_number, part_key) = 1),
+coded AS (SELECT *, dense_rank() OVER (ORDER BY category) - 1 AS code FROM names),
+p AS (SELECT s.sku, abc_class, xyz_class, matrix_class, CAST(round(cv * 1000000) AS BIGINT) AS cv, CAST(safety_stock AS BIGINT) AS stock FROM store s QUALIFY row_number() OVER (PARTITION BY s.sku ORDER BY date DESC) = 1)
+SELECT 'sku' AS kind, p.sku AS entry, concat_ws('|', c.product_name, c.category, abc_class, xyz_class, matrix_class, CAST(cv AS VARCHAR), CAST(stock AS VARCHAR)) AS told FROM p JOIN coded c ON c.sku = p.sku
+UNION ALL SELECT DISTINCT 'category', c.category, CAST(c.code AS VARCHAR) FROM coded c JOIN p ON p.sku = c.sku
+UNION ALL SELECT 'contract', 'contract', concat_ws('|', 'target_t_plus_1', '{FEATURE_COLUMNS}', '1,2,3,7,14,21,28', '7,14,28', '7,14', 'ds-1,ds-2', '2 1 8', CAST((SELECT max(order_date) - 49 FROM lines) AS VARCHAR), 'warehouse', 'unverified_warehouse')""")
 def feature_contract(spark, d):
-    """Feature contract: header with columns and parameters, one JSON profile per SKU."""
-    return X.feature_contract(feature_store(spark, d))
+    """Feature contract: header with columns, parameters, codes and source, codes of the categories, one profile per SKU."""
+    store = materialise(feature_store(spark, d), "features")
+    source = X.Source("warehouse", "unverified_warehouse", ("ds-2", "ds-1", "ds-2"))
+    rows = X.feature_contract(store, X.segment_cutoff(T.order_lines(spark, d)), source, generated_at=F.lit("2024-01-01").cast("timestamp"))
+    head = F.from_json("body", "target_column string, feature_columns array<string>, lags array<string>, rolling_windows array<string>, ema_spans array<string>, source_datasets array<string>, "
+                               "category_mappings struct<abc_class: map<string, string>, xyz_class: map<string, string>, matrix_class: map<string, string>>, segment_cutoff_date string, data_source string, data_origin string")
+    one = F.from_json("body", "product_name string, category string, abc_class string, xyz_class string, matrix_class string, cv double, safety_stock double")
+    text = lambda c: F.array_join(c, ",")
+    codes = head["category_mappings"]
+    told = F.when(F.col("kind") == "category", F.get_json_object("body", "$.code")).when(F.col("kind") == "sku", F.concat_ws(
+        "|", one["product_name"], one["category"], one["abc_class"], one["xyz_class"], one["matrix_class"], F.round(one["cv"] * 1_000_000).cast("long").cast("string"), one["safety_stock"].cast("long").cast("string"))).otherwise(F.concat_ws(
+            "|", head["target_column"], *[text(head[c]) for c in ("feature_columns", "lags", "rolling_windows", "ema_spans", "source_datasets")],
+            F.concat_ws(" ", codes["abc_class"]["C"], codes["xyz_class"]["Y"], codes["matrix_class"]["CZ"]), head["segment_cutoff_date"], head["data_source"], head["data_origin"]))
+    return rows.select("kind", "entry", told.alias("told"))
 
 
 @query("zero_demand", f"WITH {DAILY} SELECT count(*) AS rows, count(DISTINCT sku) AS skus, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, round(avg(CASE WHEN daily_demand = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_fraction FROM daily")

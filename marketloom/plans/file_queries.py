@@ -142,8 +142,7 @@ def history_csv(spark, d) -> tuple[DataFrame, DataFrame]:
             F.col("order_id").alias(r["order"]), F.col("sku").alias(r["sku"]), F.col("product_name").alias(r["name"]), F.col("t").alias(r["time"]), F.col("q").alias("quantity"),
             "order_status", F.lit("private").alias("buyer_phone"))
         export.write.option("header", True).csv(path)
-        raw = H.read_allowed(spark, path, platform).join(H.fingerprints(spark, path, platform), "_file")
-        frames.append(H.normalise(raw, platform, F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string")), F.col("source_dataset")))
+        frames.append(H.imported(spark, path, platform))
     return frames[0], frames[1]
 
 
@@ -157,6 +156,21 @@ def history_import(spark, d):
         F.sum(F.when(F.col("valid"), F.col("quantity"))).alias("units"), F.bool_and(F.col("source_dataset").rlike("^[a-z]+:sha256:[0-9a-f]{64}$")).alias("named"))
 
 
+@query("history_upsert", f"""WITH {LINES}, v AS (SELECT *, (order_key + line_number) % 40 <> 0 AS ok FROM lines)
+SELECT platform, count(*) FILTER (ok) AS records, CAST(sum(quantity) FILTER (ok) AS BIGINT) AS units, count(*) FILTER (ok AND is_cancelled) AS cancelled, count(*) AS numbered, true AS dense FROM v GROUP BY 1""")
+def history_upsert(spark, d):
+    """Both exports imported into the stored history, and all of it once more: records are the same, and rows are numbered without gaps in each file."""
+    rows = materialise(DataFrame.unionByName(*history_csv(spark, d)), "imported")
+    once = materialise(H.merge_history(rows.drop("valid").limit(0), rows.filter("platform = 'shopee'")), "history")
+    twice = materialise(H.merge_history(once, rows), "history")
+    stored = H.merge_history(twice, rows)
+    at = F.substring_index("source_record_id", ":", -1).cast("long")
+    files = rows.groupBy("platform", "source_dataset").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(at).alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    source = files.groupBy("platform").agg(F.sum("n").alias("numbered"), F.bool_and((F.col("n") == F.col("k")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("dense"))
+    kept = stored.groupBy("platform").agg(F.count(F.lit(1)).alias("records"), F.sum("quantity").alias("units"), F.count_if("is_cancelled").alias("cancelled"))
+    return kept.join(source, "platform")
+
+
 def history_lines(spark, d) -> DataFrame:
     lines = sku_lines(spark, d)
     return lines.withColumns({"data_origin": F.lit(V.HISTORY_ORIGIN), "source_dataset": F.concat(F.lit("ds-"), (F.col("line_number") % 3).cast("string"))})
@@ -205,6 +219,10 @@ def store_roundtrip(spark, d):
     return W.read_feature_store(spark, path).groupBy("sku").agg(F.count(F.lit(1)).alias("rows"), F.sum("daily_demand").alias("demand"), F.min("date").alias("first_day"))
 
 
+def history_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("order_date", "sku", "platform", "data_origin", "source_dataset", "product_name", "units_sold")
+
+
 # ---- mart files -------------------------------------------------------------------------
 
 @query("mart_export", f"""WITH {SUMMARY_SQL} SELECT CAST(order_date AS VARCHAR) AS order_date, platform, total_orders, CAST(total_units_sold AS BIGINT) AS units_sold, CAST(gross_revenue AS DOUBLE) AS gross_revenue, CAST(discounts AS DOUBLE) AS discounts,
@@ -213,10 +231,10 @@ def mart_export(spark, d):
     """Order mart as CSV, read back from the file."""
     columns = ["order_date", "platform", "total_orders", "units_sold", "gross_revenue", "discounts", "net_revenue", "aov"]
     mart = summary_of(spark, d).withColumnsRenamed({"total_units_sold": "units_sold", "total_revenue": "net_revenue", "average_order_value": "aov"})
-    W.require_sales(mart, mart.limit(0))
-    path = new_folder(spark, "mart")
-    W.export_csv(mart.orderBy("order_date", "platform"), path, columns)
-    return spark.read.option("header", True).schema("order_date string, platform string, total_orders long, units_sold long, gross_revenue double, discounts double, net_revenue double, aov double").csv(path)
+    past = history_columns(marts.history_daily(history_lines(spark, d)))
+    path = new_folder(spark, "marts")
+    W.publish_marts({"orders": (mart.orderBy("order_date", "platform"), columns), "history": (past, past.columns)}, path, ("orders", "history"))
+    return spark.read.option("header", True).schema("order_date string, platform string, total_orders long, units_sold long, gross_revenue double, discounts double, net_revenue double, aov double").csv(f"{path}/orders")
 
 
 @query("mart_file_check", f"""WITH {SUMMARY_SQL} SELECT count(*) AS rows, count(*) AS matching FROM summary""")

@@ -19,8 +19,9 @@ from marketloom.plans import marts
 from marketloom.plans.demand_queries import DAILY, LINES, RECENT_SQL, STORE_SQL, daily, live_segments, sku_lines
 from marketloom.plans.registry import query
 from marketloom.plans.sql_parts import LIVE_DEMAND, RATIO_SQL, segments
-from marketloom.session import materialise
+from marketloom.session import materialise, new_folder
 from marketloom.sources import tables as T
+from marketloom.sources import warehouse as W
 
 FOLDS_SQL = """days AS (SELECT target_date, row_number() OVER (ORDER BY target_date DESC) - 1 AS back, count(*) OVER () AS n FROM (SELECT DISTINCT date + 1 AS target_date FROM {src})),
 folds AS (SELECT d.target_date, i + 1 AS fold, CASE WHEN back < 14 * i THEN NULL WHEN back < 14 * (i + 1) THEN 'test' WHEN back < 14 * (i + 1) + 7 THEN 'validation' ELSE 'train' END AS role
@@ -386,17 +387,46 @@ def forecast_audit_append(spark, d):
     return M.append_forecasts(stored, rows, keys).groupBy("data_origin").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("confirm_coverage", f"""WITH {LINES}, r AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'unverified_warehouse' WHEN o_orderkey % 3 = 1 THEN 'public_anonymized_historical_csv' ELSE 'elsewhere' END AS data_origin,
+CONFIRM_SQL = f"""WITH {LINES}, r AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'unverified_warehouse' WHEN o_orderkey % 3 = 1 THEN 'public_anonymized_historical_csv' ELSE 'elsewhere' END AS data_origin,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ds-1' ELSE 'ds-9' END AS source_dataset, CAST(o_orderdate AS DATE) AS full_date FROM orders)
-SELECT data_origin, source_dataset, CAST(full_date AS VARCHAR) AS full_date FROM r WHERE full_date < DATE '2000-01-01' AND ((data_origin = 'unverified_warehouse' AND source_dataset = '') OR (data_origin = 'public_anonymized_historical_csv' AND source_dataset IN ('ds-1', 'ds-2', 'ds-3')))""")
+SELECT data_origin, source_dataset, CAST(full_date AS VARCHAR) AS full_date FROM r WHERE full_date < DATE '2000-01-01' AND ((data_origin = 'unverified_warehouse' AND source_dataset = '') OR (data_origin = 'public_anonymized_historical_csv' AND source_dataset IN ('ds-1', 'ds-2', 'ds-3')))"""
+
+
+@query("confirm_coverage", CONFIRM_SQL)
 def confirm_coverage(spark, d):
     """Confirmations that may be stored: past days, supported origins, known datasets."""
+    return marts.confirm_coverage(*confirmations(spark, d), F.lit("2000-01-01").cast("date"))
+
+
+def confirmations(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Requests to confirm the days of orders, and the imported datasets."""
     n = F.col("o_orderkey")
     asked = T.table(spark, d, "orders").select(
         F.when(n % 3 == 0, "unverified_warehouse").when(n % 3 == 1, V.HISTORY_ORIGIN).otherwise("elsewhere").alias("data_origin"),
         F.when(n % 4 == 0, "").when(n % 4 == 1, "ds-1").otherwise("ds-9").alias("source_dataset"), F.col("o_orderdate").cast("date").alias("full_date"))
     known = T.table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.lit(V.HISTORY_ORIGIN).alias("data_origin"), F.concat(F.lit("ds-"), F.col("l_linenumber").cast("string")).alias("source_dataset"))
-    return marts.confirm_coverage(asked, known, F.lit("2000-01-01").cast("date"))
+    return asked, known
+
+
+@query("coverage_ledger", CONFIRM_SQL)
+def coverage_ledger(spark, d):
+    """The same days confirmed twice, the second time with more of them: the ledger has each once."""
+    asked, known = confirmations(spark, d)
+    table = W.confirmation_table(spark, new_folder(spark, "confirmed"))
+    allowed = materialise(marts.confirm_coverage(asked, known, F.lit("2000-01-01").cast("date")), "allowed")
+    for rows in (allowed.filter("dayofmonth(full_date) % 2 = 0"), allowed, allowed):
+        W.confirm(table, rows, F.current_timestamp())
+    return table.read().select("data_origin", "source_dataset", "full_date")
+
+
+@query("coverage_refused", f"""WITH r AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'unverified_warehouse' WHEN o_orderkey % 3 = 1 THEN 'public_anonymized_historical_csv' ELSE 'elsewhere' END AS data_origin,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ds-1' ELSE 'ds-9' END AS source_dataset, CAST(o_orderdate AS DATE) AS full_date FROM orders)
+SELECT CASE WHEN full_date >= DATE '2000-01-01' THEN 'DAY_NOT_OVER' WHEN data_origin LIKE 'public%' AND source_dataset = '' THEN 'DATASET_MISSING' WHEN data_origin LIKE 'public%' AND source_dataset = 'ds-9' THEN 'DATASET_UNKNOWN'
+  WHEN data_origin LIKE 'public%' OR (data_origin = 'unverified_warehouse' AND source_dataset = '') THEN '' ELSE 'ORIGIN_NOT_SUPPORTED' END AS reason, count(*) AS requests FROM r GROUP BY 1""")
+def coverage_refused(spark, d):
+    """Why confirmations are refused."""
+    judged = marts.judged_confirmations(*confirmations(spark, d), F.lit("2000-01-01").cast("date"))
+    return judged.groupBy("reason").agg(F.count(F.lit(1)).alias("requests"))
 
 
 # ---- readiness --------------------------------------------------------------------------
@@ -449,7 +479,7 @@ drift AS (SELECT feature, ks_statistic, p_value, psi, round(mr, 2) AS ref_mean,
 
 def histogram(spark, d) -> DataFrame:
     store = materialise(X.recent_features(sku_lines(spark, d), DR.DAYS).select("date", *DR.MONITORED), "drift-store")
-    return DR.histogram(DR.windows(store), DR.MONITORED)
+    return DR.histogram(DR.require_windows(DR.windows(store)), DR.MONITORED)
 
 
 @query("drift_ks", f"WITH {DRIFT_SQL} SELECT * FROM ks")

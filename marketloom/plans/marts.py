@@ -161,14 +161,22 @@ def forecast_accuracy(rows: DataFrame, groups: list[str]) -> DataFrame:
         F.round(b / F.nullif(y, F.lit(0.0)), 6).alias("bias"))
 
 
+def judged_confirmations(requests: DataFrame, history: DataFrame, today: Column) -> DataFrame:
+    """Confirmation requests with the ``reason`` they are refused for, empty if they may be stored: the day must be a past business day, a live
+    origin names no dataset, and an import names one that was imported."""
+    known = history.select("data_origin", "source_dataset").distinct().withColumn("_known", F.lit(True))
+    rows = requests.join(known, ["data_origin", "source_dataset"], "left")
+    live, imported = F.col("data_origin").isin(*V.LIVE_ORIGINS), F.col("data_origin") == V.HISTORY_ORIGIN
+    named = F.coalesce("source_dataset", F.lit("")) != ""
+    reason = (F.when(F.col("full_date").isNull() | (F.col("full_date") >= today), "DAY_NOT_OVER").when(F.coalesce(imported & ~named, F.lit(False)), "DATASET_MISSING")
+              .when(F.coalesce(imported & F.col("_known").isNull(), F.lit(False)), "DATASET_UNKNOWN").when(F.coalesce(imported, F.lit(False)), "")
+              .when(F.coalesce(live & ~named, F.lit(False)), "").otherwise("ORIGIN_NOT_SUPPORTED"))
+    return rows.withColumn("reason", reason).drop("_known")
+
+
 def confirm_coverage(requests: DataFrame, history: DataFrame, today: Column) -> DataFrame:
     """Coverage confirmations that may be stored: past day, supported origin, dataset known for imports."""
-    known = history.select("data_origin", "source_dataset").distinct()
-    past = requests.filter(F.col("full_date") < today)
-    live = past.filter(F.col("data_origin").isin(*V.LIVE_ORIGINS) & (F.col("source_dataset") == ""))
-    imported = past.filter((F.col("data_origin") == V.HISTORY_ORIGIN) & (F.col("source_dataset") != "")).join(
-        known, ["data_origin", "source_dataset"], "left_semi")
-    return live.unionByName(imported).distinct()
+    return judged_confirmations(requests, history, today).filter("reason = ''").drop("reason").distinct()
 
 
 # ---- measures ---------------------------------------------------------------------------

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
 from marketloom.functions import vocab as V
+from marketloom.operators.merge import merge_scd1
 
 # The only columns that may be read, and their roles.
 ALLOWED = {
@@ -29,17 +34,66 @@ def read_allowed(spark: SparkSession, path: str, platform: str) -> DataFrame:
     if missing:
         raise ValueError(f"{platform} CSV lacks required columns: {sorted(missing)}")
     return raw.select(*[F.col(f"`{names[c]}`").alias(c) for c in ALLOWED[platform] if c in names],
-                      F.col("_metadata.file_path").alias("_file"))
+                      F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """Rows of ``read_allowed`` with ``_row``, their position among the data rows of their file from 0, whatever slices it was read in.
+
+    Rows are counted per file slice; the slices before a row's own, and its place in its own, give its position. Only the counts are shuffled.
+    """
+    marked = raw.withColumn("_at", F.monotonically_increasing_id())
+    slices = marked.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return marked.join(starts, ["_file", "_block"]).withColumn("_row", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_first", "_before", "_block")
+
+
+MARK = b"\xef\xbb\xbf"
 
 
 def fingerprints(spark: SparkSession, path: str, platform: str) -> DataFrame:
-    """Dataset name per file: platform and SHA-256 of the content.
+    """Dataset name per (uncompressed) file: platform and SHA-256 of its bytes.
 
-    A file is read as one value, so this fits files up to the size of one binary cell; larger
-    exports are split by the exporter and get one dataset name per part.
+    The lines of a file are streamed in order through one task, which holds a batch of them at a time, so a file may be of any size. What
+    the line reader leaves out, a byte-order mark and the line break at the end, follows from the size of the file.
     """
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("_file"), F.concat(F.lit(f"{platform}:sha256:"), F.sha2("content", 256)).alias("source_dataset"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("line"))
+    sizes = lines.groupBy("_file").agg((F.max("_size") - F.sum(F.octet_length("line") + 1)).alias("_rest"))
+    ordered = lines.join(sizes, "_file").repartition("_file").sortWithinPartitions("_file", "_block", "_at").select("_file", "_rest", "line")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, rest, state, begun = None, 0, hashlib.sha256(), False
+
+        def done() -> pa.RecordBatch:
+            # Every line was followed by a line break, except perhaps the last one.
+            if rest in (0, len(MARK)):
+                state.update(b"\n")
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([state.hexdigest()])], ["_file", "sha256"])
+
+        for batch in batches:
+            for name, over, line in zip(*(batch.column(c).to_pylist() for c in ("_file", "_rest", "line"))):
+                if name != file:
+                    if begun:
+                        yield done()
+                    if over not in (-1, 0, len(MARK) - 1, len(MARK)):
+                        raise ValueError(f"{name} is not a plain text file")
+                    file, rest, state, begun = name, over, hashlib.sha256(MARK if over > 0 else b""), True
+                else:
+                    state.update(b"\n")
+                state.update(line)
+        if begun:
+            yield done()
+
+    return ordered.mapInArrow(digest, "_file string, sha256 string").select("_file", F.concat(F.lit(f"{platform}:sha256:"), "sha256").alias("source_dataset"))
+
+
+def imported(spark: SparkSession, path: str, platform: str) -> DataFrame:
+    """Normalised rows of CSV exports, identified by the content of their file and their row in it: importing a file again gives the same rows."""
+    rows = numbered(read_allowed(spark, path, platform)).join(fingerprints(spark, path, platform), "_file")
+    return normalise(rows, platform, F.concat(F.lit("row:"), F.col("_row").cast("string")), F.col("source_dataset"))
 
 
 def normalise(raw: DataFrame, platform: str, record_id: Column, dataset: Column) -> DataFrame:
@@ -75,9 +129,10 @@ def import_summary(rows: DataFrame) -> DataFrame:
     return base.join(reused, "platform", "left").fillna({"order_ids_reused_across_dates": 0})
 
 
-def merge_history(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Last write wins per (dataset, platform, record)."""
-    from marketloom.operators.merge import merge_scd1
+RECORD = ["source_dataset", "platform", "source_record_id"]
 
-    keys = ["source_dataset", "platform", "source_record_id"]
-    return merge_scd1(stored, incoming.dropDuplicates(keys), keys, [c for c in stored.columns if c not in keys])
+
+def merge_history(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Valid rows of an import into the stored history; last write wins per (dataset, platform, record)."""
+    fresh = incoming.filter("valid").drop("valid").dropDuplicates(RECORD)
+    return merge_scd1(stored, fresh, RECORD, [c for c in stored.columns if c not in RECORD])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import vocab as V
+from marketloom.sources.files import Files
 
 
 def orders_for_features(fact: DataFrame, products: DataFrame) -> DataFrame:
@@ -42,10 +43,40 @@ def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def require_sales(summary: DataFrame, history: DataFrame) -> None:
-    """Refuse an export when neither live nor historical sales exist."""
-    if summary.isEmpty() and history.isEmpty():
-        raise RuntimeError("no valid orders: nothing to export")
+class NoSales(RuntimeError):
+    """Neither live nor historical sales exist, so there is nothing to export."""
+
+
+def publish_marts(marts: dict[str, tuple[DataFrame, list[str]]], root: str, sales: tuple[str, ...] = ()) -> None:
+    """Marts (name: rows and columns) as CSV folders below ``root``, all of them or none.
+
+    They are written beside the root and then take its place as a whole, so a failing write, and a refusal because none of the ``sales`` marts
+    has a row, leave the old marts as they are. A stop between the two moves is mended by the next call or by ``restore_marts``.
+    """
+    spark = next(iter(marts.values()))[0].sparkSession
+    files, root = Files(spark), root.rstrip("/")
+    written, old = f"{root}.next", f"{root}.old"
+    restore_marts(spark, root)
+    files.delete(written)
+    for name, (rows, columns) in marts.items():
+        export_csv(rows, f"{written}/{name}", columns)
+    if sales and all(spark.read.option("header", True).csv(f"{written}/{name}").isEmpty() for name in sales):
+        files.delete(written)
+        raise NoSales("no valid orders: nothing to export")
+    if files.exists(root):
+        files.move(root, old)
+    files.move(written, root)
+    files.delete(old)
+
+
+def restore_marts(spark: SparkSession, root: str) -> None:
+    """The old marts again, where a publication stopped after it had moved them away; what is left of a finished one goes."""
+    files, root = Files(spark), root.rstrip("/")
+    if files.exists(f"{root}.old"):
+        if files.exists(root):
+            files.delete(f"{root}.old")
+        else:
+            files.move(f"{root}.old", root)
 
 
 PART = "_part"
@@ -64,15 +95,7 @@ class PartedTable:
         """``part``: SQL text of a row's part. ``moving``: versions of a key may name different parts; the stored one is then looked up
         by the key columns of the other parts, else only the parts of the batch are read."""
         self.spark, self.root, self.keys, self.schema, self.part, self.moving = spark, root.rstrip("/"), keys, schema, part, moving
-        self.staged, self.ledger = f"{self.root}.staged", f"{self.root}.applied"
-
-    def _path(self, text: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _names(self, text: str) -> list[str]:
-        files, path = self._path(text)
-        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        self.staged, self.ledger, self.files = f"{self.root}.staged", f"{self.root}.applied", Files(spark)
 
     def _parted(self, df: DataFrame) -> DataFrame:
         return df.withColumn(PART, F.coalesce(F.expr(self.part).cast("string"), F.lit("none")))
@@ -81,7 +104,7 @@ class PartedTable:
         from pyspark.sql import types as T
 
         schema = T.StructType([*self.schema.fields, T.StructField(PART, T.StringType())])
-        if not any(n.startswith(f"{PART}=") for n in self._names(self.root)):
+        if not any(n.startswith(f"{PART}=") for n in self.files.names(self.root)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.root)
 
@@ -116,34 +139,48 @@ class PartedTable:
         return {r[PART] for r in others.join(wanted, same, "left_semi").select(PART).distinct().collect()}
 
     def _mark(self, text: str) -> None:
-        files, path = self._path(text)
-        files.create(path, True).close()
+        self.files.mark(text)
 
     def _put_in_place(self) -> None:
         """Replaces the folders of the parts that are complete beside the table; leaves no rest."""
-        names = self._names(self.staged)
+        names = self.files.names(self.staged)
         if "_complete" in names:
-            files, root = self._path(self.root)
-            files.mkdirs(root)
-            for name in sorted(n for n in names if n.startswith(f"{PART}=")):
+            self.files.make(self.root)
+            for name in [n for n in names if n.startswith(f"{PART}=")]:
                 self._replace(name)
         if names:
-            files, path = self._path(self.staged)
-            files.delete(path, True)
+            self.files.delete(self.staged)
 
     def _replace(self, name: str) -> None:
-        files, target = self._path(f"{self.root}/{name}")
-        files.delete(target, True)
-        if not files.rename(self._path(f"{self.staged}/{name}")[1], target):
-            raise OSError(f"could not put {name} in place")
+        self.files.delete(f"{self.root}/{name}")
+        self.files.move(f"{self.staged}/{name}", f"{self.root}/{name}")
 
     def last_applied(self, stream: str) -> int:
         """Number of the last batch of a stream that is in the table, -1 if none."""
-        return max([int(n.rpartition("=")[2]) for n in self._names(self.ledger) if n.startswith(f"{stream}=")], default=-1)
+        return max([int(n.rpartition("=")[2]) for n in self.files.names(self.ledger) if n.startswith(f"{stream}=")], default=-1)
 
     def _note(self, stream: str, number: int) -> None:
         self._mark(f"{self.ledger}/{stream}={number}")
-        for n in self._names(self.ledger):
+        for n in self.files.names(self.ledger):
             if n.startswith(f"{stream}=") and int(n.rpartition("=")[2]) < number:
-                files, path = self._path(f"{self.ledger}/{n}")
-                files.delete(path, False)
+                self.files.delete(f"{self.ledger}/{n}")
+
+
+CONFIRMED = ["data_origin", "source_dataset", "full_date"]
+
+
+def confirmation_table(spark: SparkSession, root: str) -> PartedTable:
+    """Days whose sales are confirmed to be complete, by month."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("data_origin", T.StringType()), T.StructField("source_dataset", T.StringType()), T.StructField("full_date", T.DateType()),
+                           T.StructField("confirmed_at", T.TimestampType())])
+    return PartedTable(spark, root, CONFIRMED, schema, "date_format(full_date, 'yyyy-MM')")
+
+
+def confirm(table: PartedTable, allowed: DataFrame, at: Column, batch: tuple[str, int] | None = None) -> None:
+    """Stores confirmations that ``marts.confirm_coverage`` allows. Confirming a day again adds no row; its time becomes the latest one."""
+    from marketloom.operators.merge import merge_scd1
+
+    rows = allowed.select(*CONFIRMED).distinct().withColumn("confirmed_at", at)
+    table.merge(rows, lambda stored, new: merge_scd1(stored, new, CONFIRMED, ["confirmed_at"]), batch)
