@@ -97,11 +97,7 @@ def metrics_by_horizon(spark, d):
 SELECT f.model, count(*) AS folds, round(avg(f.wape) + 1e-9, 2) AS mean_fold_wape, round(avg(f.mae) + 1e-9, 4) AS mean_fold_mae, max(p.wape) AS pooled_wape, max(p.mae) AS pooled_mae, max(p.rmse) AS pooled_rmse FROM f JOIN pooled p USING (model) GROUP BY 1""")
 def model_comparison(spark, d):
     """Fold means next to pooled metrics per model."""
-    scored = materialise(backtest(spark, d), "scored")
-    folds = P.metrics(scored, ["model", "fold"]).groupBy("model").agg(
-        F.count(F.lit(1)).alias("folds"), F.round(F.avg("wape") + 1e-9, 2).alias("mean_fold_wape"), F.round(F.avg("mae") + 1e-9, 4).alias("mean_fold_mae"))
-    pooled = P.metrics(scored, ["model"]).select("model", F.col("wape").alias("pooled_wape"), F.col("mae").alias("pooled_mae"), F.col("rmse").alias("pooled_rmse"))
-    return folds.join(pooled, "model")
+    return models.compare_models(materialise(backtest(spark, d), "scored"))
 
 
 @query("champion", f"""WITH RECURSIVE {RECURSIVE_SQL}, pooled AS (SELECT model, {METRIC_COLUMNS} FROM scored GROUP BY 1) SELECT model, wape, mae, 'recursive_walk_forward' AS strategy FROM pooled ORDER BY wape, model LIMIT 1""")
@@ -172,6 +168,23 @@ def grid_search(spark, d):
     return models.grid_search(store, series, "ridge", {"alpha": [0.1, 10.0, 1000.0]})
 
 
+@query("trained_comparison")
+def trained_comparison(spark, d):
+    """Ridge regression and a forest next to the baselines, on the same folds and horizons."""
+    store, series = trained(spark, d)
+    columns = ["sku", "fold", "horizon", "target_date", "model", "prediction", "actual"]
+    runs = [P.recursive_backtest(store, series), models.backtest_model(store, series, "ridge"), models.backtest_model(store, series, "forest", {"trees": 10, "depth": 5})]
+    scored = runs[0].select(*columns).unionByName(runs[1].select(*columns)).unionByName(runs[2].select(*columns))
+    return models.compare_models(materialise(scored, "scored"))
+
+
+@query("tree_search")
+def tree_search(spark, d):
+    """Walk-forward errors of forests of several depths, best first."""
+    store, series = trained(spark, d)
+    return models.grid_search(store, series, "forest", {"trees": [8], "depth": [3, 6]})
+
+
 # ---- batch forecasts --------------------------------------------------------------------
 
 REQUEST_SQL = """req AS (SELECT p_partkey AS request_id, p_brand || ' ' || p_type AS sku, (SELECT d FROM last) + 1 - CAST(p_partkey % 5 AS INTEGER) AS from_date, (SELECT d FROM last) + CAST(p_partkey % 30 AS INTEGER) + 1 AS to_date FROM part),
