@@ -17,8 +17,10 @@ def components(links: DataFrame, label: str = "components", rounds: int = 60) ->
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null")
     spark = links.sparkSession
-    loops = edges.where("a = b")
-    state, folder = put(edges.where("a <> b").distinct(), label)
+    # Written once: whatever made the links does not run again for their loops.
+    told, folder = put(edges.distinct(), label)
+    loops, loops_at = put(told.where("a = b"), f"{label}-loops")
+    state = told.where("a <> b")
     last = None
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -41,4 +43,7 @@ def components(links: DataFrame, label: str = "components", rounds: int = 60) ->
     nodes = state.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    if loops.isEmpty():
+        drop(spark, loops_at)
+        return nodes.unionByName(roots)
     return nodes.unionByName(roots).unionByName(alone.join(nodes, "node", "left_anti").join(roots, "node", "left_anti"))
