@@ -96,8 +96,8 @@ def close_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         at, n = cuts[i]
         return F.shiftrightunsigned(F.col(c), at).bitwiseAND(signed((1 << n) - 1))
 
-    # A distinct table may come in few partitions; its rows grow many times here.
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # A distinct table may come in few partitions; its rows grow many times here. By another key, as one by the same would be left out.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     table = fps.select(F.col("fp").alias("b"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("s"), segment("fp", i).alias("k")) for i in range(segments)])).alias("e")).select("b", "e.s", "e.k")
     ball = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[
@@ -131,8 +131,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row of ``docs`` for each component, that of the smallest doc_id (null last), with its columns as they came."""
-    own, keeper, keeper_fp = (free_name(docs, n) for n in ("_own_fp", "_keeper", "_keeper_fp"))
+    """One row of ``docs`` for each component, that of the smallest doc_id (null last), with its columns as they came.
+
+    Empty and null texts share the fingerprint zero, so one of them stays. Of rows that repeat a number and a fingerprint one stays. An
+    empty table gives an empty one.
+    """
+    own, number, keeper, keeper_fp = (free_name(docs, n) for n in ("_own_fp", "_own_number", "_keeper", "_keeper_fp"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{own}` long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +144,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
             data, offsets = text_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhash(data, offsets, shingle, seed).view(np.int64))], [*batch.schema.names, own])
 
+    def named(doc_id: Column) -> Column:
+        return F.coalesce(doc_id.cast("long").cast("string"), F.lit("none"))
+
     fps, _ = put(fingerprints(docs, shingle, seed), "fingerprints")
-    ids = _classes(fps, radius).join(fps, "fp")
-    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
-    keepers = first.select(F.col("first.doc_id").alias(keeper), F.col("first.fp").alias(keeper_fp))
-    met = docs.mapInArrow(run, schema).join(keepers, (F.col(own) == F.col(keeper_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keeper)))
-    return met.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The smallest of each group of copies first, so that no group meets in one task.
+    copies = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
+    ids = _classes(fps, radius).join(copies, "fp")
+    first = ids.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("first"))
+    keepers = first.select(named(F.col("first.least.doc_id")).alias(keeper), F.col("first.fp").alias(keeper_fp))
+    # Texts are dealt once, by fingerprint and number, which also serves to keep one of repeated rows.
+    met = docs.mapInArrow(run, schema).withColumn(number, named(F.col("doc_id")))
+    met = met.join(keepers, (F.col(own) == F.col(keeper_fp)) & (F.col(number) == F.col(keeper)))
+    return met.dropDuplicates([own, number]).select(*[F.col(f"`{c}`") for c in docs.columns])
