@@ -49,7 +49,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: A trained classifier decides in the first stage, so SQL cannot express the rows; the tests run each stage against a brute-force version.
+#: A trained classifier decides in the first stage, so SQL cannot express the rows; the tests hold each stage against the operator it calls, and the operators against brute force.
 ORACLE_SQL = None
 
 
