@@ -88,70 +88,96 @@ def shard_quotas(targets: DataFrame, mix: Mix) -> DataFrame:
     return up_to.withColumn("quota", F.col("seats") - before)
 
 
-def _placed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Narrow rows with where they lie in their source's seeded stream, and which part of the stream the mix takes.
+def block_picks(quotas: DataFrame, mix: Mix) -> DataFrame:
+    """group, shard, blocks_lo, blocks_hi: the blocks of its source's seeded stream that each shard takes, ``quota`` of them in every shard.
 
-    ``passes`` times the whole stream is taken, and once more the words of [lo, hi) and of [0, wrap): an arc of whole blocks that begins
-    at a seeded block.
+    Blocks that every pass takes are dealt to the shards seat by seat. The last pass takes some blocks only: there each shard owns a
+    stretch of blocks in proportion to the quota it has still to fill, and takes that many from a seeded block of the stretch on.
     """
+    seats = F.max("seats").over(Window.partitionBy("group"))
+    t = quotas.where("blocks > 0").withColumn("passes", F.floor(seats / F.col("blocks"))).withColumn("rest", seats - F.col("passes") * F.col("blocks"))
+    whole = F.col("passes") * F.col("blocks")
+    t = t.withColumns({"from_seat": F.col("seats") - F.col("quota"), "rest_from": F.greatest(F.col("seats") - F.col("quota") - whole, F.lit(0)),
+                       "rest_to": F.greatest(F.col("seats") - whole, F.lit(0))})
+
+    def in_pass(number: int) -> Column:
+        before = F.lit(number) * F.col("blocks")
+        return F.struct(F.greatest(F.col("from_seat") - before, F.lit(0)).cast("long").alias("blocks_lo"),
+                        F.when(before < whole, F.least(F.col("seats") - before, F.col("blocks"))).otherwise(0).cast("long").alias("blocks_hi"))
+
+    def edge(seat: Column) -> Column:
+        return F.when(F.col("rest") > 0, seat + F.floor((F.col("blocks") - F.col("rest")) * (seat / F.col("rest")))).otherwise(0)
+
+    need = F.col("rest_to") - F.col("rest_from")
+    t = t.withColumns({"stretch_lo": edge(F.col("rest_from")), "stretch_hi": edge(F.col("rest_to"))})
+    spare = F.col("stretch_hi") - F.col("stretch_lo") - need
+    begin = F.col("stretch_lo") + F.pmod(F.xxhash64("group", "shard", F.lit(mix.seed)), F.greatest(spare + 1, F.lit(1)))
+    last = F.struct(begin.cast("long").alias("blocks_lo"), (begin + need).cast("long").alias("blocks_hi"))
+    taken = F.explode(F.array(*[in_pass(k) for k in range(mix.repeats)], last)).alias("run")
+    return t.select("group", "shard", taken).select("group", "shard", "run.*").where("blocks_lo < blocks_hi")
+
+
+def _placed(docs: DataFrame, mix: Mix) -> DataFrame:
+    """Narrow rows with source_size, target, their words [begin, end) in their source's seeded stream, and ``runs``: the words that shards
+    take of that stream, at most repeats + 1 runs for each shard."""
     narrow, _ = put(_narrow(docs), "mix-rows")
-    quotas = shard_quotas(source_targets(narrow, mix), mix).where(F.col("shard") == mix.shards)
-    begin = F.pmod(F.xxhash64("group", F.lit(mix.seed)), F.greatest(F.col("blocks"), F.lit(1)))
-    rest = F.when(F.col("blocks") > 0, F.col("seats") % F.greatest(F.col("blocks"), F.lit(1))).otherwise(0)
-    plan = quotas.select(
-        "group", "source_size", "target", F.floor(F.col("seats") / F.greatest(F.col("blocks"), F.lit(1))).alias("passes"), (begin * mix.block).alias("lo"),
-        (F.least(begin + rest, F.col("blocks")) * mix.block).alias("hi"), (F.greatest(begin + rest - F.col("blocks"), F.lit(0)) * mix.block).alias("wrap"))
+    quotas, _ = put(shard_quotas(source_targets(narrow, mix), mix), "mix-quotas")
+    run = F.struct("shard", (F.col("blocks_lo") * mix.block).alias("lo"), (F.col("blocks_hi") * mix.block).alias("hi"))
+    runs = block_picks(quotas, mix).groupBy("group").agg(F.sort_array(F.collect_list(run)).alias("runs"))
+    plan = quotas.where(F.col("shard") == mix.shards).select("group", "source_size", "target").join(runs, "group", "left")
     order = [F.xxhash64("doc_id", F.lit(mix.seed)), F.col("doc_id"), F.col("size")]
     lying = running_total(narrow, ["group"], order, {"end": "size"}, few_groups=False)
     return lying.join(plan, "group").withColumn("begin", F.col("end") - F.col("size"))
 
 
-def _overlap(lo: Column | str, hi: Column | str) -> Column:
-    return F.greatest(F.lit(0), F.least(F.col("end"), hi) - F.greatest(F.col("begin"), lo))
+def _own_runs() -> Column:
+    """The runs that meet a row: shard, and the words [lo, hi) of the row."""
+    met = F.filter("runs", lambda r: (r["lo"] < F.col("end")) & (r["hi"] > F.col("begin")) & (F.col("size") > 0))
+    return F.transform(F.coalesce(met, F.array()), lambda r: F.struct(
+        r["shard"].alias("shard"), (F.greatest(r["lo"], F.col("begin")) - F.col("begin")).alias("lo"), (F.least(r["hi"], F.col("end")) - F.col("begin")).alias("hi")))
 
 
 def mix_sizes(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``.
+    """doc_id, size, source_size, target, taken and shard_words (words taken by shard) of every row of ``docs``.
 
     Null texts have size 0; null is a source of its own, after all others. Repeated rows are rows of their own. The result depends on the
     rows and the seed only.
     """
-    rows = _placed(docs, mix)
-    taken = F.col("size") * F.col("passes") + _overlap(F.col("lo"), F.col("hi")) + _overlap(F.lit(0), F.col("wrap"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = _placed(docs, mix).withColumn("own", _own_runs())
+
+    def words(runs: Column) -> Column:
+        return F.aggregate(runs, F.lit(0).cast("long"), lambda total, r: total + r["hi"] - r["lo"])
+
+    by_shard = F.transform(F.array_distinct("own.shard"), lambda s: F.struct(s.alias("shard"), words(F.filter("own", lambda r: r["shard"] == s)).alias("words")))
+    return rows.select("doc_id", "size", "source_size", "target", words(F.col("own")).alias("taken"), F.map_from_entries(by_shard).alias("shard_words"))
 
 
-def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time that a document is taken.
+def mix_documents(docs: DataFrame, mix: Mix = Mix(), shard_name: str | None = None) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each run of words of a document that a shard takes.
 
-    A document that the end of an arc cuts appears with the words that are taken, the others whole; documents of which nothing is taken
-    do not appear. A null doc_id with equal rows is taken as often as those rows. A numeric column n_chars follows the text.
+    Documents that lie inside a run are whole; those that the end of a run cuts appear with the words that are taken; documents of which
+    nothing is taken do not appear. With ``shard_name`` the shard (from 1) follows as a column of that name. A null doc_id with equal rows
+    is taken as often as those rows. A numeric column n_chars follows the text.
     """
-    rows = _placed(docs, mix)
+    rows = _placed(docs, mix).withColumn("own", _own_runs())
     # Rows of one number, source and size are told apart by their place; their texts are numbered alike.
     key = ["group", "doc_id", "size"]
-    rows = rows.select(*key, "passes", "begin", "end", "lo", "hi", "wrap", F.row_number().over(Window.partitionBy(*key).orderBy("begin")).alias("twin"))
+    rows = rows.select(*key, "own", F.row_number().over(Window.partitionBy(*key).orderBy("begin")).alias("twin")).where(F.size("own") > 0)
     # The row travels as one column, so its names cannot clash with those made here.
     named = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), *[c.alias(f"row_{a}") for c, a in zip(_keys(docs), key)])
     named = named.withColumn("row_twin", F.row_number().over(Window.partitionBy(*[f"row_{k}" for k in key]).orderBy("text")))
     met = named.join(rows, (F.col("row_group") == F.col("group")) & F.col("row_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row_size") == F.col("size"))
                      & (F.col("row_twin") == F.col("twin")))
-    cut = _overlap(F.col("lo"), F.col("hi")) + _overlap(F.lit(0), F.col("wrap"))
+    runs = met.withColumn("run", F.explode("own"))
+    length = F.col("run.hi") - F.col("run.lo")
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
-
-    def slice_of(lo: Column, hi: Column) -> Column:
-        start = F.greatest(F.lit(0), lo - F.col("begin"))
-        length = _overlap(lo, hi)
-        return F.when(length > 0, F.array_join(F.slice(pieces, (start + 1).cast("int"), length.cast("int")), "")).otherwise("")
-
-    part = F.when(cut >= F.col("size"), F.col("text")).otherwise(F.concat(slice_of(F.lit(0), F.col("wrap")), slice_of(F.col("lo"), F.col("hi"))))
-    whole = F.when(F.col("size") > 0, F.array_repeat(F.col("text"), F.col("passes").cast("int"))).otherwise(F.array())
-    texts = F.concat(whole, F.when(cut > 0, F.array(part)).otherwise(F.array()))
-    out = met.withColumn("taken_text", F.explode(texts))
+    cut = F.array_join(F.slice(pieces, (F.col("run.lo") + 1).cast("int"), length.cast("int")), "")
+    out = runs.withColumn("taken_text", F.when(length == F.col("size"), F.col("text")).otherwise(cut))
     replaced = {"text": F.col("taken_text")}
     if "n_chars" in docs.columns:
         replaced["n_chars"] = F.char_length("taken_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[(replaced[c] if c in replaced else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    shard = [F.col("run.shard").alias(shard_name)] if shard_name else []
+    return out.select(*[(replaced[c] if c in replaced else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *shard)
 
 
 def _keys(docs: DataFrame) -> list[Column]:

@@ -23,7 +23,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sizes(_table(spark, folder, "documents"))
+    mixed = mixing.mix_sizes(_table(spark, folder, "documents"))
+    return mixed.withColumn("n_shards", F.size("shard_words")).drop("shard_words")
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:

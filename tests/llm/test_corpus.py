@@ -63,6 +63,30 @@ def test_mix(documents):
         expected = plain_seats(targets, int(total / mix.block * shard / mix.shards + 0.5), most)
         assert {r.group: r.seats for r in quotas if r.shard == shard} == {"1" if s is None else "0" + s: n for s, n in expected.items()}
     assert all(r.quota >= 0 for r in quotas)
+    # Each shard takes exactly its quota of blocks of each source, no block more often in one pass than once, and none beyond its source.
+    blocks, picked, often = {r.group: r.blocks for r in quotas}, {}, {}
+    for r in mixing.block_picks(mixing.shard_quotas(mixing.source_targets(mixing._narrow(docs), mix), mix), mix).collect():
+        picked[r.group, r.shard] = picked.get((r.group, r.shard), 0) + r.blocks_hi - r.blocks_lo
+        for k in range(r.blocks_lo, r.blocks_hi):
+            often[r.group, k] = often.get((r.group, k), 0) + 1
+    assert picked == {(r.group, r.shard): r.quota for r in quotas if r.quota}
+    for r in quotas:
+        if r.shard == mix.shards and r.blocks:
+            counts = [often.get((r.group, k), 0) for k in range(r.blocks)]
+            assert sum(counts) == sum(n for (g, _), n in often.items() if g == r.group) == r.seats and max(counts) - min(counts) <= 1 and max(counts) <= mix.repeats
+    # Words by shard are those blocks; only the last block of a source may be short.
+    quota = {(r.group, r.shard): r.quota for r in quotas}
+    dealt = {}
+    for r in got:
+        assert sum(r.shard_words.values()) == r.taken
+        name = "1" if source[r.doc_id] is None else "0" + source[r.doc_id]
+        for shard, n in r.shard_words.items():
+            dealt[name, shard] = dealt.get((name, shard), 0) + n
+    for key, n in quota.items():
+        short = -sizes[None if key[0] == "1" else key[0][1:]] % mix.block
+        assert n * mix.block - mix.repeats * short <= dealt.get(key, 0) <= n * mix.block
+    # Another seed picks other blocks.
+    assert {(r.doc_id, r.taken) for r in mixing.mix_sizes(docs, mixing.Mix(block=4, seed=6)).collect()} != {(r.doc_id, r.taken) for r in got}
 
 
 def test_mixed_texts(documents, edges, nothing):
@@ -77,6 +101,12 @@ def test_mixed_texts(documents, edges, nothing):
             words[r.doc_id] += len(WORD.findall(r.text))
             assert r.n_chars == len(r.text)
         assert words == taken
+    by_shard, expected = {}, {}
+    for r in mixing.mix_documents(documents(ROWS), shard_name="shard").collect():
+        by_shard[r.doc_id, r.shard] = by_shard.get((r.doc_id, r.shard), 0) + len(WORD.findall(r.text))
+    for r in mixing.mix_sizes(documents(ROWS)).collect():
+        expected |= {(r.doc_id, s): n for s, n in r.shard_words.items()}
+    assert by_shard == expected
     assert mixing.mix_sizes(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
 
 
