@@ -214,3 +214,36 @@ def test_cap_dedup(spark):
     expected = sorted(((n, degree[i], first[root[i]], n is not None and n == first[root[i]]) for i, (n, _, _) in enumerate(rows)), key=str)
     assert sorted((tuple(x) for x in cap_dedup.near_duplicates(table).collect()), key=str) == expected
     assert cap_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [64, 384])
+def test_caps_by_number(size):
+    """Pairs at the threshold share a cap at every size of the code; unrelated vectors meet far less than in proportion."""
+    r, pairs, cosine, met = np.random.default_rng(size), 400, 0.9801, {}
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.normal(size=(2, pairs, size)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    caps = cap_dedup.Caps()
+    for level in (10, 13, 16):
+        (rows, of), (others, to) = cap_dedup.decode(x, caps, level), cap_dedup.decode(y, caps, level)
+        mine = set(zip(rows.tolist(), of.tolist()))
+        assert len({a for a, f in zip(others.tolist(), to.tolist()) if (a, f) in mine}) >= pairs - 1
+        assert 0.5 < len(rows) / pairs / caps.caps / caps.turns < 2
+        lists = {}
+        for a, f in mine:
+            lists.setdefault(f, set()).add(a)
+        met[level] = len({(a, b) for v in lists.values() for a in v for b in v if a < b}) * 2 ** level
+    assert met[16] < 10 * met[10]
+
+
+def test_caps_are_exact_sums():
+    """Decoding finds the filters that a visit of all of them finds."""
+    caps, level = cap_dedup.Caps(caps=12.0), 4
+    x = np.random.default_rng(3).normal(size=(30, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    words, plain = caps.words(level), set()
+    for number, (turn, (first, second)) in enumerate(cap_dedup.code(12, caps, level)):
+        turned = x @ turn
+        sums = (turned[:, :6] @ first)[:, :, None] + (turned[:, 6:] @ second)[:, None, :]
+        plain |= {(int(a), int(i * words + j + number * words ** 2)) for a, i, j in zip(*np.nonzero(sums >= caps.reach(level)))}
+    assert set(zip(*(v.tolist() for v in cap_dedup.decode(x, caps, level)))) == plain
