@@ -142,6 +142,10 @@ def test_toxicity(spark, documents, edges, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.rejected}
     assert toxicity.judge(edges, marks).count() == edges.count() and toxicity.judge(nothing, marks).count() == 0
     assert all(r.score < 0.01 for r in toxicity.judge(docs, marks.limit(0)).collect())
+    # A sum of ids that holds no row leaves the model untrained; one that holds all rows changes nothing.
+    assert all(r.score < 0.01 for r in toxicity.judge(docs, marks, toxicity.Settings(sample_bytes=0)).collect())
+    whole = toxicity.judge(docs, marks, toxicity.Settings(sample_bytes=1 << 40))
+    assert {r.doc_id: r.score for r in whole.collect()} == {i: r.score for i, r in got.items()}
 
 
 def test_pools_over_block_borders(monkeypatch):
