@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "marke
         # Generated methods above 8000 bytes are never compiled by the JVM; wide rule projections
         # run faster as separate, compiled projections.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # One machine reads small files: their rows are dealt to all cores before heavy work.
+        .config("spark.marketloom.rawPartitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

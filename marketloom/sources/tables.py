@@ -13,14 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
-    """Use all cores for heavy per-row work when the input has fewer file splits than cores.
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Deals rows to as many tasks as the setting ``spark.marketloom.rawPartitions`` names; without it the plan has no shuffle here.
 
-    Large inputs have far more splits than cores and pass through without a shuffle.
+    For heavy per-row work on one machine, where a small file is one split. A cluster leaves it unset: its inputs have splits enough.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = like._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, *keys) if splits < cores else df
+    parts = df.sparkSession.conf.get("spark.marketloom.rawPartitions", None)
+    return df.repartition(int(parts), *keys) if parts else df
 
 
 def platform_of(order_key: Column) -> Column:
@@ -111,7 +110,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
 
     ``_case`` says how a row is spoilt; it is derived from the keys of the row.
     """
-    lines = spread(order_lines(spark, folder, product=True, place=True), table(spark, folder, "lineitem"), ["order_key", "line_number", "part_key"])
+    lines = dealt(order_lines(spark, folder, product=True, place=True), ["order_key", "line_number", "part_key"])
     case = (F.col("order_key") * 7 + F.col("line_number") * 13 + F.col("part_key")) % 101
     lines = lines.withColumn("_case", case)
     hour = F.expr("interval 1 hour")

@@ -261,3 +261,19 @@ def test_dedupe_reads_its_input_once(spark, tmp_path):
     out = L.deduplicate_lines(spark.read.parquet(f"{tmp_path}/lines"))
     assert sorted((r.order_id or "", r.source_updated_at) for r in out.collect()) == [("", 1), ("", 1), ("1", 2)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_raw_rows_are_dealt_by_the_setting_alone(spark):
+    from marketloom.sources import tables
+
+    lines = tables.order_lines(spark, "/root/testdata/sf0.001")
+    key, before = "spark.marketloom.rawPartitions", spark.conf.get("spark.marketloom.rawPartitions", None)
+    try:
+        spark.conf.unset(key)
+        assert tables.dealt(lines, ["order_key"]) is lines
+        spark.conf.set(key, "3")
+        plan = tables.dealt(lines, ["order_key"])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("RepartitionByExpression") and plan.splitlines()[0].rstrip().endswith(", 3")
+    finally:
+        if before:
+            spark.conf.set(key, before)
