@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from marketloom.functions import scalars as S
 from marketloom.operators import features as X
 from marketloom.operators import reconcile as R
+from marketloom.plans import marts
 from marketloom.plans.demand_queries import daily
 from marketloom.plans.registry import query
+from marketloom.plans.sales_queries import calendar_of, dated_lines, summary_against_source
 from marketloom.plans.sql_parts import DAILY, LINES
 from marketloom.session import materialise
 from marketloom.sources import lake
@@ -79,3 +81,14 @@ def replay_faults(spark, d):
              "amount": lines.withColumn("subtotal", F.col("subtotal") + F.lit("0.01").cast("decimal(4,2)"))}
     told = [R.replay_unchanged(lines, rows).select(F.lit(name).alias("replay"), "after_lines", "after_units", "after_subtotal", "unchanged") for name, rows in after.items()]
     return reduce(DataFrame.unionByName, told)
+
+
+@query("aov_faults", f"""WITH {LINES}, sold AS (SELECT * FROM lines WHERE NOT is_cancelled), kept AS (SELECT * FROM sold WHERE day(order_date) <> 13),
+a AS (SELECT CAST(sum(buyer_total_amount) AS DOUBLE) AS r, count(DISTINCT (platform, order_id)) AS o FROM kept),
+b AS (SELECT CAST(sum(buyer_total_amount) AS DOUBLE) AS r, count(DISTINCT (platform, order_id)) AS o FROM sold)
+SELECT a.r AS summary_revenue, b.r AS source_revenue, a.o AS summary_orders, b.o AS source_orders, abs(a.r - b.r) <= 0.01 AND a.o = b.o AS consistent FROM a, b""")
+def aov_faults(spark, d):
+    """A calendar without the thirteenth of each month loses lines of the summary, which the totals tell."""
+    dates = calendar_of(spark, d)
+    summary = marts.executive_summary(dated_lines(spark, d, dates), dates.where(F.dayofmonth("full_date") != 13))
+    return summary_against_source(summary, T.order_lines(spark, d))

@@ -68,16 +68,21 @@ def raw_measures(spark, d):
     return marts.raw_measures(T.order_lines(spark, d))
 
 
+def summary_against_source(summary: DataFrame, lines: DataFrame) -> DataFrame:
+    """Revenue and orders of a summary beside those of its lines, and whether they agree."""
+    a = marts.sales_measures(summary).select(F.col("total_revenue").alias("summary_revenue"), F.col("total_orders").alias("summary_orders"))
+    b = marts.raw_measures(lines)
+    rows = a.select("*", b.select("raw_revenue").scalar().alias("source_revenue"), b.select("raw_orders").scalar().alias("source_orders"))
+    return rows.withColumn("consistent", (F.abs(F.col("summary_revenue") - F.col("source_revenue")) <= 0.01) & (F.col("summary_orders") == F.col("source_orders")))
+
+
 @query("aov_consistency", f"""WITH {SUMMARY_SQL},
 a AS (SELECT CAST(sum(total_revenue) AS DOUBLE) AS r, CAST(sum(total_orders) AS BIGINT) AS o FROM summary),
 b AS (SELECT CAST(sum(buyer_total_amount) AS DOUBLE) AS r, count(DISTINCT (platform, order_id)) AS o FROM lines WHERE NOT is_cancelled)
 SELECT a.r AS summary_revenue, b.r AS source_revenue, a.o AS summary_orders, b.o AS source_orders, abs(a.r - b.r) <= 0.01 AND a.o = b.o AS consistent FROM a, b""")
 def aov_consistency(spark, d):
     """Summary totals against source totals (an order has one day, so both count it once)."""
-    a = marts.sales_measures(summary_of(spark, d)).select(F.col("total_revenue").alias("summary_revenue"), F.col("total_orders").alias("summary_orders"))
-    b = marts.raw_measures(T.order_lines(spark, d))
-    rows = a.select("*", b.select("raw_revenue").scalar().alias("source_revenue"), b.select("raw_orders").scalar().alias("source_orders"))
-    return rows.withColumn("consistent", (F.abs(F.col("summary_revenue") - F.col("source_revenue")) <= 0.01) & (F.col("summary_orders") == F.col("source_orders")))
+    return summary_against_source(summary_of(spark, d), T.order_lines(spark, d))
 
 
 @query("period_demand", f"""WITH {SUMMARY_SQL}, days AS (SELECT order_date, CAST(sum(total_units_sold) AS DOUBLE) AS u FROM summary
