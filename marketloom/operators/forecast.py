@@ -347,22 +347,31 @@ def batch_forecast(requests: DataFrame, daily: DataFrame, last_known: Column, mo
     refused = judged.filter("reason <> ''").select(
         "request_id", "sku", F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("double").alias(c) for c in ("predicted_quantity", "lower_bound", "upper_bound")],
         F.lit("refused").alias("model_source"), F.lit("none").alias("history_source"), "history_end", "reason")
-    usable = history_as_of(judged.filter("reason = ''"), daily, "history_end", history_days).withColumn("history", F.transform("history", lambda r: r["daily_demand"]))
-    steps = F.datediff("to_date", "history_end")
+    # Requests for the same SKU and last known day share history, statistics and path, so these are computed once for each such pair, as far as
+    # its longest request goes. The requests are dealt to tasks of their own: a table of them may be one small file and many days of answers.
+    asked = judged.filter("reason = ''").withColumns({"_steps": F.datediff("to_date", "history_end")})
+    asked = asked.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id", "sku", "from_date")
+    pairs = asked.groupBy("sku", "history_end").agg(F.max("_steps").alias("_steps"))
+    usable = history_as_of(pairs, daily, "history_end", history_days).withColumn("history", F.transform("history", lambda r: r["daily_demand"]))
     recent = F.slice(F.col("history"), F.greatest(F.size("history") - V.STATS_WINDOW_DAYS + 1, F.lit(1)), F.lit(V.STATS_WINDOW_DAYS))
     total = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x)
     squares = F.aggregate(recent, F.lit(0.0), lambda a, x: a + x * x)
     mean, sigma = S.statistics_from_sums(F.size(recent), total, squares)
     known = F.size("history") > 0
     sold = F.exists("history", lambda y: y > 0)
-    usable = usable.withColumns({"hist_mean": F.when(known, mean).otherwise(F.lit(catalog_mean)), "sigma": F.when(known, sigma).otherwise(F.lit(0.0))})
+    path = F.array().cast("array<double>") if model == "heuristic" else F.when(sold, recurse(F.col("history"), F.col("_steps"), baseline_step(model), history_days))
+    shared = usable.select(
+        F.col("sku").alias("_sku"), F.col("history_end").alias("_end"), F.when(known, mean).otherwise(F.lit(catalog_mean)).alias("hist_mean"),
+        F.when(known, sigma).otherwise(F.lit(0.0)).alias("sigma"), known.alias("_known"), sold.alias("_sold"), path.alias("_path"))
+    usable = asked.join(shared, F.col("sku").eqNullSafe(F.col("_sku")) & F.col("history_end").eqNullSafe(F.col("_end")))
+    known, sold = F.col("_known"), F.col("_sold")
     kind = F.when(known, "heuristic_history").otherwise("heuristic_catalog")
     by_rule = usable if model == "heuristic" else usable.filter(~sold)
     items = by_rule.select("*", F.explode(F.sequence("from_date", "to_date")).alias("date")).withColumns({
         "raw": S.heuristic_demand(F.col("hist_mean"), F.col("date")), "_widen": F.sqrt(S.sale_factor(F.col("date"))), "model_source": kind})
     if model != "heuristic":
-        path = recurse(F.col("history"), steps, baseline_step(model), history_days)
-        modelled = usable.filter(sold).select("*", F.posexplode(path).alias("_p", "raw")).withColumns({
+        own = F.when(F.col("_steps") >= 1, F.slice("_path", F.lit(1), F.greatest("_steps", F.lit(0))))
+        modelled = usable.filter(sold).select("*", F.posexplode(own).alias("_p", "raw")).withColumns({
             "date": F.date_add("history_end", F.col("_p") + 1), "_widen": F.lit(1.0), "model_source": F.lit(source),
         }).filter(F.col("date") >= F.col("from_date")).drop("_p")
         items = items.unionByName(modelled)
