@@ -33,3 +33,27 @@ def test_requests_of_one_sku_and_day_share_one_path(spark):
     longest = sorted(by[11])
     assert [len(by[k]) for k in range(12)] == list(range(1, 13))
     assert all(sorted(by[k]) == longest[: k + 1] for k in range(12))
+
+
+def test_quarantine_files_are_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.5, "x" * 100)], "sku string, price double, raw_payload string").withColumn("price", F.col("price").cast("string"))
+    target = Q.write(rows, str(tmp_path / "q"), "r")
+    assert list((tmp_path / "q" / "run_id=r").glob("*.json.gz")) and Q.read(spark, target, rows.schema).collect() == rows.collect()
+
+
+def test_bronze_moves_the_text_only_and_stores_it_well_compressed(spark, tmp_path):
+    good = json.dumps({"_platform": "shopee", "order_sn": "1", "item_sku": "s" * 50, "create_time": "2024-01-01T20:00:00Z"})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join([good, "{broken", "[1]"]))
+    schema = spark.createDataFrame([], "_platform string, order_sn string, item_sku string, create_time string").schema
+    query = jobs.bronze(jobs.read_messages(spark, str(tmp_path / "in")), schema, str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(True)
+    shuffled = [line for line in plan.splitlines() if "RebalancePartitions" in line or "Exchange" in line]
+    assert shuffled and not any("item_sku" in line for line in shuffled)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == ["_platform", "order_sn", "item_sku", "create_time", "_raw_payload_json", "_ingest_error", "_source_platform", "platform", "year", "month", "day"]
+    assert {(r["order_sn"], r["item_sku"], r["_ingest_error"]) for r in back.collect()} == {("1", "s" * 50, None), (None, None, "INVALID_JSON_OBJECT")}
+    row = back.filter("order_sn = '1'").first()
+    assert (row["platform"], row["_source_platform"], row["day"], row["_raw_payload_json"]) == ("shopee", "shopee", 2, good)
+    assert list((tmp_path / "out").rglob("*.zstd.parquet"))
