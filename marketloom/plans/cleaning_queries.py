@@ -139,7 +139,9 @@ q AS (SELECT DISTINCT source_object, source_row FROM checked WHERE len(errors) >
 SELECT count(*) AS rejected_positions, count(q.source_row) AS found, count(*) - count(q.source_row) AS not_found FROM r LEFT JOIN q ON r.source_object = q.source_object AND r.source_row = q.source_row""")
 def rejects_in_quarantine(spark, d):
     """Which rejected positions an incomplete quarantine holds (here one reason was not stored)."""
-    rows = rules.evaluated(checked(spark, d))
+    # Both sides read the rejected positions, so these are stored once and the rules are evaluated once.
+    _, found = rules.split(rules.evaluated(checked(spark, d)))
+    rows = materialise(found.select("source_object", "source_row", F.col("rejection_reasons").alias("errors")), "rejected")
     _, rejected = rules.split(rows)
     _, held = rules.split(rows.filter(~F.array_contains(rules.error_list(), "INVALID_PLATFORM")))
     return R.rejects_found(rejected, held)

@@ -35,6 +35,30 @@ def test_requests_of_one_sku_and_day_share_one_path(spark):
     assert all(sorted(by[k]) == longest[: k + 1] for k in range(12))
 
 
+def test_wide_projections_are_compiled_under_default_settings(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "65535")
+        C.checked(spark, SF)
+        assert spark.conf.get(name) == "8000"
+        spark.conf.set(name, "4000")
+        compiled(spark)
+        assert spark.conf.get(name) == "4000"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_times_are_parsed_once(spark):
+    rows = C.typed(spark, SF).select("create_time", "_invalid_create_time", "order_date")
+    # The instant is a column of its own, which the value and the flag read.
+    assert "AS _at_create_time" in optimized(rows)
+
+
+def test_rejected_positions_are_found_from_one_evaluation(spark):
+    assert "lineitem" not in C.rejects_in_quarantine(spark, SF)._jdf.queryExecution().toString()
+
+
 def test_quarantine_files_are_compressed(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.5, "x" * 100)], "sku string, price double, raw_payload string").withColumn("price", F.col("price").cast("string"))
     target = Q.write(rows, str(tmp_path / "q"), "r")
