@@ -70,10 +70,12 @@ def clean_lines(spark, d):
     """Analysis path: latest version per line, complete keys, plausible quantity and price."""
     raw = T.raw_events(spark, d)
     rows = unify.normalise(unify.unify(raw).withColumn("_part", F.get_json_object("raw_payload", "$._part").cast("long")))
-    kept = L.deduplicate_lines(rows, ties=["source_object", "source_row", "_part", "subtotal"])
+    # Only these columns are shuffled: the key, the order of versions, and what is shown or judged.
+    ties = ["source_object", "source_row", "_part", "subtotal"]
+    shown = ["platform", "order_id", "sku", "source_line_id", "order_status", "quantity", "original_price", "create_time", "source_updated_at", "order_date", "is_cancelled"]
+    kept = L.deduplicate_lines(rows.select(*shown, *ties), ties=ties)
     good = kept.dropna(subset=["order_id", "sku"]).filter(F.col("quantity").between(1, 100) & (F.col("original_price") >= 0))
-    return good.select("platform", "order_id", "sku", "source_line_id", "order_status", "quantity", "original_price", "create_time",
-                       "source_updated_at", "order_date", "is_cancelled")
+    return good.select(*shown)
 
 
 @query("cleaning_report", f"""WITH {RAW}, latest AS (SELECT * FROM typed WHERE t_order_id IS NOT NULL

@@ -59,6 +59,12 @@ def test_rejected_positions_are_found_from_one_evaluation(spark):
     assert "lineitem" not in C.rejects_in_quarantine(spark, SF)._jdf.queryExecution().toString()
 
 
+def test_dedupe_of_clean_lines_moves_only_needed_columns(spark):
+    plan = optimized(C.cleaning_report(spark, SF)) + optimized(C.clean_lines(spark, SF))
+    kept = [line for line in plan.splitlines() if "max_by" in line]
+    assert kept and not any("raw_payload" in line or "buyer_total_amount" in line for line in kept)
+
+
 def test_quarantine_files_are_compressed(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.5, "x" * 100)], "sku string, price double, raw_payload string").withColumn("price", F.col("price").cast("string"))
     target = Q.write(rows, str(tmp_path / "q"), "r")
