@@ -1,13 +1,14 @@
-"""Toxicity of texts: a small convolutional classifier on hashed word embeddings, trained in numpy."""
+"""Toxicity of texts: a small convolutional classifier on hashed word embeddings, trained by tasks over shards of the labelled rows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.scratch import drop, free_name, put
@@ -16,12 +17,17 @@ from marketloom.llm.textscan import FOLD, WORD_LIKE, Substrings, small_batches,
 #: Rows of the id 0 begin a text, rows of the id 1 pad its end; words are hashed to the ids above.
 BEGIN, PAD, FIRST = 0, 1, 2
 BLOCK = 1 << 14
+#: Places of a learning step in memory at a time; changes of weights are whole multiples of 2 ** -FRACTION, logits of thresholds of 2 ** -GRID.
+STEP_BLOCK, FRACTION, GRID = 1 << 16, 40, 10
+#: Labelled numbers that are broadcast, some 100 MB.
+BROADCAST_LABELS = 6_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class`` bounds the labelled rows of each class that are learnt from, ``longest`` the words of such a row and ``sample_bytes`` the
-    word ids of all rows of a class; every row of every length is scored. A bucket has a vector of its own if at least ``least_rows`` of the learnt rows hold it, else the zero vector."""
+    """Every labelled row of every length is learnt from, and every row is scored. ``shard_rows`` is the least number of rows between two
+    averages of the weights and ``most_shards`` the largest number of shards. A step of ``batch`` rows is cut where their word ids exceed
+    ``sample_bytes`` (0 learns nothing). A bucket has a vector of its own if at least ``least_rows`` of the learnt rows hold it, else the zero vector."""
 
     buckets: int = 1 << 20
     least_rows: int = 3
@@ -29,8 +35,8 @@ class Settings:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 12
     stem: int = 5
-    per_class: int = 3000
-    longest: int = 50_000
+    shard_rows: int = 4096
+    most_shards: int = 8
     sample_bytes: int = 64_000_000
     epochs: int = 8
     batch: int = 32
@@ -122,10 +128,15 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> tupl
 
 def untrained(settings: Settings, constant: float = -60.0, texts: list[np.ndarray] = []) -> Model:
     """A model before its first step, with vectors for the buckets that enough of ``texts`` hold."""
-    r = np.random.default_rng(settings.seed)
-    seen = np.zeros(2 * settings.buckets + FIRST, np.int32)
+    seen = np.zeros(2 * settings.buckets + FIRST, np.int64)
     for ids in texts:
         seen[np.unique(ids)] += 1
+    return _untrained(settings, constant, seen)
+
+
+def _untrained(settings: Settings, constant: float, seen: np.ndarray) -> Model:
+    """``seen``: the number of rows that hold a bucket."""
+    r = np.random.default_rng(settings.seed)
     seen[BEGIN] = settings.least_rows
     own = np.flatnonzero(seen >= settings.least_rows)
     lookup = np.zeros(len(seen), np.int32)
@@ -137,60 +148,151 @@ def untrained(settings: Settings, constant: float = -60.0, texts: list[np.ndarra
     return Model(settings, lookup, table, filters, np.zeros(n, np.float32), np.zeros(n, np.float32), constant)
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, settings: Settings) -> Model:
-    """Learns from texts given as id arrays (without BEGIN and PAD) by gradient steps with per-weight rates.
-
-    With one class or no rows, every score is 0 (no toxic rows) or 1 (only toxic rows).
+class Learner:
+    """A model in training: gradient steps with per-weight rates; ``speed`` and ``table_speed`` are the sums of squares behind the rates."""
+
+    def __init__(self, model: Model, flat: np.ndarray | None = None, table_speed: np.ndarray | None = None):
+        self.model = model
+        self.weights = [*model.filters, model.bias, model.dense]
+        self.speed = [np.full_like(w, 1e-6) for w in self.weights]
+        self.constant_speed = 1e-6
+        self.table_speed = np.full(len(model.table), 1e-6, np.float32) if table_speed is None else table_speed
+        if flat is not None:
+            self.load(flat)
+
+    def flat(self) -> np.ndarray:
+        """All weights but the table, with their speeds."""
+        ends = np.array([self.model.constant, self.constant_speed])
+        return np.concatenate([*[w.ravel() for w in (*self.weights, *self.speed)], ends]).astype(np.float64)
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for w in (*self.weights, *self.speed):
+            w[...] = flat[at: at + w.size].reshape(w.shape)
+            at += w.size
+        self.model.constant, self.constant_speed = float(flat[at]), float(flat[at + 1])
+
+    def tops(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each width the largest answers of every text and filter, and their places; a block of places is in memory at a time."""
+        s, model = self.model.settings, self.model
+        reach = max(s.widths) - 1
+        tops = [np.full((len(begin), s.filters), -np.inf, np.float32) for _ in s.widths]
+        places = [np.zeros((len(begin), s.filters), np.int64) for _ in s.widths]
+        for lo in range(0, len(ids), STEP_BLOCK):
+            hi = min(lo + STEP_BLOCK, len(ids))
+            x = model.table[ids[lo: hi + reach]].sum(axis=1)
+            x = np.concatenate([x, np.zeros((hi - lo + reach - len(x), s.size), np.float32)])
+            inside = [(k, max(b, lo) - lo, min(b + n, hi) - lo) for k, (b, n) in enumerate(zip(begin, size)) if b < hi and b + n > lo]
+            for top, at, w, filters in zip(tops, places, s.widths, model.filters):
+                z = sum(x[j: hi - lo + j] @ filters[j] for j in range(w))
+                for k, a, b in inside:
+                    best = z[a:b].argmax(axis=0)
+                    value = np.take_along_axis(z[a:b], best[None], axis=0)[0]
+                    more = value > top[k]
+                    top[k][more], at[k][more] = value[more], (lo + a + best)[more]
+        return tops, places
+
+    def step(self, texts: list[np.ndarray], toxic: np.ndarray) -> None:
+        """One step over a few texts, given as rows of the table (without BEGIN and PAD)."""
+        s, model = self.model.settings, self.model
+        reach = max(s.widths) - 1
+        head, tail = np.full((1, 2), model.lookup[BEGIN], np.int32), np.full((reach, 2), model.lookup[PAD], np.int32)
+        ids = np.concatenate([p for t in texts for p in (head, t, tail)])
+        size = np.array([len(t) + 1 for t in texts])
+        begin = np.cumsum(size + reach) - size - reach
+        tops, places = self.tops(ids, begin, size)
+        raw = np.concatenate(tops, axis=1) + model.bias
+        hidden = np.maximum(raw, 0)
+        error = (_logistic(hidden @ model.dense + model.constant) - toxic) / len(texts)
+        back = error[:, None] * model.dense * (raw > 0)
+        steps: list[np.ndarray] = []
+        rows, moves = [], []
+        for k, (w, filters) in enumerate(zip(s.widths, model.filters)):
+            g = back[:, k * s.filters: (k + 1) * s.filters]
+            step = np.zeros_like(filters)
+            for j in range(w):
+                hit = ids[np.minimum(places[k] + j, len(ids) - 1)]
+                step[j] = np.einsum("bfd,bf->df", model.table[hit].sum(axis=2), g)
+                rows.append(hit.reshape(-1, 2))
+                moves.append((g[:, :, None] * filters[j].T[None]).reshape(-1, s.size))
+            steps.append(step)
+        steps += [back.sum(axis=0), hidden.T @ error]
+        for w, v, step in zip(self.weights, self.speed, steps):
+            v += step * step
+            w -= (s.rate * step / np.sqrt(v)).astype(np.float32)
+        self.constant_speed += float(error.sum()) ** 2
+        model.constant -= s.rate * float(error.sum()) / self.constant_speed ** 0.5
+        _move(model.table, self.table_speed, np.concatenate(rows), np.concatenate(moves), s.rate)
+
+
+def learn_shard(model: Model, flat: np.ndarray, table_speed: np.ndarray, rows: Iterator[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """One pass over a shard from the shared weights: what it changes, as whole multiples of a small fraction, so that sums are exact.
+
+    A row of the result is a row of the table (its vector, then its speed) or, behind those, a piece of the other weights.
+    """
+    s = model.settings
+    own = replace(model, table=model.table.copy(), filters=[f.copy() for f in model.filters], bias=model.bias.copy(), dense=model.dense.copy())
+    learner = Learner(own, flat, table_speed.copy())
+    texts: list[np.ndarray] = []
+    marks: list[int] = []
+    held = 0
+
+    def step() -> None:
+        learner.step(texts, np.array(marks, np.float32))
+        texts.clear()
+        marks.clear()
+
+    for ids, mark in rows:
+        if texts and (len(texts) == s.batch or held + ids.nbytes > s.sample_bytes):
+            step()
+            held = 0
+        texts.append(own.lookup[ids])
+        marks.append(mark)
+        held += ids.nbytes
+    if texts:
+        step()
+    moved = np.flatnonzero((own.table != model.table).any(axis=1) | (learner.table_speed != table_speed))
+    cells = np.concatenate([own.table[moved] - model.table[moved].astype(np.float64), (learner.table_speed[moved] - table_speed[moved].astype(np.float64))[:, None]], axis=1)
+    rest = learner.flat() - flat
+    rest = np.concatenate([rest, np.zeros(-len(rest) % s.size)]).reshape(-1, s.size)
+    cells = np.concatenate([cells, np.concatenate([rest, np.zeros((len(rest), 1))], axis=1)])
+    place = np.concatenate([moved, len(model.table) + np.arange(len(rest))])
+    exact = np.round(cells * 2.0**FRACTION).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *[pa.array(c) for c in exact.T]], ["place", *[f"c{k}" for k in range(s.size + 1)]])
+
+
+def fit(rows: DataFrame, shards: int, seen: np.ndarray, settings: Settings) -> Model:
+    """Learns from all ``rows`` (shard, toxic, ids), whose shards lie together and in order.
+
+    In each epoch every shard makes a pass of steps from the same weights, and the weights become the average over the shards; a vector
+    is averaged over the shards that moved it. Weights go to the tasks and changes come back, never rows.
     """
-    toxic = np.asarray(toxic, np.float32)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return untrained(settings, 60.0 if len(toxic) and toxic[0] else -60.0)
     s, r = settings, np.random.default_rng(settings.seed)
-    model = untrained(s, 0.0, texts)
+    model = _untrained(s, 0.0, seen)
     model.dense[:] = r.normal(0, 0.3, len(model.dense))
-    weights = [*model.filters, model.bias, model.dense]
-    speed = [np.full_like(w, 1e-6) for w in weights]
-    table_speed, constant_speed = np.full(len(model.table), 1e-6, np.float32), 1e-6
-    reach = max(s.widths) - 1
-    head, tail = np.full((1, 2), BEGIN, np.int32), np.full((reach, 2), PAD, np.int32)
-    head, tail, texts = model.lookup[head], model.lookup[tail], [model.lookup[t] for t in texts]
+    learner, names = Learner(model), [f"c{k}" for k in range(s.size + 1)]
+    context = rows.sparkSession.sparkContext
     for _ in range(s.epochs):
-        order = r.permutation(len(texts))
-        for lo in range(0, len(order), s.batch):
-            chosen = order[lo: lo + s.batch]
-            ids = np.concatenate([p for i in chosen for p in (head, texts[i], tail)])
-            size = np.array([len(texts[i]) + 1 for i in chosen])
-            begin = np.cumsum(size + reach) - size - reach
-            x = model.table[ids].sum(axis=1)
-            x = np.concatenate([x, np.zeros((reach, s.size), np.float32)])
-            tops, places = [], []
-            for w, filters in zip(s.widths, model.filters):
-                z = sum(x[j: len(ids) + j] @ filters[j] for j in range(w))
-                at = np.array([b + z[b: b + n].argmax(axis=0) for b, n in zip(begin, size)])
-                places.append(at)
-                tops.append(np.take_along_axis(z, at, axis=0))
-            raw = np.concatenate(tops, axis=1) + model.bias
-            hidden = np.maximum(raw, 0)
-            error = (_logistic(hidden @ model.dense + model.constant) - toxic[chosen]) / len(chosen)
-            back = error[:, None] * model.dense * (raw > 0)
-            steps: list[np.ndarray] = []
-            rows, moves = [], []
-            for k, (w, filters) in enumerate(zip(s.widths, model.filters)):
-                g = back[:, k * s.filters: (k + 1) * s.filters]
-                step = np.zeros_like(filters)
-                for j in range(w):
-                    seen = x[places[k] + j]
-                    step[j] = np.einsum("bfd,bf->df", seen, g)
-                    rows.append(ids[np.minimum(places[k] + j, len(ids) - 1)].reshape(-1, 2))
-                    moves.append((g[:, :, None] * filters[j].T[None]).reshape(-1, s.size))
-                steps.append(step)
-            steps += [back.sum(axis=0), hidden.T @ error]
-            for w, v, step in zip(weights, speed, steps):
-                v += step * step
-                w -= (s.rate * step / np.sqrt(v)).astype(np.float32)
-            constant_speed += float(error.sum()) ** 2
-            model.constant -= s.rate * float(error.sum()) / constant_speed ** 0.5
-            _move(model.table, table_speed, np.concatenate(rows), np.concatenate(moves), s.rate)
+        shared = context.broadcast((model, learner.flat(), learner.table_speed))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = ((shard, np.frombuffer(ids.as_buffer(), np.int32).reshape(-1, 2), mark) for b in batches
+                    for shard, ids, mark in zip(b.column("shard").to_pylist(), b.column("ids"), b.column("toxic").to_pylist()))
+            for _, own in groupby(each, key=lambda x: x[0]):
+                yield learn_shard(*shared.value, ((ids, mark) for _, ids, mark in own))
+
+        moved = rows.select("shard", "toxic", "ids").mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
+        mean = [(F.sum(c) / F.count(F.lit(1)) / F.lit(2.0**FRACTION)).alias(c) for c in names]
+        got = moved.groupBy("place").agg(*mean).toArrow()
+        place = got.column("place").to_numpy()
+        cells = np.stack([got.column(c).to_numpy() for c in names], axis=1)
+        vector = place < len(model.table)
+        model.table[place[vector]] += cells[vector, :-1].astype(np.float32)
+        learner.table_speed[place[vector]] += cells[vector, -1].astype(np.float32)
+        rest = cells[~vector][np.argsort(place[~vector]), :-1].ravel()
+        flat = learner.flat()
+        learner.load(flat + rest[: len(flat)])
+        shared.destroy()
     return model
 
 
@@ -204,7 +306,7 @@ def _move(table: np.ndarray, speed: np.ndarray, rows: np.ndarray, moves: np.ndar
 
 
 def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, lang: list[str | None], weight: np.ndarray) -> Model:
-    """Sets scale and shift of the scores, and for each language the threshold of fewest weighted errors.
+    """Sets scale and shift of the scores, and for each language the threshold of fewest errors; ``weight`` is the number of rows of a logit.
 
     Languages with fewer than ``least_by_language`` rows or without both classes take the threshold found over all rows. Ties take the
     threshold nearest one half.
@@ -212,11 +314,14 @@ def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, lang: list[st
     toxic, weight = np.asarray(toxic, float), np.asarray(weight, float)
     if len(toxic) and 0 < toxic.mean() < 1:
         a, b = 1.0, 0.0
+        # The same sums in the same order, whatever the languages are.
+        (x, t), at = np.unique(np.stack([logits, toxic]), axis=1, return_inverse=True)
+        n = np.bincount(at.ravel(), weight)
         for _ in range(200):
-            p = _logistic(a * logits + b)
-            e, h = weight * (p - toxic), weight * np.maximum(p * (1 - p), 1e-6)
-            grad = np.array([e @ logits, e.sum()]) + np.array([1e-2 * (a - 1), 1e-3 * b])
-            curve = np.array([[h @ (logits * logits) + 1e-2, h @ logits], [h @ logits, h.sum() + 1e-3]])
+            p = _logistic(a * x + b)
+            e, h = n * (p - t), n * np.maximum(p * (1 - p), 1e-6)
+            grad = np.array([e @ x, e.sum()]) + np.array([1e-2 * (a - 1), 1e-3 * b])
+            curve = np.array([[h @ (x * x) + 1e-2, h @ x], [h @ x, h.sum() + 1e-3]])
             step = np.linalg.solve(curve, grad)
             a, b = max(0.05, a - np.clip(step[0], -0.5, 0.5)), b - np.clip(step[1], -0.5, 0.5)
         model.scale, model.shift = float(a), float(b)
@@ -225,7 +330,7 @@ def calibrate(model: Model, logits: np.ndarray, toxic: np.ndarray, lang: list[st
     named = np.array([x if x is not None else "" for x in lang], object)
     for language in sorted({x for x in lang if x is not None}):
         own = named == language
-        if own.sum() >= model.settings.least_by_language and 0 < toxic[own].mean() < 1:
+        if weight[own].sum() >= model.settings.least_by_language and 0 < toxic[own].mean() < 1:
             model.thresholds[language] = _threshold(score[own], toxic[own], weight[own])
     return model
 
@@ -250,57 +355,87 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fits on a seeded sample of at most ``per_class`` labelled rows of each class outside the held-out part.
+    """Fits on all labelled rows outside the held-out part, whole texts of any length.
 
-    Of rows that repeat a doc_id in ``labels`` the largest label counts; null labels are no labels. A fifth of the sample is kept for
-    scores and thresholds. Only lists of word ids come to the driver, of each class no more than ``sample_bytes``: in seeded order, rows behind
-    that sum are not learnt from. Rows of ``docs`` that repeat a labelled number count as rows of the sample each, within the same sum.
+    Of rows that repeat a doc_id in ``labels`` the largest label counts; null labels are no labels. Rows of ``docs`` that repeat a labelled
+    number are learnt from each. A fifth of the rows is kept for scores and thresholds. Rows stay in the tasks: counts of buckets, changes of
+    weights and counts of rounded logits come to the driver. With one class or no rows, every score is 0 (no toxic rows) or 1 (only toxic rows).
     """
+    s, spark = settings, docs.sparkSession
+    if s.sample_bytes <= 0:
+        return untrained(s)
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    total = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    picks = [own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(settings.seed)), "doc_id").limit(settings.per_class) for c in (0, 1)]
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
-        .join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").select("doc_id", "lang", "toxic", "text")
+    own = own.where(F.col("toxic").isin(0, 1))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    marked = own.count()
+    # Texts stay where they are while the labelled numbers have a bounded size; beyond it both sides are shuffled.
+    chosen = narrow.where(~held_out(F.col("doc_id"))).join(F.broadcast(own) if marked <= BROADCAST_LABELS else own, "doc_id")
+    # Shards are equal parts of the hash of the number; a label stands for about one row.
+    shards = max(1, min(s.most_shards, marked // s.shard_rows))
+    place = lambda seed: F.xxhash64("doc_id", F.lit(s.seed + seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pads = max(settings.widths) - 1
+        pads = max(s.widths) - 1
         for batch in small_batches(batches):
-            ids, row = token_ids(*text_bytes(batch.column("text")), settings)
+            ids, row = token_ids(*text_bytes(batch.column("text")), s)
             sizes = np.bincount(row, minlength=batch.num_rows)
-            ends = np.cumsum(sizes)
-            lists = [ids[e - n + 1: e - pads].ravel().tobytes() for n, e in zip(sizes, ends)]
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "toxic")], pa.array(lists, pa.binary())],
+            lists = [ids[e - n + 1: e - pads].ravel().tobytes() for n, e in zip(sizes, np.cumsum(sizes))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "toxic")], pa.array(lists, pa.binary())],
                                              ["doc_id", "lang", "toxic", "ids"])
-            yield out.filter(pa.array(sizes - 1 - pads <= settings.longest))
-
-    sample, where = put(chosen.mapInArrow(run, "doc_id long, lang string, toxic int, ids binary"), "toxic-sample")
-    so_far = F.sum(F.octet_length("ids")).over(
-        Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(settings.seed)), "doc_id", "ids").rowsBetween(Window.unboundedPreceding, 0))
-    got = sample.withColumn("so_far", so_far).where(F.col("so_far") <= settings.sample_bytes).drop("so_far").toArrow()
-    drop(docs.sparkSession, where)
-    if not got.num_rows:
-        return untrained(settings)
-    texts = [np.frombuffer(b, np.int32).reshape(-1, 2) for b in got.column("ids").to_pylist()]
-    rank = np.lexsort((np.array([len(t) for t in texts]), np.array(got.column("doc_id").to_pylist())))
-    texts = [texts[i] for i in rank]
-    toxic = np.array(got.column("toxic").to_pylist())[rank]
-    lang = [got.column("lang")[int(i)].as_py() for i in rank]
-    # The weight of a row is the number of labelled rows that it stands for.
-    weight = np.array([total[int(t)] / max(1, (toxic == t).sum()) for t in toxic])
-    weight = weight * len(weight) / weight.sum()
-    kept = np.arange(len(texts)) % 5 == 0
-    if min((toxic[~kept] == c).sum() for c in (0, 1)) == 0 or len(set(toxic[kept].tolist())) < 2:
-        kept[:] = False
-    model = fit([t for t, k in zip(texts, kept) if not k], toxic[~kept], settings).steady()
-    if not kept.any():
+
+    coded = chosen.select("doc_id", "lang", "toxic", "text").mapInArrow(run, "doc_id long, lang string, toxic int, ids binary")
+    dealt = coded.withColumns({"shard": F.pmod(place(0), F.lit(shards)).cast("int"), "kept": F.pmod(place(1), F.lit(5)) == 0})
+    rows, where = put(dealt.repartition(shards, "shard").sortWithinPartitions("shard", place(2), "doc_id", "ids"), "toxic-rows")
+    try:
+        return _trained(rows, shards, s)
+    finally:
+        drop(spark, where)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``limit`` bytes of ids."""
+    for batch in batches:
+        group = np.cumsum([len(ids.as_buffer()) for ids in batch.column("ids")]) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi > lo)
+
+
+def _trained(rows: DataFrame, shards: int, settings: Settings) -> Model:
+    count = {(r["kept"], r["toxic"] == 1): r["n"] for r in rows.groupBy("kept", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = {toxic for _, toxic in count}
+    if len(classes) < 2:
+        return untrained(settings, 60.0 if True in classes else -60.0)
+    spare = len(count) == 4
+    learnt = rows.where(~F.col("kept")) if spare else rows
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(2 * settings.buckets + FIRST, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                seen[np.unique(np.frombuffer(ids.as_buffer(), np.int32))] += 1
+        hit = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(seen[hit])], ["bucket", "n"])
+
+    often = learnt.select("ids").mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.least_rows).toArrow()
+    seen = np.zeros(2 * settings.buckets + FIRST, np.int64)
+    seen[often.column("bucket").to_numpy()] = often.column("n").to_numpy()
+    model = fit(learnt, shards, seen, settings).steady()
+    if not spare:
         return model
-    held = [t for t, k in zip(texts, kept) if k]
-    pads = np.full((max(settings.widths) - 1, 2), PAD, np.int32)
-    ids = np.concatenate([p for t in held for p in (np.full((1, 2), BEGIN, np.int32), t, pads)])
-    row = np.repeat(np.arange(len(held)), [len(t) + 1 + len(pads) for t in held])
-    logits = model.logits(model.pool(ids, row, len(held))).astype(float)
-    return calibrate(model, logits, toxic[kept], [x for x, k in zip(lang, kept) if k], weight[kept])
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pads = max(settings.widths) - 1
+        for batch in _cut(batches, 1 << 22):
+            texts = [np.frombuffer(t.as_buffer(), np.int32).reshape(-1, 2) for t in batch.column("ids")]
+            ids = np.concatenate([p for t in texts for p in (np.full((1, 2), BEGIN, np.int32), t, np.full((pads, 2), PAD, np.int32))])
+            row = np.repeat(np.arange(len(texts)), [len(t) + 1 + pads for t in texts])
+            cell = np.round(model.logits(model.pool(ids, row, len(texts))).astype(float) * 2.0**GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(cell)], ["lang", "toxic", "cell"])
+
+    cells = rows.where("kept").select("lang", "toxic", "ids").mapInArrow(logits, "lang string, toxic int, cell long")
+    got = cells.groupBy("lang", "toxic", "cell").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "toxic", "cell").toArrow()
+    return calibrate(model, got.column("cell").to_numpy() / 2.0**GRID, got.column("toxic").to_numpy(), got.column("lang").to_pylist(), got.column("n").to_numpy())
 
 
 def score_texts(docs: DataFrame, model: Model, column: str = "text", out: str = "score") -> DataFrame:

@@ -148,6 +148,48 @@ def test_toxicity(spark, documents, edges, nothing):
     assert {r.doc_id: r.score for r in whole.collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, documents):
+    # Ten toxic words stand in ten rows each; only a learner that reads all rows knows all of them. One text has more than 50,000 words.
+    r, rows, labels = np.random.default_rng(5), [], []
+    for i in range(9000):
+        words = [f"plain{int(k)}" for k in r.integers(0, 40, 12)]
+        toxic = i % 10 == 0
+        if toxic:
+            words[int(r.integers(0, 12))] = f"bad{i // 10 % 90}"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(9000 + i, "long " * 50_001 + " enormous" + f" plain{i}") for i in range(12)]
+    labels += [(9000 + i, 1, 1) for i in range(12)]
+    learnt = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    steps = toxicity.Settings(shard_rows=2000)
+    model = toxicity.train(documents(rows), marks, steps)
+    # The words of every class and the words of the long texts have vectors, and several shards agree on one model.
+    from marketloom.llm.textscan import text_bytes
+    import pyarrow as pa
+
+    ids, _ = toxicity.token_ids(*text_bytes(pa.array([" ".join([*[f"bad{k}" for k in range(90)], "enormous"])])), steps)
+    known = model.lookup[ids[1:-2, 0]] > 0
+    assert len(learnt) > 6000 and known.mean() > 0.95 and known[-1]
+    got = {r.doc_id: r.predicted for r in toxicity.judge(documents(rows), marks, steps).collect()}
+    assert sum(got[i] == t for i, _, t in labels) / len(labels) > 0.95
+    again = toxicity.train(documents(rows, 5), marks, steps)
+    assert np.array_equal(again.table, model.table) and (again.scale, again.shift, again.thresholds) == (model.scale, model.shift, model.thresholds)
+
+
+def test_a_long_step_is_cut_into_blocks(monkeypatch):
+    settings = toxicity.Settings(least_rows=1)
+    texts = [np.random.default_rng(k).integers(2, 90, (k, 2)).astype(np.int32) for k in (1, 13, 40)]
+    models = []
+    for block in (1 << 16, 5):
+        monkeypatch.setattr(toxicity, "STEP_BLOCK", block)
+        learner = toxicity.Learner(toxicity.untrained(settings, 0.0, texts))
+        learner.model.dense[:] = 0.1
+        learner.step([learner.model.lookup[t] for t in texts], np.array([1, 0, 1], np.float32))
+        models.append(learner.model)
+    assert np.allclose(models[0].table, models[1].table, atol=1e-5) and np.allclose(models[0].dense, models[1].dense, atol=1e-5)
+
+
 def test_pools_over_block_borders(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 7)
     settings = toxicity.Settings(least_rows=1)
