@@ -232,3 +232,21 @@ def test_sums_give_the_usual_ridge(spark):
         xc, yc = x[keep] - x[keep].mean(0), y[keep] - y[keep].mean()
         expected = np.linalg.solve(xc.T @ xc + alpha * np.eye(4), xc.T @ yc)
         assert np.allclose(weights, expected) and np.isclose(base, y[keep].mean() - x[keep].mean(0) @ expected)
+
+
+def test_lake_rows_are_moved_as_one_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from marketloom.sources import lake
+
+    rows = [(1, "a", None, ""), (2, None, None, None), (3, "", "", ""), (4, "x\u0001y", "\u0000", None), (5, "\u0001", None, "é\u0000"), (6, 'q",\\ ', "\n", "漢😀"), (6, 'q",\\ ', "\n", "漢😀")]
+    df = spark.createDataFrame(rows, "n long, a string, `b.c` string, d string").withColumns(
+        {"platform": F.lit("shopee"), "year": F.lit("2024"), "month": F.lit("02"), "day": F.concat(F.lit("0"), (F.col("n") % 3).cast("string"))})
+    lake.write_lake(df, f"{tmp_path}/lake")
+    back = lake.scan(spark, f"{tmp_path}/lake", lake.stored_schema(df.schema))
+    assert sorted((tuple(r) for r in back.select("n", "a", "`b.c`", "d").collect()), key=str) == sorted(rows, key=str)
+    # Only the partition columns, the numbers and one text are shuffled, besides rows that hold a mark.
+    texts = [f.name for f in df.schema.fields if f.dataType == T.StringType() and f.name not in lake.PARTITIONS]
+    moved = lake.packed(df, texts)
+    assert moved.columns == ["n", *lake.PARTITIONS, "_packed", "_apart"] and moved.where("_apart is null").count() == 5
