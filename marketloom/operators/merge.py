@@ -7,6 +7,8 @@ caller's step; see ``sources.warehouse.PartedTable``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,33 +22,48 @@ FACT_OLD_FIRST = ("date_key",)                        # stored value wins, incom
 FACT_NEW_FIRST = ("cancel_reason", "pay_time", "shipped_time", "completed_time", "cancel_time")
 
 
-def _joined(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    old = stored.select(F.struct("*").alias("old"), *[F.col(k).alias(f"_o_{k}") for k in keys])
-    new = incoming.select(F.struct("*").alias("new"), *[F.col(k).alias(f"_n_{k}") for k in keys])
-    condition = None
-    for k in keys:
-        # Null-safe on both sides: an absent city or district is a value of the key.
-        part = F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}"))
-        condition = part if condition is None else condition & part
-    return old.join(new, condition, "full_outer")
+KEY = "_key"
+
+
+def packed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The key columns as one struct, which compares null-safely: an absent city or district is a value of the key.
+
+    Rows that were reduced by the struct are where the merge needs them, so they are not shuffled twice.
+    """
+    return df if KEY in df.columns else df.select(F.struct(*keys).alias(KEY), *[c for c in df.columns if c not in keys])
+
+
+def _joined(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable[[str], Column], Callable[[str], Column]]:
+    """Rows with the same key side by side, and the column of a name on the stored and on the incoming side; ``in_old`` and ``in_new`` tell
+    which of the two there are.
+
+    Columns travel one by one and the key once, so what is not read later is not shuffled.
+    """
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns})
+
+    def column(prefix: str) -> Callable[[str], Column]:
+        return lambda name: F.col(f"{prefix}{KEY}").getField(name) if name in keys else F.col(f"{prefix}{name}")
+
+    pairs = side(packed(stored, keys), "o_").join(side(packed(incoming, keys), "n_"), F.col(f"o_{KEY}") == F.col(f"n_{KEY}"), "full_outer")
+    return pairs.withColumns({"in_old": F.col(f"o_{KEY}").isNotNull(), "in_new": F.col(f"n_{KEY}").isNotNull()}), column("o_"), column("n_")
 
 
 def merge_scd1(stored: DataFrame, incoming: DataFrame, keys: list[str], update: list[str],
                surrogate: str | None = None) -> DataFrame:
     """Insert new keys, overwrite only ``update`` columns of known keys."""
-    pairs = _joined(stored, incoming, keys)
+    pairs, old, new = _joined(stored, incoming, keys)
 
     def value(name: str) -> Column:
-        old = F.col(f"old.{name}")
         if name == surrogate:
-            return old.alias(name)
-        overwrite = F.col("new").isNotNull() & (F.lit(name in update) | F.col("old").isNull())
-        return F.when(overwrite, F.col(f"new.{name}")).otherwise(old).alias(name)
+            return old(name).alias(name)
+        overwrite = F.col("in_new") & (F.lit(name in update) | ~F.col("in_old"))
+        return F.when(overwrite, new(name)).otherwise(old(name)).alias(name)
 
     if surrogate is None:
         return pairs.select(*[value(c) for c in stored.columns])
-    known = pairs.filter("old is not null").select(*[value(c) for c in stored.columns])
-    fresh = pairs.filter("old is null").select("new.*")
+    known = pairs.filter("in_old").select(*[value(c) for c in stored.columns])
+    fresh = pairs.filter("not in_old").select(*[new(c).alias(c) for c in stored.columns if c != surrogate])
     return known.unionByName(with_surrogate(stored, fresh, keys, surrogate).select(*stored.columns))
 
 
@@ -76,26 +93,25 @@ def merge_versioned(
     keep_old: tuple[str, ...] = (),
     old_first: tuple[str, ...] = (),
     new_first: tuple[str, ...] = (),
-    stored_version: Column | None = None,
+    stored_version: Callable[[Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
     """Version-gated upsert: an incoming row applies only if it is not older than the stored one.
 
-    ``stored_version`` is the effective version of an old row when its own is missing.
+    ``stored_version`` makes the effective version of an old row from its columns, given by name.
     """
-    pairs = _joined(stored, incoming, keys)
-    old_version = stored_version if stored_version is not None else F.col(f"old.{version}")
-    applies = F.col("old").isNull() | (F.col("new").isNotNull() & (F.col(f"new.{version}") >= old_version))
+    pairs, old, new = _joined(stored, incoming, keys)
+    old_version = stored_version(old) if stored_version is not None else old(version)
+    applies = F.coalesce(~F.col("in_old") | (F.col("in_new") & (new(version) >= old_version)), F.lit(False))
 
     def value(name: str) -> Column:
-        old, new = F.col(f"old.{name}"), F.col(f"new.{name}")
         if name in keep_old:
-            result = F.when(F.col("old").isNull(), new).otherwise(old)
+            result = F.when(~F.col("in_old"), new(name)).otherwise(old(name))
         elif name in old_first:
-            result = F.when(F.coalesce(applies, F.lit(False)), F.coalesce(old, new)).otherwise(old)
+            result = F.when(applies, F.coalesce(old(name), new(name))).otherwise(old(name))
         elif name in new_first:
-            result = F.when(F.coalesce(applies, F.lit(False)), F.coalesce(new, old)).otherwise(old)
+            result = F.when(applies, F.coalesce(new(name), old(name))).otherwise(old(name))
         else:
-            result = F.when(F.coalesce(applies, F.lit(False)), new).otherwise(old)
+            result = F.when(applies, new(name)).otherwise(old(name))
         return result.alias(name)
 
     return pairs.select(*[value(c) for c in stored.columns])
@@ -103,17 +119,14 @@ def merge_versioned(
 
 def merge_fact(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Order fact: latest incoming version per line, gated against the stored version."""
-    reduced = latest_by(incoming, FACT_KEY, [F.col("source_updated_at").desc_nulls_last()])
-    effective = F.coalesce(
-        F.col("old.source_updated_at"), F.greatest(*[F.col(f"old.{t}") for t in V.LIFECYCLE])
-    )
-    return merge_versioned(stored, reduced, FACT_KEY, "source_updated_at", FACT_KEEP_OLD, FACT_OLD_FIRST,
-                           FACT_NEW_FIRST, effective)
+    reduced = latest_by(packed(incoming, FACT_KEY), [KEY], [F.col("source_updated_at").desc_nulls_last()])
+    return merge_versioned(stored, reduced, FACT_KEY, "source_updated_at", FACT_KEEP_OLD, FACT_OLD_FIRST, FACT_NEW_FIRST,
+                           lambda old: F.coalesce(old("source_updated_at"), F.greatest(*[old(t) for t in V.LIFECYCLE])))
 
 
 def merge_snapshots(stored: DataFrame, incoming: DataFrame, keys: list[str], at: str = "snapshot_at") -> DataFrame:
     """Inventory: newest snapshot per key, an older replay changes nothing."""
-    return merge_versioned(stored, latest_by(incoming, keys, [F.col(at).desc()]), keys, at)
+    return merge_versioned(stored, latest_by(packed(incoming, keys), [KEY], [F.col(at).desc()]), keys, at)
 
 
 def append_forecasts(stored: DataFrame, issued: DataFrame, keys: list[str]) -> DataFrame:

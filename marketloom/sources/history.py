@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import scalars as S
 from marketloom.functions import vocab as V
-from marketloom.operators.merge import merge_scd1
+from marketloom.operators.merge import KEY, merge_scd1, packed
 
 # The only columns that may be read, and their roles.
 ALLOWED = {
@@ -40,13 +40,14 @@ def read_allowed(spark: SparkSession, path: str, platform: str) -> DataFrame:
 def numbered(raw: DataFrame) -> DataFrame:
     """Rows of ``read_allowed`` with ``_row``, their position among the data rows of their file from 0, whatever slices it was read in.
 
-    Rows are counted per file slice; the slices before a row's own, and its place in its own, give its position. Only the counts are shuffled.
+    Rows are counted per file slice; the slices before a row's own, and its place in its own, give its position. Only the counts, one for
+    each slice, are shuffled and broadcast.
     """
     marked = raw.withColumn("_at", F.monotonically_increasing_id())
     slices = marked.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return marked.join(starts, ["_file", "_block"]).withColumn("_row", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_first", "_before", "_block")
+    return marked.join(F.broadcast(starts), ["_file", "_block"]).withColumn("_row", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_first", "_before", "_block")
 
 
 MARK = b"\xef\xbb\xbf"
@@ -55,14 +56,17 @@ MARK = b"\xef\xbb\xbf"
 def fingerprints(spark: SparkSession, path: str, platform: str) -> DataFrame:
     """Dataset name per (uncompressed) file: platform and SHA-256 of its bytes.
 
-    The lines of a file are streamed in order through one task, which holds a batch of them at a time, so a file may be of any size. What
-    the line reader leaves out, a byte-order mark and the line break at the end, follows from the size of the file.
+    The lines of a file are streamed in order through one task, which holds a batch of them at a time, so a file may be of any size. Files
+    that are read in one slice are hashed where they are read; only those of several slices are shuffled. What the line reader leaves out, a
+    byte-order mark and the line break at the end, follows from the size of the file.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("line"))
-    sizes = lines.groupBy("_file").agg((F.max("_size") - F.sum(F.octet_length("line") + 1)).alias("_rest"))
-    ordered = lines.join(sizes, "_file").repartition("_file").sortWithinPartitions("_file", "_block", "_at").select("_file", "_rest", "line")
+    sizes = lines.groupBy("_file").agg((F.max("_size") - F.sum(F.octet_length("line") + 1)).alias("_rest"), (F.min("_block") == F.max("_block")).alias("_whole"))
+    sized = lines.join(F.broadcast(sizes), "_file")
+    whole = sized.filter("_whole").select("_file", "_rest", "line")
+    ordered = sized.filter("not _whole").repartition("_file").sortWithinPartitions("_file", "_block", "_at").select("_file", "_rest", "line")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, rest, state, begun = None, 0, hashlib.sha256(), False
@@ -87,12 +91,13 @@ def fingerprints(spark: SparkSession, path: str, platform: str) -> DataFrame:
         if begun:
             yield done()
 
-    return ordered.mapInArrow(digest, "_file string, sha256 string").select("_file", F.concat(F.lit(f"{platform}:sha256:"), "sha256").alias("source_dataset"))
+    hashed = [rows.mapInArrow(digest, "_file string, sha256 string") for rows in (whole, ordered)]
+    return hashed[0].unionByName(hashed[1]).select("_file", F.concat(F.lit(f"{platform}:sha256:"), "sha256").alias("source_dataset"))
 
 
 def imported(spark: SparkSession, path: str, platform: str) -> DataFrame:
     """Normalised rows of CSV exports, identified by the content of their file and their row in it: importing a file again gives the same rows."""
-    rows = numbered(read_allowed(spark, path, platform)).join(fingerprints(spark, path, platform), "_file")
+    rows = numbered(read_allowed(spark, path, platform)).join(F.broadcast(fingerprints(spark, path, platform)), "_file")
     return normalise(rows, platform, F.concat(F.lit("row:"), F.col("_row").cast("string")), F.col("source_dataset"))
 
 
@@ -134,5 +139,6 @@ RECORD = ["source_dataset", "platform", "source_record_id"]
 
 def merge_history(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Valid rows of an import into the stored history; last write wins per (dataset, platform, record)."""
-    fresh = incoming.filter("valid").drop("valid").dropDuplicates(RECORD)
+    # Copies of a record come from copies of its file, so none is hot; one shuffle by the packed key serves this and the merge.
+    fresh = packed(incoming.filter("valid").drop("valid"), RECORD).repartition(KEY).dropDuplicates([KEY])
     return merge_scd1(stored, fresh, RECORD, [c for c in stored.columns if c not in RECORD])
