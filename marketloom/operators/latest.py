@@ -37,11 +37,11 @@ def deduplicate_lines(
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     hashed = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
     own = F.when(~complete, F.struct(F.xxhash64(*hashed), F.hash(*hashed)))
-    # Nulls are the least in structs, so the greatest one has the latest version, null versions last.
-    newest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(version, *ties)).alias("_row")
+    # Nulls are the least in structs, so the greatest one has the latest version, null versions last. The key is sent once, beside the row.
+    newest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys]), F.struct(version, *ties)).alias("_row")
     kept = df.withColumn("_own", own).groupBy(*keys, "_own").agg(newest, F.count(F.lit(1)).alias("_copies"))
     copies = F.when(F.col("_own").isNull(), F.array("_row")).otherwise(F.array_repeat("_row", F.col("_copies").cast("int")))
-    return kept.select(F.inline(copies))
+    return kept.select(*keys, F.inline(copies)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -235,8 +235,14 @@ def fact_batch(lines: DataFrame, second: bool) -> DataFrame:
         F.col("ship_date").alias("shipped_time"), empty.alias("completed_time"), empty.alias("cancel_time"), version.alias("source_updated_at"))
 
 
+FACT_INPUT = ["order_id", "platform", "source_line_id", "line_number", "create_time", "order_status", "is_cancelled", "quantity", "subtotal", "part_key", "ship_date",
+              "source_updated_at"]
+
+
 def two_batches(spark, d) -> tuple[DataFrame, DataFrame]:
-    lines = L.deduplicate_lines(T.order_lines(spark, d), ties=LINE_TIES)
+    """Two batches from the latest version of every line, which is found and stored once."""
+    needed = T.order_lines(spark, d).select(*FACT_INPUT, *[c for c in LINE_TIES if c not in FACT_INPUT])
+    lines = materialise(L.deduplicate_lines(needed, ties=LINE_TIES).select(*FACT_INPUT), "latest-lines", "zstd")
     return fact_batch(lines.filter("part_key % 3 <> 0"), False), fact_batch(lines.filter("part_key % 3 = 0 or part_key % 5 = 0"), True)
 
 
@@ -270,7 +276,7 @@ SELECT l AS before_lines, u AS before_units, s AS before_subtotal, l AS after_li
 def merge_replay(spark, d):
     """The same batch merged again changes nothing."""
     stored, incoming = two_batches(spark, d)
-    once = materialise(M.merge_fact(stored, incoming), "merged-once")
+    once = materialise(M.merge_fact(stored, incoming), "merged-once", "zstd")
     return R.replay_unchanged(once, M.merge_fact(once, incoming))
 
 
