@@ -153,15 +153,14 @@ def abc_xyz(rows: DataFrame, policy: SegmentPolicy = WAREHOUSE) -> DataFrame:
 
     Mean and deviation of the zero-filled series follow from the number of calendar days and two
     integer sums, so the SKU x day grid is never built. Lines are first reduced to SKU-days, which
-    bounds a hot SKU by the calendar. The cumulative share runs over range slices, because one
-    origin can hold every SKU.
+    bounds a hot SKU by the calendar; sums are hashed, as the greatest names, which would make a
+    task sort all its lines, are found among the distinct ones. The cumulative share runs over range
+    slices, because one origin can hold every SKU.
     """
-    daily = rows.groupBy("data_origin", "sku", "order_date").agg(
-        F.sum("quantity").alias("q"), F.sum("revenue").alias("r"),
-        F.max("product_name").alias("product_name"), F.max("category").alias("category"),
-    )
+    daily = rows.groupBy("data_origin", "sku", "order_date").agg(F.sum("quantity").alias("q"), F.sum("revenue").alias("r"))
+    names = rows.select("data_origin", "sku", "product_name", "category").distinct()
     totals = materialise(
-        daily.groupBy("data_origin", "sku").agg(
+        daily.unionByName(names, allowMissingColumns=True).groupBy("data_origin", "sku").agg(
             F.max("product_name").alias("product_name"), F.max("category").alias("category"),
             F.sum("r").cast("decimal(30,2)").alias("revenue"), F.sum("q").cast("decimal(20,0)").alias("total_units"),
             F.sum(F.col("q").cast("double") * F.col("q").cast("double")).alias("_sq"),
