@@ -13,6 +13,7 @@ from marketloom.functions import vocab as V
 from marketloom.operators import demand as D
 from marketloom.operators.latest import first_by
 from marketloom.operators.prefix import number_rows
+from marketloom.session import materialise
 
 TARGET = "target_t_plus_1"
 # Columns that are not features.
@@ -140,13 +141,31 @@ def encode_category(df: DataFrame, column: str = "category") -> DataFrame:
     return df.join(codes, column, "left").withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1)).cast("int"))
 
 
+def sku_days(lines: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Lines reduced to a row for each SKU, day and whether cancelled, and stored: quantity and revenue, greatest and (with ``order``) first names.
+
+    Bounds, cutoff, segments and names of a feature store follow from it, so the lines are read once for all of them. Its columns have the names
+    of line columns, so it stands for the lines wherever sums, greatest and first values of them are asked.
+    """
+    named = {"product_name", "category"} <= set(lines.columns)
+    names = [F.max(c).alias(c) for c in ("product_name", "category") if named]
+    first = [F.min_by(F.struct(F.struct(*order).alias("at"), F.struct("product_name", "category").alias("named")), F.struct(*order)).alias("_first")] if named and order else []
+    days = lines.groupBy("sku", F.col("create_time").cast("date").alias("create_time"), "is_cancelled").agg(
+        F.sum(F.col("quantity").cast("decimal(18,0)")).alias("quantity"), F.sum(F.col("buyer_total_amount").cast("decimal(18,2)")).alias("buyer_total_amount"), *names, *first)
+    return materialise(days, "sku-days")
+
+
 def sku_names(lines: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Name, category and category code of the first line of each SKU."""
+    """Name, category and category code of the first line of each SKU; ``lines`` may also be ``sku_days``."""
+    if "_first" in lines.columns:
+        lines = lines.select("sku", "_first.at", "_first.named.*")
+        order = ("at",)
     return encode_category(first_by(lines, ["sku"], list(order), ["product_name", "category"]))
 
 
-def daily_history(lines: DataFrame, order_key=("platform", "order_id")) -> DataFrame:
-    first, last = D.date_bounds(lines)
+def daily_history(lines: DataFrame, order_key=("platform", "order_id"), days: DataFrame | None = None) -> DataFrame:
+    """The dense series of every SKU; with ``sku_days`` of the lines the calendar's ends are taken from there."""
+    first, last = D.date_bounds(days if days is not None else lines)
     return D.dense_daily(D.daily_metrics(lines, order_key), first, last)
 
 
@@ -165,19 +184,20 @@ FIRST_LINE = ("create_time", "order_id", "source_line_id")
 
 
 def build_feature_store(lines: DataFrame, daily: DataFrame | None = None, lags=V.DEFAULT_LAGS,
-                        holdout_days: int = 49, order: tuple[str, ...] = FIRST_LINE) -> DataFrame:
+                        holdout_days: int = 49, order: tuple[str, ...] = FIRST_LINE, days: DataFrame | None = None) -> DataFrame:
     """Feature rows (SKU, day t) for target t+1 with segments, name and category, burn-in rows removed.
 
     Name and category are those of a SKU's first line in ``order``. An input too short for the largest lag plus the target yields no
-    rows; callers check with ``require_rows`` before training.
+    rows; callers check with ``require_rows`` before training. ``days``: the ``sku_days`` of the lines, where they are stored already.
     """
-    daily = daily if daily is not None else daily_history(lines)
+    days = days if days is not None else sku_days(lines, order)
+    daily = daily if daily is not None else daily_history(lines, days=days)
     features = ema_features(window_features(daily, lags=lags))
-    cutoff = segment_cutoff(lines, holdout_days)
-    fitted = D.abc_xyz(D.demand_rows(lines.filter(F.col("create_time").cast("date") < cutoff)), D.CLASSIFIER)
+    cutoff = segment_cutoff(days, holdout_days)
+    fitted = D.abc_xyz(D.demand_rows(days.filter(F.col("create_time") < cutoff)), D.CLASSIFIER)
     full = encode_segments(attach_segments(calendar_features(features), fitted))
     if {"product_name", "category"} <= set(lines.columns):
-        full = full.join(sku_names(lines, order), "sku", "left").withColumn("category_code", F.coalesce("category_code", F.lit(-1)))
+        full = full.join(sku_names(days, order), "sku", "left").withColumn("category_code", F.coalesce("category_code", F.lit(-1)))
     return full.dropna(subset=[f"lag_{max(lags)}", TARGET])
 
 
