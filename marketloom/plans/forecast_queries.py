@@ -136,8 +136,9 @@ def scored_rows(spark, d):
 
 def trained(spark, d) -> tuple[DataFrame, DataFrame]:
     lines = sku_lines(spark, d)
-    series = materialise(X.daily_history(lines), "daily")
-    return materialise(X.build_feature_store(lines, series), "features"), series
+    days = X.sku_days(lines, X.FIRST_LINE)
+    series = materialise(X.daily_history(lines, days=days), "daily")
+    return materialise(X.build_feature_store(lines, series, days=days), "features"), series
 
 
 @query("ridge_forecast")
