@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.scratch import drop, free_name, put
 from marketloom.llm.textscan import FOLD, WORD_LIKE, Substrings, small_batches, text_bytes, words
+from marketloom.session import light_batches
 
 #: Rows of the id 0 begin a text, rows of the id 1 pad its end; words are hashed to the ids above.
 BEGIN, PAD, FIRST = 0, 1, 2
@@ -225,10 +226,11 @@ class Learner:
         _move(model.table, self.table_speed, np.concatenate(rows), np.concatenate(moves), s.rate)
 
 
-def learn_shard(model: Model, flat: np.ndarray, table_speed: np.ndarray, rows: Iterator[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+def learn_shard(model: Model, flat: np.ndarray, table_speed: np.ndarray, rows: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
     """One pass over a shard from the shared weights: what it changes, as whole multiples of a small fraction, so that sums are exact.
 
-    A row of the result is a row of the table (its vector, then its speed) or, behind those, a piece of the other weights.
+    A row of the result is a row of the table (its vector, then its speed) or, behind those, a piece of the other weights. Changes are
+    made exact and given out ``BLOCK`` rows at a time, so a task holds the table and its own copy but no further ones.
     """
     s = model.settings
     own = replace(model, table=model.table.copy(), filters=[f.copy() for f in model.filters], bias=model.bias.copy(), dense=model.dense.copy())
@@ -252,13 +254,18 @@ def learn_shard(model: Model, flat: np.ndarray, table_speed: np.ndarray, rows: I
     if texts:
         step()
     moved = np.flatnonzero((own.table != model.table).any(axis=1) | (learner.table_speed != table_speed))
-    cells = np.concatenate([own.table[moved] - model.table[moved].astype(np.float64), (learner.table_speed[moved] - table_speed[moved].astype(np.float64))[:, None]], axis=1)
     rest = learner.flat() - flat
     rest = np.concatenate([rest, np.zeros(-len(rest) % s.size)]).reshape(-1, s.size)
-    cells = np.concatenate([cells, np.concatenate([rest, np.zeros((len(rest), 1))], axis=1)])
-    place = np.concatenate([moved, len(model.table) + np.arange(len(rest))])
-    exact = np.round(cells * 2.0**FRACTION).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *[pa.array(c) for c in exact.T]], ["place", *[f"c{k}" for k in range(s.size + 1)]])
+
+    def batch(place: np.ndarray, vector: np.ndarray, speed: np.ndarray) -> pa.RecordBatch:
+        cells = np.concatenate([vector, speed[:, None]], axis=1)
+        exact = np.round(cells * 2.0**FRACTION).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *[pa.array(c) for c in exact.T]], ["place", *[f"c{k}" for k in range(s.size + 1)]])
+
+    for lo in range(0, len(moved), BLOCK):
+        at = moved[lo: lo + BLOCK]
+        yield batch(at, own.table[at] - model.table[at].astype(np.float64), learner.table_speed[at] - table_speed[at].astype(np.float64))
+    yield batch(len(model.table) + np.arange(len(rest)), rest, np.zeros(len(rest)))
 
 
 def fit(rows: DataFrame, shards: int, seen: np.ndarray, settings: Settings) -> Model:
@@ -279,7 +286,7 @@ def fit(rows: DataFrame, shards: int, seen: np.ndarray, settings: Settings) -> M
             each = ((shard, np.frombuffer(ids.as_buffer(), np.int32).reshape(-1, 2), mark) for b in batches
                     for shard, ids, mark in zip(b.column("shard").to_pylist(), b.column("ids"), b.column("toxic").to_pylist()))
             for _, own in groupby(each, key=lambda x: x[0]):
-                yield learn_shard(*shared.value, ((ids, mark) for _, ids, mark in own))
+                yield from learn_shard(*shared.value, ((ids, mark) for _, ids, mark in own))
 
         moved = rows.select("shard", "toxic", "ids").mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
         mean = [(F.sum(c) / F.count(F.lit(1)) / F.lit(2.0**FRACTION)).alias(c) for c in names]
@@ -362,6 +369,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     weights and counts of rounded logits come to the driver. With one class or no rows, every score is 0 (no toxic rows) or 1 (only toxic rows).
     """
     s, spark = settings, docs.sparkSession
+    light_batches(spark)
     if s.sample_bytes <= 0:
         return untrained(s)
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -440,6 +448,7 @@ def _trained(rows: DataFrame, shards: int, settings: Settings) -> Model:
 
 def score_texts(docs: DataFrame, model: Model, column: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1) of every whole text; null texts are scored as empty. A column named ``out`` is replaced."""
+    light_batches(docs.sparkSession)
     kept = docs.drop(out)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{out}` double"
 

@@ -148,6 +148,29 @@ def test_toxicity(spark, documents, edges, nothing):
     assert {r.doc_id: r.score for r in whole.collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_toxicity_tasks_hold_little_at_a_time(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    settings = toxicity.Settings(least_rows=1)
+    r = np.random.default_rng(3)
+    texts = [r.integers(toxicity.FIRST, 2 * settings.buckets, (40, 2)).astype(np.int32) for _ in range(20)]
+    learner = toxicity.Learner(toxicity.untrained(settings, 0.0, texts))
+    learner.model.dense[:] = 1
+    flat, speed = learner.flat(), learner.table_speed.copy()
+    batches = list(toxicity.learn_shard(learner.model, flat, speed, ((t, i % 2) for i, t in enumerate(texts))))
+    place = np.concatenate([b.column("place").to_numpy() for b in batches])
+    assert len(batches) > 2 and max(b.num_rows for b in batches[:-1]) == 50 and len(np.unique(place)) == len(place)
+    # Rows go to Python in batches of a few MB, not 10,000 texts at a time.
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    toxicity.judge(documents([(1, "some text")]), marks).collect()
+    assert int(spark.conf.get(name).rstrip("b")) <= 4 << 20
+    spark.conf.set(name, "1000")
+    toxicity.judge(documents([(1, "some text")]), marks).collect()
+    assert spark.conf.get(name).rstrip("b") == "1000"
+    spark.conf.unset(name)
+
+
 def test_toxicity_learns_from_all_labelled_rows(spark, documents):
     # Ten toxic words stand in ten rows each; only a learner that reads all rows knows all of them. One text has more than 50,000 words.
     r, rows, labels = np.random.default_rng(5), [], []
