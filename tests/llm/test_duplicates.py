@@ -151,6 +151,33 @@ def test_line_dedup_edges(edges, nothing):
     assert line_dedup.line_report(nothing).count() == 0
 
 
+def test_line_dedup_tells_long_lines_apart(spark, documents):
+    # 40 lines of 100 to 200 words share one word that is rare, and every fourth is a near copy of the line before it. A sketch of 64 bits
+    # lets nearly all of them meet.
+    r = random.Random(5)
+    rows, line = [], []
+    for i in range(40):
+        if i % 4 == 3:
+            line = [*line[:-4], f"x{i}"]
+        else:
+            line = ["rare", *(f"w{i}_{j}" for j in range(r.randint(99, 199)))]
+        rows.append((i, " ".join(line)))
+    docs = documents(rows)
+    found = line_dedup.prefix_rows(docs.select(*line_dedup._identity(docs)), np.ones(1 << line_dedup.BUCKET_BITS, np.uint8), 0.8)
+    met = line_dedup.meet(found.coalesce(1).sortWithinPartitions("token", "doc", "place"), 0.8).where("kind = 'pair'").select("doc", "a_doc").distinct()
+    assert {(x.doc, x.a_doc) for x in met.collect()} == {(i, i - 1) for i in range(3, 40, 4)}
+    assert sorted(tuple(x) for x in line_dedup.line_report(docs).collect()) == plain_lines(rows)
+
+
+def test_line_dedup_shuffles_texts_of_candidates_only(spark, documents):
+    docs = documents([(i, f"text number {i}") for i in range(500)])
+    texts = docs.select(*line_dedup._identity(docs))
+    by_doc = texts.where("doc in (3, 77, 410)").select("doc", "crc")
+    left = [x.doc for x in line_dedup._likely(texts, by_doc).collect()]
+    assert {3, 77, 410} <= set(left) and len(left) < 10
+    assert line_dedup._likely(texts, by_doc.limit(0)).count() == 0
+
+
 def plain_repeats(rows, length):
     seen, out = set(), []
     for number, text in rows:
